@@ -1,0 +1,4 @@
+"""Queries over the test tables, and their SQL."""
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
