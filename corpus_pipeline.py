@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leafwork.llm import common, decontaminate, jaccard, langid, lines, packing
 
-LEAST_SCORE = 0.35
+LEAST_SCORE = 0.3
 
 
 def _without(docs: DataFrame, numbered: DataFrame, gone: DataFrame) -> DataFrame:
