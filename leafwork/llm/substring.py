@@ -99,7 +99,7 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     repeat an id, or whose id is null, are documents of their own; equal texts lose all their windows, in every copy;
     columns other than the two named are ignored.
     """
-    kind = Kind(size, 12, False)
+    kind = Kind(size, min(24, size), False)
     return _dedup(docs, id_col, text_col, kind, partial(repeated_windows, size=size), "n_bytes", with_text)
 
 
@@ -112,5 +112,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Defined cases: as for suffix_array_dedup; a text of fewer than `size` words loses nothing.
     """
-    kind = Kind(size, 4, True)
+    kind = Kind(size, min(4, size), True)
     return _dedup(docs, id_col, text_col, kind, partial(repeated_word_windows, size=size), "n_words", with_text)

@@ -24,8 +24,8 @@ from leafwork.llm.common import RK, plan_bytes, raw, row_chunks, spans_of
 
 _U = np.uint64
 CHUNK = 1 << 20  # bytes of text worked on at once
-FLUSH = 8 << 20  # bytes of text whose strings are packed together
-BUCKET_BYTES = 12 << 20  # of input, for each bucket
+FLUSH = 12 << 20  # bytes of text whose strings are packed together
+BUCKET_BYTES = 4 << 20  # of input, for each bucket
 PACKED = pa.schema([("bucket", pa.int32()), (RK, pa.int64()), ("data", pa.binary()), ("settled", pa.bool_())])
 SPANS = pa.schema([(RK, pa.int64()), ("data", pa.binary())])
 _COLUMNS = (("val", np.uint32), ("first", np.int64), ("wins", np.int64), ("rk", np.int64), ("flag", np.uint8), ("len", np.int64))
@@ -228,7 +228,8 @@ def settle(kind: Kind, repeats: Callable[[list[bytes]], list[np.ndarray]]) -> Ca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
         for batch in batches:
-            for bucket, rk, data, settled in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, (bucket, rk, settled) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True)):
+                data = batch.column(2)[i].as_py()
                 if settled:
                     yield pa.RecordBatch.from_arrays([pa.array([rk]), pa.array([data], pa.binary())], schema=SPANS)
                     continue
@@ -246,7 +247,7 @@ def settle(kind: Kind, repeats: Callable[[list[bytes]], list[np.ndarray]]) -> Ca
 def repeated_spans(docs: DataFrame, text_col: str, kind: Kind, repeats: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:
     """(__rk, data): int64 pairs (start, past) of units that repeated windows cover; several rows a key may come."""
     spark = docs.sparkSession
-    buckets = max(128, plan_bytes(docs) // BUCKET_BYTES)
+    buckets = max(256, plan_bytes(docs) // BUCKET_BYTES)
     schema = f"bucket int, {RK} long, data binary, settled boolean"
     packed = docs.select(RK, text_col).mapInArrow(pack(kind, buckets), schema)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets, 4096) // 4)
