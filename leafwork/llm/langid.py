@@ -213,9 +213,13 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 7) -> Model | None:
     """Learn from at most SAMPLE_DOCS labelled documents that aren't held out, the least by a hash of their id, and SAMPLE_BYTES of each. None if there are none."""
-    usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    picked = usable.select(F.col(id_col).alias("i"), F.substring(F.col(text_col), 1, SAMPLE_BYTES).alias("t"), F.col(lang_col).alias("g"))
-    rows = picked.orderBy(F.xxhash64(F.col("i").cast("string")), "i", "t", "g").limit(SAMPLE_DOCS).collect()  # 4000 x 4096 characters at most
+    usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull())
+    place = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 40))
+    many = usable.count()  # ids and labels alone
+    if many > 2 * SAMPLE_DOCS:  # so that tasks send the driver what it may take, and not as much each
+        usable = usable.where(place < int((1 << 40) * 2 * SAMPLE_DOCS / many))
+    picked = usable.where(F.col(text_col).rlike(r"\p{L}")).select(place.alias("h"), F.col(id_col).alias("i"), F.substring(F.col(text_col), 1, SAMPLE_BYTES).alias("t"), F.col(lang_col).alias("g"))
+    rows = picked.orderBy("h", "i", "t", "g").limit(SAMPLE_DOCS).collect()  # 4000 x 4096 characters at most
     return train([r["t"].encode()[:SAMPLE_BYTES] for r in rows], [r["g"] for r in rows], seed) if rows else None
 
 
