@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RK = "__rk"
+BATCH = 8 << 20
 CHUNK_TEXT = 1 << 20  # bytes of text worked on at once
 _written: dict[str, SparkSession] = {}
 
@@ -68,6 +70,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow, with record batches of at most BATCH bytes: what a task holds follows from that, not from the rows' size."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(df.sparkSession._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH:
+        conf.set(name, str(BATCH))
+    return df.mapInArrow(run, schema)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate: for a file scan, the size of its files."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

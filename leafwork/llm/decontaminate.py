@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.llm import hashing as H
-from leafwork.llm.common import RK, cover, keyed, raw, spans_of
+from leafwork.llm.common import RK, cover, keyed, map_arrow, raw, spans_of
 
 #: Bytes that stand in words; a word is a maximal run of them once A-Z are lower-cased.
 NOT_WORD = np.ones(256, bool)
@@ -119,7 +119,7 @@ def decontaminate(
         rows = keyed(docs, id_col, text_col).select(F.col(id_col).alias("id"), RK, F.col(text_col).alias("text"))
     for k in range(shards):
         part = items if shards == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k)
-        scans.append(rows.mapInArrow(_scan([(r["item"], r["text"].encode()) for r in part.collect()], size), schema))  # at most item_bytes each
+        scans.append(map_arrow(rows, _scan([(r["item"], r["text"].encode()) for r in part.collect()], size), schema))  # at most item_bytes each
     if shards == 1:
         found = scans[0].select("id", "text", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"))
     else:
@@ -130,4 +130,4 @@ def decontaminate(
         none = F.array().cast("array<binary>"), F.array().cast("array<array<string>>")
         found = scans[0].drop("spans", "items").join(hits, RK, "left").select("id", "text", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"))
     places = ", hits array<struct<start:long,past:long>>" if with_spans else ""
-    return found.mapInArrow(_judge(with_spans), f"id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean{places}").withColumnRenamed("id", id_col)
+    return map_arrow(found, _judge(with_spans), f"id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean{places}").withColumnRenamed("id", id_col)

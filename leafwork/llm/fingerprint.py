@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.llm import hashing as H
-from leafwork.llm.common import CHUNK_TEXT, RK, keyed, raw, row_chunks
+from leafwork.llm.common import CHUNK_TEXT, RK, keyed, map_arrow, raw, row_chunks
 
 _U = np.uint64
 BINS, WORDS = 256, 5  # 8 low-order bits a bin
@@ -164,10 +164,10 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
             part = np.searchsorted(bounds, ids.to_numpy(zero_copy_only=False), "left").astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(part), ids], names=["part", "id"])
 
-    top = dict(keys.mapInArrow(tops, "part int, id long").groupBy("part").agg(F.max("id")).collect())  # a row a range
+    top = dict(map_arrow(keys, tops, "part int, id long").groupBy("part").agg(F.max("id")).collect())  # a row a range
     order = sorted(top, reverse=True)
     opens: dict[int, list[tuple[int, int]]] = {p: [(top[p], order[i - 1])] for i, p in enumerate(order)}  # the first range follows the last
-    dealt = rows.mapInArrow(_deal(bounds, opens), f"part int, tail boolean, {RK} long, id {id_type}, text string")
+    dealt = map_arrow(rows, _deal(bounds, opens), f"part int, tail boolean, {RK} long, id {id_type}, text string")
     parts = min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 4))
     sorted_ = dealt.repartition(parts, "part").sortWithinPartitions("part", "tail", F.desc(RK)).select("part", "tail", "id", "text")
-    return sorted_.mapInArrow(_pairs, f"id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)
+    return map_arrow(sorted_, _pairs, f"id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.llm import hashing as H
-from leafwork.llm.common import CHUNK_TEXT, RK, keyed, materialize, raw, row_chunks
+from leafwork.llm.common import CHUNK_TEXT, RK, keyed, map_arrow, materialize, raw, row_chunks
 from leafwork.llm.fingerprint import shingle_hashes
 from leafwork.llm.graph import Union, components
 
@@ -251,21 +251,21 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     that the operator gives; an empty table gives no rows; other columns are ignored.
     """
     rows = keyed(docs, id_col, text_col).select(RK, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = materialize(rows.select(RK, "text").mapInArrow(_sign, f"{RK} long, digest binary, sig binary"), "signatures")
+    signed = materialize(map_arrow(rows.select(RK, "text"), _sign, f"{RK} long, digest binary, sig binary"), "signatures")
     copies = materialize(signed.groupBy("digest").agg(F.min(RK).alias("rep"), F.count("*").alias("n")), "copies")
     single = signed.join(copies, (signed["digest"] == copies["digest"]) & (signed[RK] == copies["rep"]), "left_semi").select(F.col(RK).alias("rep"), "sig")
     single = materialize(single, "representatives")
     prefix, floor = prefix_length(similar, recall), chance_floor(similar, TREES * DEPTH)
-    planted = single.mapInArrow(_plant(prefix), "tree int, node long, rep long")
+    planted = map_arrow(single, _plant(prefix), "tree int, node long, rep long")
     nodes = in_blocks(planted, ["tree", "node"], NODE).join(single, "rep").select("tree", "node", "i", "j", "rep", "sig")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = nodes.repartition(parts, "tree", "node", "i", "j").sortWithinPartitions("tree", "node", "i", "j")
-    candidates = components(dealt.mapInArrow(_descend(prefix, floor), "a long, b long"))
+    candidates = components(map_arrow(dealt, _descend(prefix, floor), "a long, b long"))
     grouped = candidates.select(F.col("node").alias("rep"), F.col("root").alias("group")).union(candidates.select(F.col("root").alias("rep"), F.col("root").alias("group")).distinct())
     placed = in_blocks(materialize(grouped, "candidates"), ["group"], NODE // 2)
     texts = rows.select(F.col(RK).alias("rep"), "text").join(placed, "rep").select("group", "i", "j", "block", "rep", "text")
     dealt = texts.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j")
-    found = materialize(dealt.mapInArrow(_verify(similar), "rep long, other long, links long"), "links")
+    found = materialize(map_arrow(dealt, _verify(similar), "rep long, other long, links long"), "links")
     classes = components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     links = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("n_links"))
     reps = copies.select("digest", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafwork.llm.common import raw, row_chunks
+from leafwork.llm.common import map_arrow, raw, row_chunks
 
 HIDDEN, STEPS = 8, 64  # units in each direction; bytes of a window
 SAMPLE_DOCS, SAMPLE_BYTES = 4000, 4096  # bound of what training sees: documents, and bytes of each
@@ -229,7 +229,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", pred:
         return docs.withColumns({pred: F.lit(UNKNOWN), score: F.lit(0.0)})
     taken = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     schema = T.StructType([*taken.schema.fields, T.StructField("__pred", T.StringType()), T.StructField("__score", T.DoubleType())])
-    found = taken.mapInArrow(_predict(model, docs.columns.index(text_col)), schema)
+    found = map_arrow(taken, _predict(model, docs.columns.index(text_col)), schema)
     return found.select("__row.*", F.col("__pred").alias(pred), F.col("__score").alias(score))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafwork.llm.common import RK, materialize, number
+from leafwork.llm.common import RK, map_arrow, materialize, number
 
 
 def line_key(line: bytes, least_chars: int) -> bytes | None:
@@ -81,7 +81,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     extra = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
     whole = number(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *extra), "id")
     rows = whole.select("id", RK, "text")
-    pairs = materialize(rows.mapInArrow(_keys(least_chars), f"id {id_type}, {RK} long, key binary"), "line-keys")
+    pairs = materialize(map_arrow(rows, _keys(least_chars), f"id {id_type}, {RK} long, key binary"), "line-keys")
     frequent = pairs.groupBy("key").agg(F.count("*").alias("docs"), F.max(F.struct("id", RK)).alias("last"))
     frequent = materialize(frequent.where(F.col("docs") >= least_docs).select("key", F.col(f"last.{RK}").alias("keeper")), "line-frequent")
     drops = pairs.select(RK, "key").join(frequent, "key").where(F.col(RK) != F.col("keeper")).groupBy(RK).agg(F.collect_list("key").alias("drop"))
@@ -91,4 +91,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         schema.add("kept", T.StringType())
     if carry:
         schema.add(joined.schema["carried"])
-    return joined.mapInArrow(_reassemble(least_chars, with_text), schema).withColumnRenamed("id", id_col)
+    return map_arrow(joined, _reassemble(least_chars, with_text), schema).withColumnRenamed("id", id_col)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.llm import hashing as H
-from leafwork.llm.common import RK, cover, keyed, raw, row_chunks, spans_of
+from leafwork.llm.common import RK, cover, keyed, map_arrow, raw, row_chunks, spans_of
 from leafwork.llm.prefix_free import repeated_windows
 from leafwork.llm.superwindow import CHUNK, Kind, repeated_spans
 
@@ -84,7 +84,7 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, kind: Kind, repeats, n_n
     joined = rows.join(spans, RK, "left").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "__found")
     kept = ", kept binary" if with_text else ""
     kind_of = docs.schema[id_col].dataType.simpleString()
-    out = joined.mapInArrow(remove(kind, with_text), f"id {kind_of}, n long, n_removed long, n_spans long, kept_sha256 string{kept}")
+    out = map_arrow(joined, remove(kind, with_text), f"id {kind_of}, n long, n_removed long, n_spans long, kept_sha256 string{kept}")
     return out.withColumnsRenamed({"id": id_col, "n": n_name})
 
 

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from leafwork.llm import hashing as H
-from leafwork.llm.common import RK, plan_bytes, raw, row_chunks, spans_of
+from leafwork.llm.common import RK, map_arrow, plan_bytes, raw, row_chunks, spans_of
 
 _U = np.uint64
 CHUNK = 1 << 20  # bytes of text worked on at once
@@ -249,7 +249,7 @@ def repeated_spans(docs: DataFrame, text_col: str, kind: Kind, repeats: Callable
     spark = docs.sparkSession
     buckets = max(256, plan_bytes(docs) // BUCKET_BYTES)
     schema = f"bucket int, {RK} long, data binary, settled boolean"
-    packed = docs.select(RK, text_col).mapInArrow(pack(kind, buckets), schema)
+    packed = map_arrow(docs.select(RK, text_col), pack(kind, buckets), schema)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets, 4096) // 4)
     dealt = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(settle(kind, repeats), f"{RK} long, data binary")
+    return map_arrow(dealt, settle(kind, repeats), f"{RK} long, data binary")

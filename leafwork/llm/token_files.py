@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafwork.llm import elias_fano
-from leafwork.llm.common import RK, keyed, materialize, new_path, raw, row_chunks
+from leafwork.llm.common import RK, keyed, map_arrow, materialize, new_path, raw, row_chunks
 
 MAGIC = b"EFTK"
 TAIL = "<QQqQ4s"  # where the bounds and the document ids start, least document id, documents, magic
@@ -173,7 +173,7 @@ def write_token_files(docs: DataFrame, place: str, tokenizer: str, id_col: str =
     rows = docs.select(F.when(F.col(id_col).isNull(), F.raise_error(F.lit("a document has no id")).cast("long")).otherwise(F.col(id_col).cast("long")).alias("id"), F.col(text_col).alias("text"))
     n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
-    return materialize(dealt.mapInArrow(_write(place, tokenizer, end_id), "part long, path string, docs long, tokens long"), "token-manifest")
+    return materialize(map_arrow(dealt, _write(place, tokenizer, end_id), "part long, path string, docs long, tokens long"), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -185,7 +185,7 @@ def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
         base += tokens
     spark = manifest.sparkSession
     listed = spark.createDataFrame(todo, "path string, base long").repartition(max(1, len(todo)))
-    return listed.mapInArrow(_read, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+    return map_arrow(listed, _read, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
 def token_round_trip(docs: DataFrame, tokenizer: str, **names) -> DataFrame:

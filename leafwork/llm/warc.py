@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import RK, keyed, materialize, new_path, raw
+from leafwork.llm.common import RK, keyed, map_arrow, materialize, new_path, raw
 
 SKIPPABLE = 0x184D2A5D  # frame type that the .warc.zst format gives to its dictionary
 SAMPLE_BYTES, DICT_BYTES, LEVEL = 2 << 20, 32 << 10, 3
@@ -171,14 +171,14 @@ def write_warc(pages: DataFrame, place: str, id_col: str = "page_id", url_col: s
     kept = materialize(kept.select("digest", "size", F.col(f"last.{RK}").alias("keeper"), F.col("last.id").cast("string").alias("target")), "warc-kept")
     again = big.join(kept, ["digest", "size"]).where(F.col(RK) != F.col("keeper")).select(RK, "target")
     whole = rows.join(again, RK, "left").select(F.col(id_col).cast("string"), F.col(url_col).cast("string"), F.col(payload_col), "target")
-    return materialize(whole.mapInArrow(_write(place), "path string, records long"), "warc-manifest")
+    return materialize(map_arrow(whole, _write(place), "path string, records long"), "warc-manifest")
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
     """(page, url, payload_bytes, payload_digest, record_type, refers_to) of the files that a manifest names; payloads are checked against their digests."""
     files = manifest.select("path")
     n = max(1, min(files.count(), 4096))
-    return files.repartition(n, "path").mapInArrow(_read, "page string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return map_arrow(files.repartition(n, "path"), _read, "page string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
 
 def warc_round_trip(pages: DataFrame, id_col: str = "page_id", **names: str) -> DataFrame:
