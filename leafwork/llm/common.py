@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RK = "__rk"
-BATCH = 8 << 20
+BATCH = 4 << 20
 CHUNK_TEXT = 1 << 20  # bytes of text worked on at once
 _written: dict[str, SparkSession] = {}
 
@@ -75,7 +78,18 @@ def map_arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataF
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(df.sparkSession._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH:
         conf.set(name, str(BATCH))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(partial(_lean, run), schema)
+
+
+def _lean(run: Callable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """run, then give freed memory back: workers live on idle between tasks, several to a core."""
+    try:
+        yield from run(batches)
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
 
 
 def plan_bytes(df: DataFrame) -> int:

@@ -92,6 +92,17 @@ def _judge(with_spans: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
+def _at_once(scan: Callable, judge: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Both in one worker, where one automaton holds all items."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in scan(batches):
+            spans, items = (pa.ListArray.from_arrays(pa.array(range(len(b) + 1), pa.int32()), b.column(k)) for k in (4, 5))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), spans, items], names=["id", "text", "n_words", "spans", "items"])
+
+    return lambda batches: judge(listed(batches))
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13, with_spans: bool = False, item_bytes: int = ITEM_BYTES
 ) -> DataFrame:
@@ -117,17 +128,18 @@ def decontaminate(
     rows = docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias(RK), F.col(text_col).alias("text"))
     if shards > 1:
         rows = keyed(docs, id_col, text_col).select(F.col(id_col).alias("id"), RK, F.col(text_col).alias("text"))
+    places = ", hits array<struct<start:long,past:long>>" if with_spans else ""
+    answer = f"id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean{places}"
     for k in range(shards):
         part = items if shards == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k)
-        scans.append(map_arrow(rows, _scan([(r["item"], r["text"].encode()) for r in part.collect()], size), schema))  # at most item_bytes each
-    if shards == 1:
-        found = scans[0].select("id", "text", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"))
-    else:
-        hits = scans[0].select(RK, "spans", "items")
-        for x in scans[1:]:
-            hits = hits.union(x.select(RK, "spans", "items"))
-        hits = hits.where(F.size("items") > 0).groupBy(RK).agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
-        none = F.array().cast("array<binary>"), F.array().cast("array<array<string>>")
-        found = scans[0].drop("spans", "items").join(hits, RK, "left").select("id", "text", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"))
-    places = ", hits array<struct<start:long,past:long>>" if with_spans else ""
-    return map_arrow(found, _judge(with_spans), f"id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean{places}").withColumnRenamed("id", id_col)
+        scan = _scan([(r["item"], r["text"].encode()) for r in part.collect()], size)  # at most item_bytes each
+        if shards == 1:
+            return map_arrow(rows, _at_once(scan, _judge(with_spans)), answer).withColumnRenamed("id", id_col)
+        scans.append(map_arrow(rows, scan, schema))
+    hits = scans[0].select(RK, "spans", "items")
+    for x in scans[1:]:
+        hits = hits.union(x.select(RK, "spans", "items"))
+    hits = hits.where(F.size("items") > 0).groupBy(RK).agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+    none = F.array().cast("array<binary>"), F.array().cast("array<array<string>>")
+    found = scans[0].drop("spans", "items").join(hits, RK, "left").select("id", "text", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"))
+    return map_arrow(found, _judge(with_spans), answer).withColumnRenamed("id", id_col)
