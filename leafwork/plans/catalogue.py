@@ -57,7 +57,7 @@ def _heuristic(least: float, where: str = "TRUE") -> str:
         FROM c JOIN ldocs d ON c.doc_id = d.doc_id WHERE confidence >= {least}::DOUBLE AND {where.replace("doc_id", "c.doc_id", 1)})"""
 
 
-_FALLBACK = "SELECT doc_id, 1 AS chapter_index, 'Complete Document' AS title, 1 AS start_page, total_pages AS end_page, total_pages AS page_count, 1 AS level, 'fallback' AS detection_method, CAST(1.0 AS DOUBLE) AS confidence FROM ldocs"
+_FALLBACK = "SELECT doc_id, 1 AS chapter_index, 'Complete Document' AS title, CAST(1 AS BIGINT) AS start_page, total_pages AS end_page, total_pages AS page_count, 1 AS level, 'fallback' AS detection_method, CAST(1.0 AS DOUBLE) AS confidence FROM ldocs"
 HYBRID = (
     f"{LAYOUT}, {_candidates(1.3)}, b AS ({_outline_chapters(1, 'loutline', 'ldocs')}), h AS ({_heuristic(0.6, 'doc_id NOT IN (SELECT doc_id FROM b)')}), "
     f"ch AS (SELECT * FROM b UNION ALL SELECT * FROM h UNION ALL {_FALLBACK} WHERE doc_id NOT IN (SELECT doc_id FROM b) AND doc_id NOT IN (SELECT doc_id FROM h))"
