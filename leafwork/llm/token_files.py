@@ -53,6 +53,10 @@ class Encoder:
 
         self.tool = Tokenizer.from_file(path)
         self.dtype = np.dtype(np.uint16 if self.tool.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.kind = KIND.copy()
+        for token in self.tool.get_added_tokens_decoder().values():  # never cut inside one
+            for byte in token.content.encode()[1:]:
+                self.kind[byte] &= 3
         self.known: dict[bytes, bytes] = {}
         self.former: dict[bytes, bytes] = {}
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
@@ -60,7 +64,7 @@ class Encoder:
     def __call__(self, buf: np.ndarray, offs: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each followed by `end`, and how many each row has."""
         cut = np.zeros(len(buf) + 1, bool)
-        kind = KIND[buf]
+        kind = self.kind[buf]
         after = kind[:-1] & 3
         after[1:] |= np.where((buf[:-2] == 0xC3) & (buf[1:-1] >= 0x80), np.where((buf[1:-1] == 0x97) | (buf[1:-1] == 0xB7), 1, 3), 0).astype(np.uint8)
         cut[1:-1] = (after & (kind[1:] >> 2)) != 0

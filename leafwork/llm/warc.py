@@ -34,12 +34,15 @@ def record(page: str, url: str, payload: bytes, digest: str, target: str | None)
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def train(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """None where the samples are too few or too alike to make a dictionary of."""
-    try:
-        return zstandard.train_dictionary(DICT_BYTES, samples)
-    except zstandard.ZstdError:
-        return None
+def train(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A trained dictionary, smaller for less text; where there is too little to train on, the text itself."""
+    size = DICT_BYTES
+    while size >= 1024:
+        try:
+            return zstandard.train_dictionary(size, samples)
+        except zstandard.ZstdError:
+            size //= 2
+    return zstandard.ZstdCompressionDict(b"".join(samples)[:DICT_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def write_archive(out, records: Iterator[bytes]) -> int:
@@ -51,10 +54,9 @@ def write_archive(out, records: Iterator[bytes]) -> int:
         if size >= SAMPLE_BYTES:
             break
     trained = train([x[: 16 << 10] for x in held])
-    if trained is not None:
-        body = trained.as_bytes()
-        out.write(struct.pack("<II", SKIPPABLE, len(body)) + body)
-    press = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained) if trained else zstandard.ZstdCompressor(level=LEVEL)
+    body = trained.as_bytes()
+    out.write(struct.pack("<II", SKIPPABLE, len(body)) + body)
+    press = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained)
     for part in (held, records):
         for x in part:
             out.write(press.compress(x))
@@ -113,7 +115,7 @@ def _write(place: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         fs, base = pyarrow.fs.FileSystem.from_uri(place)
         fs.create_dir(base, recursive=True)
         name = f"{uuid.uuid4().hex}.warc.zst"  # each attempt has its own file; the manifest names those of tasks that ended well
-        with fs.open_output_stream(f"{base}/{name}") as out:
+        with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
             n = write_archive(out, _after(first, todo))
         yield pa.RecordBatch.from_arrays([pa.array([f"{place}/{name}"]), pa.array([n])], names=["path", "records"])
 
@@ -140,7 +142,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path in batch.column(0).to_pylist():
             fs, where = pyarrow.fs.FileSystem.from_uri(path)
             rows = []
-            with fs.open_input_stream(where) as source:
+            with fs.open_input_stream(where, compression=None) as source:
                 for fields, block in read_archive(source):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     size = int(http.decode().rpartition("Content-Length: ")[2])
