@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from leafwork.llm import hashing as H
 from leafwork.llm.common import RK, map_arrow, plan_bytes, raw, row_chunks, spans_of
@@ -26,6 +27,7 @@ _U = np.uint64
 CHUNK = 1 << 20  # bytes of text worked on at once
 FLUSH = 12 << 20  # bytes of text whose strings are packed together
 BUCKET_BYTES = 4 << 20  # of input, for each bucket
+UNKNOWN = 1 << 47  # an estimate beyond this is none
 PACKED = pa.schema([("bucket", pa.int32()), (RK, pa.int64()), ("data", pa.binary()), ("settled", pa.bool_())])
 SPANS = pa.schema([(RK, pa.int64()), ("data", pa.binary())])
 _COLUMNS = (("val", np.uint32), ("first", np.int64), ("wins", np.int64), ("rk", np.int64), ("flag", np.uint8), ("len", np.int64))
@@ -247,7 +249,10 @@ def settle(kind: Kind, repeats: Callable[[list[bytes]], list[np.ndarray]]) -> Ca
 def repeated_spans(docs: DataFrame, text_col: str, kind: Kind, repeats: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:
     """(__rk, data): int64 pairs (start, past) of units that repeated windows cover; several rows a key may come."""
     spark = docs.sparkSession
-    buckets = max(256, plan_bytes(docs) // BUCKET_BYTES)
+    size = plan_bytes(docs)
+    if size > UNKNOWN:  # the optimizer has no idea: measure
+        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(256, size // BUCKET_BYTES)
     schema = f"bucket int, {RK} long, data binary, settled boolean"
     packed = map_arrow(docs.select(RK, text_col), pack(kind, buckets), schema)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets, 4096) // 4)
