@@ -1,7 +1,8 @@
 """Token-id files: ids of all documents end to end, document bounds and document ids as Elias-Fano sequences.
 
 A file: magic, id width in bytes, two bytes spare; the ids; the bounds (tokens before each document, then the total); the
-document ids less their least; and a tail with where these start. Files of one table are numbered in ascending document id.
+document ids less their least; and a tail with where these start. Files of one table are numbered in ascending document id;
+documents without an id come first, and the tail has their number.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from leafwork.llm import elias_fano
 from leafwork.llm.common import RK, keyed, map_arrow, materialize, new_path, raw, row_chunks
 
 MAGIC = b"EFTK"
-TAIL = "<QQqQ4s"  # where the bounds and the document ids start, least document id, documents, magic
+TAIL = "<QQqQQ4s"  # where the bounds and the document ids start, least document id, documents, how many of them have no id, magic
 CHUNK = 8 << 20
 KNOWN = 400_000  # pieces in each of the two generations that a worker remembers
 #: Bits of a byte. 1: ASCII graphic; 2: ASCII letter; 4: white space, cut off behind 1; 8: digit or sign, cut off behind 2.
@@ -113,7 +114,7 @@ def _write(place: str, tokenizer: str, end: int) -> Callable[[Iterator[pa.Record
                 out = fs.open_output_stream(f"{base}/{name}")
                 out.write(MAGIC + struct.pack("<BBH", encode.dtype.itemsize, 0, 0))
             data, offs = raw(batch.column(1))
-            docs.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            docs.append(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64))  # null ids are the first
             for lo, hi in row_chunks(offs, CHUNK):
                 ids, n = encode(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], end)
                 out.write(ids.tobytes())
@@ -122,10 +123,10 @@ def _write(place: str, tokenizer: str, end: int) -> Callable[[Iterator[pa.Record
             return
         ids, ends = np.concatenate(docs), np.concatenate([[0], *counts]).cumsum()
         bounds = 8 + int(ends[-1]) * encode.dtype.itemsize
-        coded = elias_fano.encode(ends)
-        out.write(coded + elias_fano.encode(ids - ids[0]) + struct.pack(TAIL, bounds, bounds + len(coded), int(ids[0]), len(ids), MAGIC))
+        coded, n, least = elias_fano.encode(ends), len(ends) - 1, int(ids[0]) if len(ids) else 0
+        out.write(coded + elias_fano.encode(ids - least) + struct.pack(TAIL, bounds, bounds + len(coded), least, n, n - len(ids), MAGIC))
         out.close()
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([path]), pa.array([len(ids)], pa.int64()), pa.array([int(ends[-1])], pa.int64())], names=["part", "path", "docs", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([path]), pa.array([n], pa.int64()), pa.array([int(ends[-1])], pa.int64())], names=["part", "path", "docs", "tokens"])
 
     return run
 
@@ -136,7 +137,7 @@ class TokenFile:
     def __init__(self, fs: pyarrow.fs.FileSystem, path: str) -> None:
         self.file = fs.open_input_file(path)
         size, end = self.file.size(), struct.calcsize(TAIL)
-        bounds, names, self.least, self.n, magic = struct.unpack(TAIL, self.file.read_at(end, size - end))
+        bounds, names, self.least, self.n, self.nameless, magic = struct.unpack(TAIL, self.file.read_at(end, size - end))
         head = self.file.read_at(8, 0)
         if magic != MAGIC or head[:4] != MAGIC:
             raise ValueError(f"{path} is no token file")
@@ -144,12 +145,14 @@ class TokenFile:
         rest = self.file.read_at(size - end - bounds, bounds)
         self.bounds, self.names = elias_fano.EliasFano(rest), elias_fano.EliasFano(rest, names - bounds)
 
-    def span(self, first: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document ids, bounds (one more) and token ids of `count` documents from number `first` on."""
+    def span(self, first: int, count: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Document ids (null for those that have none), bounds (one more) and token ids of `count` documents from number `first` on."""
         ends = self.bounds.select(first, count + 1).astype(np.int64)
         wide = self.dtype.itemsize
         ids = np.frombuffer(self.file.read_at(int(ends[-1] - ends[0]) * wide, 8 + int(ends[0]) * wide), self.dtype)
-        return self.names.select(first, count).astype(np.int64) + self.least, ends, ids
+        none = min(max(self.nameless - first, 0), count)
+        names = self.names.select(first + none - self.nameless, count - none).astype(np.int64) + self.least if none < count else np.zeros(0, np.int64)
+        return pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(names, pa.int64())]), ends, ids
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +163,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names, ends, ids = got.span(first, min(256, got.n - first))
                 flat, at = ids.astype("<u4").tobytes(), (ends - ends[0]) * 4
                 sums = [zlib.crc32(flat[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(ends[:-1] + base), pa.array(np.diff(ends)), pa.array(sums, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([names, pa.array(ends[:-1] + base), pa.array(np.diff(ends)), pa.array(sums, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
 
 
 def write_token_files(docs: DataFrame, place: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, files: int | None = None) -> DataFrame:
@@ -170,11 +173,11 @@ def write_token_files(docs: DataFrame, place: str, tokenizer: str, id_col: str =
     its memory holds a batch of text and eight bytes a document.
 
     Defined cases: a null text is empty and has the end id alone; rows that repeat an id come one after another, by text;
-    a null id is refused; an empty table writes no file; other columns are ignored. The id is an integer.
+    documents whose id is null come before all others, by text; an empty table writes no file; other columns are ignored. The id is an integer.
     """
     if not isinstance(docs.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         raise TypeError(f"{id_col} must be an integer")
-    rows = docs.select(F.when(F.col(id_col).isNull(), F.raise_error(F.lit("a document has no id")).cast("long")).otherwise(F.col(id_col).cast("long")).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
     return materialize(map_arrow(dealt, _write(place, tokenizer, end_id), "part long, path string, docs long, tokens long"), "token-manifest")
