@@ -1,44 +1,74 @@
-"""Command line: preview and split of book files."""
+"""Command line: preview and split of EPUB and PDF files, and outlines of PDF files."""
 
 from __future__ import annotations
 
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork import options
-from leafwork.operators import book, split
-from leafwork.sources import epub_files, writers
+from leafwork.functions import strings as S
+from leafwork.operators import book, layout, split
+from leafwork.sources import epub_files, pdf_files, writers
 
 VERSION = "0.1.0"
+KINDS = {"epub": options.EPUB_STRATEGIES, "pdf": options.PDF_STRATEGIES}
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser("leafwork")
-    top.add_argument("--version", action="version", version=VERSION)
+    top.add_argument("--version", action="version", version=f"%(prog)s {VERSION}")
     commands = top.add_subparsers(dest="command", required=True)
     for name in ("preview", "split"):
         p = commands.add_parser(name)
-        p.add_argument("path", help="an EPUB file or a folder of them")
-        p.add_argument("--strategy", default="hybrid", type=lambda x: options.choice(x, options.EPUB_STRATEGIES))
+        p.add_argument("path", help="an EPUB or PDF file, or a folder of them")
+        p.add_argument("--kind", choices=tuple(KINDS), help="what to take from a folder (epub)")
+        p.add_argument("--strategy", default="hybrid", type=str.lower)
         p.add_argument("--sensitivity", default="medium", type=lambda x: options.choice(x, tuple(options.FONT_RATIO)))
-        p.add_argument("--toc-level", default=1, type=int)
+        p.add_argument("--toc-level", default=1, type=int, help="level of an EPUB's contents; 0 is all")
+        p.add_argument("--bookmark-level", default=1, type=int, help="level of a PDF's bookmarks")
         if name == "split":
             p.add_argument("-o", "--output-dir")
-            p.add_argument("--pattern", default=split.EPUB_PATTERN)
-            p.add_argument("--output-format", default="epub", choices=("epub", "pdf"))
+            p.add_argument("--pattern", help=f"{split.EPUB_PATTERN} or {split.PDF_PATTERN}")
+            p.add_argument("--output-format", default="epub", choices=("epub", "pdf"), help="of an EPUB's chapters")
             p.add_argument("--no-metadata", action="store_true")
-            p.add_argument("--yes", action="store_true", help="split even where chapters have low confidence")
+            p.add_argument("--yes", action="store_true", help="split even where chapters have low confidence, or a PDF has none")
+    p = commands.add_parser("outline", help="bookmarks of PDF files: pages, the first 50, entries by level")
+    p.add_argument("path")
     return top
 
 
-def main(args: list[str] | None = None) -> int:
-    a = parser().parse_args(args)
-    spark = SparkSession.builder.appName("leafwork").getOrCreate()
+def parse(args: list[str] | None = None) -> argparse.Namespace:
+    top = parser()
+    a = top.parse_args(args)
+    if a.command == "outline":
+        return a
+    suffix = a.path.rpartition("/")[2].rpartition(".")[2].lower()
+    a.kind = a.kind or (suffix if suffix in KINDS else "epub")
+    if a.strategy not in KINDS[a.kind]:
+        top.error(f"{a.strategy!r} is no strategy for {a.kind} files: {', '.join(KINDS[a.kind])}")
+    return a
+
+
+def report(made: DataFrame) -> int:
+    made = made.persist()
+    n = made.count()
+    print(f"{n} files")
+    if n <= 10:
+        made.orderBy("doc_id", "chapter_index").select("path").show(truncate=False)
+    return 0
+
+
+def place_of(spark: SparkSession, a: argparse.Namespace) -> str:
+    return a.output_dir or spark.range(1).select(S.default_output(F.lit(a.path.rstrip("/")))).first()[0]
+
+
+def epub(spark: SparkSession, a: argparse.Namespace) -> int:
     books = epub_files.read_epubs(spark, a.path).persist()
-    items, spine, toc = (epub_files.table(books, n) for n in ("items", "spine", "toc"))
+    books.where("error IS NOT NULL").select("path", "error").show(100, truncate=False)
+    items, spine, toc, metadata = (epub_files.table(books, n) for n in ("items", "spine", "toc", "metadata"))
     chapters = book.detect_epub(items, spine, toc, a.strategy, a.sensitivity, a.toc_level)
     book.summarize_epub(items, toc, chapters, a.strategy).show(truncate=False)
     if chapters.isEmpty():
@@ -50,16 +80,42 @@ def main(args: list[str] | None = None) -> int:
     if not a.yes and not book.low_confidence(chapters).where("low_confidence > 0").isEmpty():
         print("Some chapters have low confidence; --yes splits nonetheless.")
         return 1
-    plan = split.plan_epub(chapters, a.pattern, a.output_format, not a.no_metadata)
-    contents = split.chapter_sections(split.chapter_contents(plan, items, a.output_format == "epub"))
-    place = a.output_dir or a.path.rstrip("/").removesuffix(".epub") + "_chapters"
-    write = writers.write_epub if a.output_format == "epub" else writers.write_text_pdf
-    made = write(contents, place).persist()
-    n = made.count()
-    print(f"{n} files")
-    if n <= 10:
-        made.orderBy("doc_id", "chapter_index").select(F.col("path")).show(truncate=False)
-    return 0
+    plan = split.plan_epub(chapters, a.pattern or split.EPUB_PATTERN, a.output_format, not a.no_metadata)
+    if a.output_format == "pdf":
+        return report(writers.write_text_pdf(split.chapter_sections(split.chapter_contents(plan, items, False)), place_of(spark, a)))
+    contents = split.chapter_sections(split.chapter_contents(plan, items))
+    return report(writers.write_epub(split.chapter_books(contents, items, metadata), place_of(spark, a)))
+
+
+def pdf(spark: SparkSession, a: argparse.Namespace) -> int:
+    files = pdf_files.pdf_contents(spark, a.path)
+    parsed = pdf_files.parse_pdfs(files).persist()
+    parsed.where("error IS NOT NULL").select("path", "error").show(100, truncate=False)
+    documents, outline, spans = (f(parsed) for f in (pdf_files.documents, pdf_files.outline, pdf_files.spans))
+    if a.command == "outline":
+        documents.show(1000, truncate=False)
+        layout.first_entries(outline).show(50, truncate=False)
+        layout.level_histogram(outline).show()
+        return 0
+    chapters = layout.detect_pdf(documents, outline, spans, a.strategy, a.sensitivity, a.bookmark_level)
+    summary = layout.summarize_pdf(documents, outline, chapters, a.strategy).persist()
+    summary.show(truncate=False)
+    layout.preview_pdf(chapters).show(1000, truncate=False)
+    if a.command == "preview":
+        if not summary.where("try_heuristic").isEmpty():
+            print("Some files have no bookmarks; --strategy heuristic may find chapters.")
+        return 0
+    if not a.yes and not summary.where("confirm").isEmpty():
+        print("Some files would stay whole; --yes splits nonetheless.")
+        return 1
+    plan = split.plan_pdf(chapters, a.pattern or split.PDF_PATTERN, not a.no_metadata)
+    return report(writers.write_pdf(plan, files.withColumnRenamed("path", "doc_id"), place_of(spark, a)))
+
+
+def main(args: list[str] | None = None) -> int:
+    a = parse(args)
+    spark = SparkSession.builder.appName("leafwork").getOrCreate()
+    return epub(spark, a) if a.command != "outline" and a.kind == "epub" else pdf(spark, a)
 
 
 if __name__ == "__main__":

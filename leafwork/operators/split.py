@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.functions import html
@@ -67,6 +67,28 @@ def resolve_resources(refs: DataFrame, items: DataFrame) -> DataFrame:
     return got.select("doc_id", "chapter_index", "kind", "ref", F.coalesce("direct", "nested").alias("item_id"), by.alias("resolved_by")).where("item_id IS NOT NULL").distinct()
 
 
+def chapter_books(contents: DataFrame, items: DataFrame, metadata: DataFrame) -> DataFrame:
+    """contents with what a chapter's own book takes along: resources, the items that its content refers to, each once; and
+    metadata, all entries (namespace, key, ordinal, value, attrs) of its document where they are to be kept.
+
+    Items are joined by (document, item) to the distinct references, so a book's files travel only to chapters that show them.
+    """
+    rows = contents.select("doc_id", "chapter_index", "file_path", "content")
+    found = resolve_resources(resource_refs(rows.where("content IS NOT NULL")), items).select("doc_id", "chapter_index", "item_id").distinct()
+    held = found.join(items.where("content IS NOT NULL"), ["doc_id", "item_id"]).groupBy("doc_id", "chapter_index")
+    resources = held.agg(F.sort_array(F.collect_list(F.struct("href", "item_type", "content"))).alias("resources"))
+    entry = F.struct("namespace", "key", "ordinal", "value", "attrs")
+    kept = metadata.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry), _by_name).alias("all"))
+    joined = contents.join(resources, ["doc_id", "chapter_index"], "left").join(kept, "doc_id", "left")
+    return joined.withColumn("metadata", F.when(F.col("preserve_metadata"), F.col("all"))).drop("all")
+
+
+def _by_name(a: Column, b: Column) -> Column:
+    """Order of metadata entries; maps can't be compared, and needn't be."""
+    left, right = (F.struct(x["namespace"], x["key"], x["ordinal"]) for x in (a, b))
+    return F.when(left < right, -1).when(left > right, 1).otherwise(0)
+
+
 def merged_metadata(source: DataFrame, plan: DataFrame) -> DataFrame:
     """Metadata (doc_id, metadata map) of each output: the source's with the chapter's title, or the title alone."""
     own = F.create_map(F.lit("title"), F.col("title"))

@@ -7,7 +7,7 @@ import posixpath
 import zipfile
 from collections.abc import Iterator
 from html import escape
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -127,25 +127,64 @@ def table(books: DataFrame, name: str) -> DataFrame:
     return books.select(F.col("path").alias("doc_id"), F.explode(name).alias("r")).select("doc_id", "r.*")
 
 
-def book_bytes(title: str, chapters: list[tuple[str, str]], resources: list[tuple[str, bytes]] = (), metadata: dict[str, str] | None = None) -> bytes:
-    """A small EPUB 3 with both kinds of contents: chapters are (file name, XHTML)."""
+DC, OPF = "http://purl.org/dc/elements/1.1/", "http://www.idpf.org/2007/opf"
+
+
+def _attributes(attrs: dict[str, str]) -> str:
+    """Attributes without a name space, of the package's own and of XML's; others go."""
+    out = []
+    for name, value in attrs.items():
+        space, local = _name(name)
+        prefix = {"": "", OPF: "opf:", "http://www.w3.org/XML/1998/namespace": "xml:"}.get(space)
+        if prefix is not None:
+            out.append(f' {prefix}{local}="{escape(value)}"')
+    return "".join(out)
+
+
+def _metadata(title: str, source: list[dict]) -> str:
+    """The source's entries, but its titles, with the title given. The first identifier becomes the book's; what refined either goes."""
+    lines, replaced, named = [], set(), False
+    for m in source:
+        if m["key"] == "title" or (m["key"] == "identifier" and not replaced):
+            replaced.add("#" + m["attrs"].get("id", ""))
+    for m in source:
+        attrs = dict(m["attrs"])
+        if m["namespace"] == DC and m["key"] != "title":
+            if m["key"] == "identifier" and not named:
+                attrs, named = {**attrs, "id": "id"}, True
+            elif attrs.get("id") == "id":
+                del attrs["id"]
+            lines.append(f"<dc:{m['key']}{_attributes(attrs)}>{escape(m['value'])}</dc:{m['key']}>")
+        elif m["namespace"] == OPF and m["key"] == "meta" and attrs.get("refines") not in replaced:
+            lines.append(f"<meta{_attributes(attrs)}>{escape(m['value'])}</meta>")
+    if not named:
+        lines.insert(0, '<dc:identifier id="id">urn:leafwork:book</dc:identifier>')
+    if not any(m["key"] == "language" for m in source):
+        lines.append("<dc:language>en</dc:language>")
+    return "".join(lines) + f"<dc:title>{escape(title)}</dc:title>"
+
+
+def book_bytes(title: str, chapters: list[tuple[str, str | bytes]], resources: list[tuple[str, str, bytes]] = (), metadata: list[dict] = ()) -> bytes:
+    """A small EPUB 3 with both kinds of contents. chapters: (file name, XHTML); resources: (file name, media type, bytes); metadata: as read_epub gives it."""
     out = io.BytesIO()
-    meta = {"identifier": "urn:leafwork:book", "language": "en", **(metadata or {}), "title": title}
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         def put(name: str, data: str | bytes, how: int = zipfile.ZIP_DEFLATED) -> None:
             z.writestr(zipfile.ZipInfo(name, (2020, 1, 1, 0, 0, 0)), data, how)
 
+        taken = {name for name, _ in chapters}
+        resources = [r for r in {r[0]: r for r in resources}.values() if r[0] not in taken]
+        taken |= {name for name, _, _ in resources}
+        nav, ncx = (next(n for n in (stem + end, "leafwork-" + stem + end) if n not in taken) for stem, end in (("nav", ".xhtml"), ("toc", ".ncx")))
         put("mimetype", "application/epub+zip", zipfile.ZIP_STORED)
         put("META-INF/container.xml", '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="book.opf" media-type="application/oebps-package+xml"/></rootfiles></container>')
-        files = [(f"c{i}", name, "application/xhtml+xml") for i, (name, _) in enumerate(chapters)] + [(f"r{i}", name, "text/css" if name.endswith(".css") else "application/octet-stream") for i, (name, _) in enumerate(resources)]
-        listed = "".join(f'<item id="{i}" href="{escape(n)}" media-type="{t}"/>' for i, n, t in files)
-        dc = "".join(f"<dc:{k}>{escape(v)}</dc:{k}>" for k, v in meta.items())
+        files = [(f"c{i}", name, "application/xhtml+xml") for i, (name, _) in enumerate(chapters)] + [(f"r{i}", name, kind) for i, (name, kind, _) in enumerate(resources)]
+        listed = "".join(f'<item id="{i}" href="{escape(quote(n))}" media-type="{escape(t)}"/>' for i, n, t in files)
         refs = "".join(f'<itemref idref="c{i}"/>' for i in range(len(chapters)))
-        put("book.opf", f'<?xml version="1.0"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">{dc}</metadata><manifest>{listed}<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/></manifest><spine toc="ncx">{refs}</spine></package>')
-        links = "".join(f'<li><a href="{escape(n)}">{escape(title)}</a></li>' for n, _ in chapters[:1])
-        put("nav.xhtml", f'<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>Contents</title></head><body><nav epub:type="toc"><ol>{links}</ol></nav></body></html>')
-        points = "".join(f'<navPoint id="n{i}" playOrder="{i + 1}"><navLabel><text>{escape(title)}</text></navLabel><content src="{escape(n)}"/></navPoint>' for i, (n, _) in enumerate(chapters[:1]))
-        put("toc.ncx", f'<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head/><docTitle><text>{escape(title)}</text></docTitle><navMap>{points}</navMap></ncx>')
-        for name, data in [*chapters, *resources]:
+        put("book.opf", f'<?xml version="1.0"?><package xmlns="{OPF}" xmlns:opf="{OPF}" version="3.0" unique-identifier="id"><metadata xmlns:dc="{DC}">{_metadata(title, list(metadata))}</metadata><manifest>{listed}<item id="nav" href="{nav}" media-type="application/xhtml+xml" properties="nav"/><item id="ncx" href="{ncx}" media-type="application/x-dtbncx+xml"/></manifest><spine toc="ncx"><itemref idref="nav"/>{refs}</spine></package>')
+        links = "".join(f'<li><a href="{escape(quote(n))}">{escape(title)}</a></li>' for n, _ in chapters[:1])
+        put(nav, f'<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>Contents</title></head><body><nav epub:type="toc"><ol>{links}</ol></nav></body></html>')
+        points = "".join(f'<navPoint id="n{i}" playOrder="{i + 1}"><navLabel><text>{escape(title)}</text></navLabel><content src="{escape(quote(n))}"/></navPoint>' for i, (n, _) in enumerate(chapters[:1]))
+        put(ncx, f'<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head/><docTitle><text>{escape(title)}</text></docTitle><navMap>{points}</navMap></ncx>')
+        for name, data in [*chapters, *((n, d) for n, _, d in resources)]:
             put(name, data)
     return out.getvalue()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork.functions.paginate import HEIGHT, MARGIN, WIDTH, lay_out
@@ -38,33 +38,73 @@ def text_pdf(text: str, title: str = "", creator: str = "") -> bytes:
     return bytes(out)
 
 
-def parse_pdfs(files: DataFrame) -> DataFrame:
-    """Outline, layout and metadata of PDF files (path, content); needs the optional library. A file that fails has its error in its row."""
+def library():
+    """The optional PDF library."""
     try:
-        import fitz  # noqa: F401
+        import fitz
     except ImportError as e:
         raise ImportError("reading PDF files needs an optional PDF library; layout and outline tables need none") from e
+    return fitz
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import fitz
 
+def parse_pdf(lib, content: bytes) -> dict:
+    """total_pages, outline, spans and metadata of one file."""
+    with lib.open(stream=content, filetype="pdf") as doc:
+        spans = [
+            {"page": n, "block": b, "block_type": block.get("type", 0), "line": k, "span": j, "text": span.get("text", ""), "size": float(span.get("size", 0))}
+            for n, page in enumerate(doc, 1)
+            for b, block in enumerate(page.get_text("dict").get("blocks", []))
+            for k, line in enumerate(block.get("lines", []))
+            for j, span in enumerate(line.get("spans", []))
+        ]
+        outline = [{"seq": i, "level": level, "title": title, "page": page} for i, (level, title, page) in enumerate(doc.get_toc(), 1)]
+        return {"total_pages": len(doc), "outline": outline, "spans": spans, "metadata": {k: str(v) for k, v in (doc.metadata or {}).items() if v}}
+
+
+def cut(lib, content: bytes, chapters: list) -> Iterator[tuple[dict, bytes]]:
+    """Each chapter with a file of its pages; its metadata is the source's with the chapter's title, or none."""
+    with lib.open(stream=content, filetype="pdf") as doc:
+        for c in chapters:
+            with lib.open() as part:
+                part.insert_pdf(doc, from_page=int(c["start_page"]) - 1, to_page=int(c["end_page"]) - 1)
+                if c["preserve_metadata"]:
+                    part.set_metadata({**(doc.metadata or {}), "title": c["title"]})
+                data = part.tobytes()
+            yield c, data
+
+
+def parse_pdfs(files: DataFrame) -> DataFrame:
+    """Outline, layout and metadata of PDF files (path, content); needs the optional library. A file that fails has its error in its row."""
+    library()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for path, content in zip(part["path"], part["content"], strict=True):
                 row = {"path": path, "total_pages": 0, "error": None, "outline": [], "spans": [], "metadata": {}}
                 try:
-                    with fitz.open(stream=content, filetype="pdf") as doc:
-                        row["total_pages"] = len(doc)
-                        row["metadata"] = {k: str(v) for k, v in (doc.metadata or {}).items() if v}
-                        row["outline"] = [{"seq": i + 1, "level": lv, "title": t, "page": p} for i, (lv, t, p) in enumerate(doc.get_toc())]
-                        for n, page in enumerate(doc, 1):
-                            for b, block in enumerate(page.get_text("dict").get("blocks", [])):
-                                for k, line in enumerate(block.get("lines", [])):
-                                    for j, span in enumerate(line.get("spans", [])):
-                                        row["spans"].append({"page": n, "block": b, "block_type": block.get("type", 0), "line": k, "span": j, "text": span.get("text", ""), "size": float(span.get("size", 0))})
+                    row |= parse_pdf(library(), content)
                 except Exception as e:  # noqa: BLE001
                     row["error"] = f"{type(e).__name__}: {e}"
                 rows.append(row)
             yield pd.DataFrame(rows)
 
     return files.where(F.lower("path").endswith(".pdf")).mapInPandas(run, LAYOUT)
+
+
+def pdf_contents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of a PDF file or of those below a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.where(F.lower("path").endswith(".pdf")).select("path", "content")
+
+
+def documents(parsed: DataFrame) -> DataFrame:
+    return parsed.where("error IS NULL").select(F.col("path").alias("doc_id"), F.col("total_pages").cast("long").alias("total_pages"))
+
+
+def outline(parsed: DataFrame) -> DataFrame:
+    return parsed.select(F.col("path").alias("doc_id"), F.inline("outline")).withColumn("page", F.col("page").cast("long"))
+
+
+def spans(parsed: DataFrame) -> DataFrame:
+    return parsed.select(F.col("path").alias("doc_id"), F.inline("spans")).withColumn("page", F.col("page").cast("long"))

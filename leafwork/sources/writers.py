@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from html import escape
 
 import pandas as pd
 import pyarrow.fs
@@ -10,19 +12,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.functions import html
+from leafwork.sources import pdf_files
 from leafwork.sources.epub_files import book_bytes
 from leafwork.sources.pdf_files import text_pdf
 
 MANIFEST = "doc_id string, chapter_index int, path string, bytes long"
 
 
+def located(place: str) -> str:
+    """A folder as Arrow's file systems want it: a URI or an absolute path."""
+    return place if "://" in place else os.path.abspath(place)
+
+
+def folder_of(doc_id: str) -> str:
+    return str(doc_id).strip("/").replace("/", "_").replace(":", "_")
+
+
 def _put(place: str, build: Callable[[pd.Series], bytes]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    place = located(place)
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = pyarrow.fs.FileSystem.from_uri(place)
         for part in parts:
             rows = []
             for _, row in part.iterrows():
-                folder = str(row["doc_id"]).strip("/").replace("/", "_").replace(":", "_")
+                folder = folder_of(row["doc_id"])
                 fs.create_dir(f"{base}/{folder}", recursive=True)
                 data, name = build(row), f"{folder}/{row['output_name']}"
                 with fs.open_output_stream(f"{base}/{name}") as out:
@@ -34,15 +48,47 @@ def _put(place: str, build: Callable[[pd.Series], bytes]) -> Callable[[Iterator[
 
 
 def write_epub(contents: DataFrame, place: str) -> DataFrame:
-    """A book for each row (doc_id, chapter_index, output_name, title, content); a chapter whose content is missing holds its title alone.
+    """A book for each row (doc_id, chapter_index, output_name, title, file_path, content and, from split.chapter_books,
+    resources and metadata); a chapter whose content is missing holds its title alone.
 
     Books of one document share a folder; a name that two chapters share is written twice, the last stays.
     """
     def build(row: pd.Series) -> bytes:
-        body = html.decode(row["content"]) if row["content"] is not None else f"<html><body><h1>{row['title']}</h1></body></html>"
-        return book_bytes(row["title"] or "", [("chapter.xhtml", body)])
+        title, path = row["title"] or "", row["file_path"] or "chapter.xhtml"
+        if row["content"] is None:
+            return book_bytes(title, [(path, f"<html><body><h1>{escape(title)}</h1></body></html>")])
+        resources = [(r["href"], r["item_type"], r["content"]) for r in (row["resources"] if row["resources"] is not None else ())]
+        metadata = [{**m, "attrs": dict(m["attrs"] or {})} for m in (row["metadata"] if row["metadata"] is not None else ())]
+        return book_bytes(title, [(path, html.decode(row["content"]))], resources, metadata)
+
+    extra = [F.col(c) if c in contents.columns else F.lit(None).cast(t).alias(c) for c, t in (("resources", "array<struct<href:string,item_type:string,content:binary>>"), ("metadata", "array<struct<namespace:string,key:string,value:string,attrs:map<string,string>>>"))]
+    return contents.select(F.col("doc_id").cast("string").alias("doc_id"), "chapter_index", "output_name", "title", "file_path", "content", *extra).mapInPandas(_put(place, build), MANIFEST)
+
+
+def write_pdf(plan: DataFrame, files: DataFrame, place: str) -> DataFrame:
+    """A PDF of each chapter's pages: plan from split.plan_pdf, files (doc_id, content). Needs the optional library.
+
+    A document goes to one task with all its chapters and is opened once; a chapter without pages is skipped, its number
+    stays unused.
+    """
+    pdf_files.library()
+    place = located(place)
+    chapters = plan.where("NOT is_inverted").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chapter_index", "output_name", "title", "start_page", "end_page", "preserve_metadata"))).alias("chapters"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(place)
+        for part in parts:
+            for doc_id, content, todo in zip(part["doc_id"], part["content"], part["chapters"], strict=True):
+                folder, rows = folder_of(doc_id), []
+                fs.create_dir(f"{base}/{folder}", recursive=True)
+                for chapter, data in pdf_files.cut(pdf_files.library(), content, todo):
+                    name = f"{folder}/{chapter['output_name']}"
+                    with fs.open_output_stream(f"{base}/{name}") as out:
+                        out.write(data)
+                    rows.append((str(doc_id), int(chapter["chapter_index"]), f"{place}/{name}", len(data)))
+                yield pd.DataFrame(rows, columns=["doc_id", "chapter_index", "path", "bytes"])
 
-    return contents.select(F.col("doc_id").cast("string").alias("doc_id"), "chapter_index", "output_name", "title", "content").mapInPandas(_put(place, build), MANIFEST)
+    return files.select("doc_id", "content").join(chapters, "doc_id").mapInPandas(run, MANIFEST)
 
 
 def write_text_pdf(contents: DataFrame, place: str) -> DataFrame:

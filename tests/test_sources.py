@@ -1,16 +1,21 @@
+import inspect
 import io
+import sys
+import types
 import zipfile
 
+import pytest
+from leafwork import cli
 from leafwork.operators import book, split
 from leafwork.sources import epub_files, pdf_files, writers
 from leafwork.streaming import ingest
 
 
 def test_book_round_trip():
-    got = epub_files.read_epub(epub_files.book_bytes("A & B", [("c.xhtml", "<h1>x</h1>")], [("s.css", b"p{}")], {"creator": "me"}))
+    got = epub_files.read_epub(epub_files.book_bytes("A & B", [("c.xhtml", "<h1>x</h1>")], [("s.css", "text/css", b"p{}")], [{"namespace": epub_files.DC, "key": "creator", "value": "me", "attrs": {}}]))
     assert [(i["href"], i["item_type"]) for i in got["items"]][:2] == [("c.xhtml", "document"), ("s.css", "text/css")]
     assert got["toc"] == [{"seq": 1, "level": 1, "title": "A & B", "href": "c.xhtml"}]
-    assert got["spine"] == [{"pos": 0, "item_id": "c0"}]
+    assert got["spine"] == [{"pos": 0, "item_id": "nav"}, {"pos": 1, "item_id": "c0"}]
     assert {m["key"]: m["value"] for m in got["metadata"]}["creator"] == "me"
 
 
@@ -26,7 +31,7 @@ def test_files_to_chapters_to_files(spark, tmp_path):
     plan = split.plan_epub(book.detect_epub(items, spine, toc))
     made = writers.write_epub(split.chapter_contents(plan, items), str(tmp_path / "out")).collect()
     assert [m["path"].rsplit("/")[-1] for m in made] == ["01_Book.epub"]
-    assert "chapter.xhtml" in zipfile.ZipFile(io.BytesIO(open(made[0]["path"], "rb").read())).namelist()
+    assert "c.xhtml" in zipfile.ZipFile(io.BytesIO(open(made[0]["path"], "rb").read())).namelist()
     plan = split.plan_epub(book.detect_epub(items, spine, toc), output="pdf")
     made = writers.write_text_pdf(split.chapter_contents(plan, items, False), str(tmp_path / "out")).collect()
     data = open(made[0]["path"], "rb").read()
@@ -47,3 +52,101 @@ def test_stream(spark, tmp_path):
         (src / f"{n}.epub").write_bytes(epub_files.book_bytes(n, [("c.xhtml", "<h1>x</h1>")]))
         ingest.append_books(spark, str(src), str(out), str(mark)).awaitTermination(120)
     assert sorted(r["path"].rsplit("/")[-1] for r in spark.read.parquet(str(out)).collect()) == ["a.epub", "b.epub"]
+
+
+def entry(key, value, namespace=epub_files.DC, **attrs):
+    return {"namespace": namespace, "key": key, "value": value, "attrs": attrs}
+
+
+def files(folder):
+    return [f for f in folder.rglob("*.*") if f.is_file()]
+
+
+def test_command_line_splits_with_resources_and_metadata(spark, tmp_path, capsys):
+    page = '<html><head><link rel="stylesheet" href="../s.css"/></head><body><h1>One</h1><img src="a b.png"/><img src="a b.png#x"/><img src="lost.png"/></body></html>'
+    source = [entry("identifier", "urn:x:1", id="own"), entry("title", "Whole", id="t"), entry("creator", "A & B", id="id"), entry("meta", "main", epub_files.OPF, refines="#t", property="title-type"), entry("meta", "2020-01-01T00:00:00Z", epub_files.OPF, property="dcterms:modified")]
+    resources = [("text/a b.png", "image/png", b"png"), ("text/../s.css", "text/css", b"p{}"), ("unused.css", "text/css", b"")]
+    (tmp_path / "b.epub").write_bytes(epub_files.book_bytes("Whole", [("text/c.xhtml", page)], resources, source))
+    assert cli.main(["preview", str(tmp_path / "b.epub"), "--strategy", "Structural"]) == 0
+    assert cli.main(["split", str(tmp_path / "b.epub"), "--strategy", "structural"]) == 0
+    assert "1 files" in capsys.readouterr().out
+    (made,) = files(tmp_path / "b_chapters")
+    assert made.name == "01_One.epub"
+    got = epub_files.read_epub(made.read_bytes())
+    assert {i["href"]: i["content"] for i in got["items"] if i["item_type"] in ("image/png", "text/css")} == {"text/a b.png": b"png", "text/../s.css": b"p{}"}
+    assert [i["href"] for i in got["items"] if i["item_type"] == "document"] == ["text/c.xhtml"]
+    assert sorted((m["key"], m["value"], m["attrs"].get("id")) for m in got["metadata"]) == [("creator", "A & B", None), ("identifier", "urn:x:1", "id"), ("language", "en", None), ("meta", "2020-01-01T00:00:00Z", None), ("title", "One", None)]
+    assert cli.main(["split", str(tmp_path / "b.epub"), "--no-metadata", "-o", str(tmp_path / "bare")]) == 0
+    (made,) = files(tmp_path / "bare")
+    assert {m["key"] for m in epub_files.read_epub(made.read_bytes())["metadata"]} == {"identifier", "language", "title"}
+    assert cli.main(["split", str(tmp_path / "b.epub"), "--output-format", "pdf", "-o", str(tmp_path / "pdf")]) == 0
+    assert [f.name for f in files(tmp_path / "pdf")] == ["01_Whole.pdf"]
+
+
+def test_command_line_refuses():
+    for wrong in (["split", "a.pdf", "--strategy", "native"], ["preview", "a.epub", "--strategy", "bookmarks"], ["split", "a.epub", "--output-format", "txt"], ["merge", "a.pdf"]):
+        with pytest.raises(SystemExit):
+            cli.parse(wrong)
+    assert cli.parse(["preview", "x/A.PDF"]).kind == "pdf" and cli.parse(["preview", "x"]).kind == "epub"
+
+
+class Paper:
+    """What the PDF library offers, as far as it is used: pages are the words of the content, bookmarks those that begin with a capital."""
+
+    def __init__(self, stream=b"", filetype=None):
+        self.pages, self.metadata = stream.decode().split(), {"author": "me", "title": "all"} if stream else {}
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+    def __len__(self):
+        return len(self.pages)
+
+    def __iter__(self):
+        line = lambda w: {"type": 0, "lines": [{"spans": [{"text": w, "size": 11}]}]}
+        return iter([types.SimpleNamespace(get_text=lambda _, w=w: {"blocks": [line(w)]}) for w in self.pages])
+
+    def get_toc(self):
+        return [[1, w, i] for i, w in enumerate(self.pages, 1) if w[0].isupper()]
+
+    def insert_pdf(self, doc, from_page, to_page):
+        self.pages += doc.pages[from_page : to_page + 1]
+
+    def set_metadata(self, metadata):
+        self.metadata = metadata
+
+    def tobytes(self):
+        return f"{self.pages} {sorted(self.metadata.items())}".encode()
+
+
+def test_pdf_pages_of_chapters():
+    lib = types.SimpleNamespace(open=Paper)
+    got = pdf_files.parse_pdf(lib, b"pre One a Two b")
+    assert got["total_pages"] == 5 and [(o["title"], o["page"]) for o in got["outline"]] == [("One", 2), ("Two", 4)]
+    assert [(s["page"], s["text"], s["size"]) for s in got["spans"]][1:3] == [(2, "One", 11.0), (3, "a", 11.0)]
+    chapters = [{"title": "One", "start_page": 2, "end_page": 3, "preserve_metadata": True}, {"title": "Two", "start_page": 4, "end_page": 5, "preserve_metadata": False}]
+    made = [data for _, data in pdf_files.cut(lib, b"pre One a Two b", chapters)]
+    assert made == [b"['One', 'a'] [('author', 'me'), ('title', 'One')]", b"['Two', 'b'] []"]
+
+
+def test_pdf_commands(spark, tmp_path, monkeypatch, capsys):
+    """From files to files, the library's stand-in in the workers too."""
+    (tmp_path / "fitz.py").write_text("import types\n\n\n" + inspect.getsource(Paper) + "\n\nopen = Paper\n")
+    monkeypatch.setattr(sys, "path", [*sys.path])
+    spark.sparkContext.addPyFile(str(tmp_path / "fitz.py"))
+    for name, text in (("a", "pre One a Two b"), ("plain", "x y z")):
+        (tmp_path / f"{name}.pdf").write_text(text)
+    assert cli.main(["outline", str(tmp_path / "a.pdf")]) == 0
+    assert "Two" in capsys.readouterr().out
+    assert cli.main(["preview", str(tmp_path), "--kind", "pdf"]) == 0
+    assert "no bookmarks" in capsys.readouterr().out
+    assert cli.main(["split", str(tmp_path / "a.pdf"), "--strategy", "bookmarks"]) == 0
+    made = {f.name: f.read_text() for f in files(tmp_path / "a_chapters")}
+    assert made == {"01_One.pdf": "['One', 'a'] [('author', 'me'), ('title', 'One')]", "02_Two.pdf": "['Two', 'b'] [('author', 'me'), ('title', 'Two')]"}
+    assert cli.main(["split", str(tmp_path / "plain.pdf")]) == 1 and not (tmp_path / "plain_chapters").exists()
+    assert cli.main(["split", str(tmp_path / "plain.pdf"), "--yes"]) == 0
+    assert [f.name for f in files(tmp_path / "plain_chapters")] == ["01_Complete_Document.pdf"]
+    sys.modules.pop("fitz", None)
