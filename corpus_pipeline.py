@@ -21,8 +21,11 @@ def _without(docs: DataFrame, numbered: DataFrame, gone: DataFrame) -> DataFrame
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters go, and those that no learned language describes."""
-    found = langid.identify(docs, langid.fit(docs), pred="__lang", score="__sure")
+    """Documents without letters go, and those that no learned language describes; where no document is labelled, the first alone."""
+    model = langid.fit(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = langid.identify(docs, model, pred="__lang", score="__sure")
     return found.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__sure") >= LEAST_SCORE)).drop("__lang", "__sure")
 
 

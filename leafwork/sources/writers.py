@@ -55,11 +55,10 @@ def write_epub(contents: DataFrame, place: str) -> DataFrame:
     """
     def build(row: pd.Series) -> bytes:
         title, path = row["title"] or "", row["file_path"] or "chapter.xhtml"
-        if row["content"] is None:
-            return book_bytes(title, [(path, f"<html><body><h1>{escape(title)}</h1></body></html>")])
+        page = html.decode(row["content"]) if row["content"] is not None else f"<html><body><h1>{escape(title)}</h1></body></html>"
         resources = [(r["href"], r["item_type"], r["content"]) for r in (row["resources"] if row["resources"] is not None else ())]
         metadata = [{**m, "attrs": dict(m["attrs"] or {})} for m in (row["metadata"] if row["metadata"] is not None else ())]
-        return book_bytes(title, [(path, html.decode(row["content"]))], resources, metadata)
+        return book_bytes(title, [(path, page)], resources, metadata)
 
     extra = [F.col(c) if c in contents.columns else F.lit(None).cast(t).alias(c) for c, t in (("resources", "array<struct<href:string,item_type:string,content:binary>>"), ("metadata", "array<struct<namespace:string,key:string,value:string,attrs:map<string,string>>>"))]
     return contents.select(F.col("doc_id").cast("string").alias("doc_id"), "chapter_index", "output_name", "title", "file_path", "content", *extra).mapInPandas(_put(place, build), MANIFEST)
@@ -92,9 +91,11 @@ def write_pdf(plan: DataFrame, files: DataFrame, place: str) -> DataFrame:
 
 
 def write_text_pdf(contents: DataFrame, place: str) -> DataFrame:
-    """A PDF of each chapter's wrapped text; chapters without content are skipped, their numbers stay unused."""
+    """A PDF of each chapter's wrapped text, with title and source as metadata where these are to be kept; chapters without content are skipped, their numbers stay unused."""
     def build(row: pd.Series) -> bytes:
-        return text_pdf(html.parse(row["content"])["text"], row["title"] or "", str(row["doc_id"]))
+        text = html.parse(row["content"])["text"]
+        return text_pdf(text, row["title"] or "", str(row["doc_id"])) if row["preserve_metadata"] else text_pdf(text)
 
-    rows = contents.where("content IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), "chapter_index", "output_name", "title", "content")
+    keep = F.col("preserve_metadata") if "preserve_metadata" in contents.columns else F.lit(True).alias("preserve_metadata")
+    rows = contents.where("content IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), "chapter_index", "output_name", "title", "content", keep)
     return rows.mapInPandas(_put(place, build), MANIFEST)

@@ -80,7 +80,10 @@ def test_command_line_splits_with_resources_and_metadata(spark, tmp_path, capsys
     (made,) = files(tmp_path / "bare")
     assert {m["key"] for m in epub_files.read_epub(made.read_bytes())["metadata"]} == {"identifier", "language", "title"}
     assert cli.main(["split", str(tmp_path / "b.epub"), "--output-format", "pdf", "-o", str(tmp_path / "pdf")]) == 0
-    assert [f.name for f in files(tmp_path / "pdf")] == ["01_Whole.pdf"]
+    (made,) = files(tmp_path / "pdf")
+    assert made.name == "01_Whole.pdf" and b"/Title (Whole)" in made.read_bytes()
+    assert cli.main(["split", str(tmp_path / "b.epub"), "--output-format", "pdf", "--no-metadata", "-o", str(tmp_path / "pdf")]) == 0
+    assert b"/Title ()" in made.read_bytes()
 
 
 def test_command_line_refuses():
