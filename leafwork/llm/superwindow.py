@@ -27,6 +27,7 @@ _U = np.uint64
 CHUNK = 1 << 20  # bytes of text worked on at once
 FLUSH = 12 << 20  # bytes of text whose strings are packed together
 BUCKET_BYTES = 4 << 20  # of input, for each bucket
+MOST_PARTS = 1 << 15  # shuffle partitions, if the session doesn't ask for more; each streams its buckets one by one
 UNKNOWN = 1 << 47  # an estimate beyond this is none
 PACKED = pa.schema([("bucket", pa.int32()), (RK, pa.int64()), ("data", pa.binary()), ("settled", pa.bool_())])
 SPANS = pa.schema([(RK, pa.int64()), ("data", pa.binary())])
@@ -255,6 +256,6 @@ def repeated_spans(docs: DataFrame, text_col: str, kind: Kind, repeats: Callable
     buckets = max(256, size // BUCKET_BYTES)
     schema = f"bucket int, {RK} long, data binary, settled boolean"
     packed = map_arrow(docs.select(RK, text_col), pack(kind, buckets), schema)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets, 4096) // 4)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets // 4, MOST_PARTS))
     dealt = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
     return map_arrow(dealt, settle(kind, repeats), f"{RK} long, data binary")

@@ -46,3 +46,8 @@ def test_unknown_is_rejected(spark):
     docs = spark.createDataFrame([(1, "12 34", "en"), (2, "some words", "en")], "doc_id long, text string, lang string")
     assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF).collect()] == [2]
     assert langid.UNKNOWN == "und"
+
+
+def test_unlabelled_corpus_is_kept(spark):
+    docs = spark.createDataFrame([(1, "12 34", None), (2, "some words", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF).collect()) == [2, 4]
