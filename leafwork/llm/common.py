@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RK = "__rk"
+UNIQUE = "leafwork.unique"  # metadata of a column that is known to identify rows
 BATCH = 4 << 20
 CHUNK_TEXT = 1 << 20  # bytes of text worked on at once
 _written: dict[str, SparkSession] = {}
@@ -25,10 +26,9 @@ _written: dict[str, SparkSession] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in local mode, where it is unset, a new one."""
-    conf = spark.sparkContext.getConf()
-    place = conf.get("spark.checkpoint.dir")
+    place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = _local_dir()
     return place.rstrip("/")
@@ -70,7 +70,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._leafwork_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote, once nothing that is still to be computed reads them."""
+    for x in tables:
+        remove(x.sparkSession, x._leafwork_path)
+
+
+def mark() -> set[str]:
+    """What is in the shared folder now, for sweep()."""
+    return set(_written)
+
+
+def sweep(since: set[str], keep: DataFrame) -> None:
+    """Delete what was written since mark() was called, but the table `keep`."""
+    for path in [x for x in _written if x not in since and x != keep._leafwork_path]:
+        remove(_written[path], path)
 
 
 def map_arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
@@ -97,22 +116,37 @@ def plan_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def number(df: DataFrame, id_col: str) -> DataFrame:
-    """df with a long column __rk that is unique for each row.
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """name, with as many underscores behind it as make it differ from all that are taken, whatever their case."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def number(df: DataFrame, id_col: str, name: str = RK) -> DataFrame:
+    """df with a long column `name` that is unique for each row, and marked so: numbering by it again costs nothing.
 
     An integer id without nulls and repeats is its own key. Else the rows are numbered and written to the shared
     folder, so that a recomputed partition can't renumber them.
     """
-    if isinstance(df.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-        seen = df.select(F.col(id_col).alias("i")).groupBy("i").count().where((F.col("count") > 1) | F.col("i").isNull())
-        if seen.limit(1).count() == 0:
-            return df.withColumn(RK, F.col(id_col).cast("long"))
-    return materialize(df.withColumn(RK, F.monotonically_increasing_id()), "numbered")
-
-
-def keyed(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
-    """The id, the other columns named, and __rk as number() gives it."""
-    return number(df.select(F.col(id_col), *[F.col(c) for c in cols if c != id_col]), id_col)
+    field = df.schema[id_col]
+    known = {UNIQUE: True}
+    if isinstance(field.dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        own = F.col(f"`{id_col}`")
+        if not field.metadata.get(UNIQUE):
+            seen = df.select(own.alias("i")).groupBy("i").count().where((F.col("count") > 1) | F.col("i").isNull())
+            if seen.limit(1).count():
+                own = None
+        if own is not None:
+            return df.withColumn(name, own.cast("long").alias(name, metadata=known))
+    return materialize(df.withColumn(name, F.monotonically_increasing_id().alias(name, metadata=known)), "numbered")
+
+
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """__rk as number() gives it, id and text, whatever these two are called in df."""
+    own = df.select(F.col(f"`{id_col}`").alias("id", metadata=df.schema[id_col].metadata), F.col(f"`{text_col}`").alias("text"))
+    return number(own, "id").select(RK, "id", "text")
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -147,12 +147,13 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Defined cases: a null text is empty; a text of one to four words is one shingle; two texts without words are alike
     (1.0), and unlike any other (0.0); a single document is its own successor; where rows repeat an id, or ids are null or
-    no integers, the rows are numbered first and ordered by that number; an empty table gives no rows; other columns are
-    ignored.
+    no integers, the rows are numbered first and ordered by that number, so there are no ties; a very long text is held
+    whole, with about 60 bytes for each of its bytes; an empty table gives no rows; other columns are ignored, whatever
+    their names.
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = keyed(docs, id_col, text_col).select(RK, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = keyed(docs, id_col, text_col)
     n = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = rows.select(RK)
     cuts = keys.agg(F.percentile_approx(RK, [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None

@@ -11,25 +11,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.llm import hashing as H
-from leafwork.llm.common import CHUNK_TEXT, RK, keyed, map_arrow, materialize, raw, row_chunks
+from leafwork.llm.common import CHUNK_TEXT, RK, forget, keyed, map_arrow, materialize, raw, row_chunks
 from leafwork.llm.fingerprint import shingle_hashes
 from leafwork.llm.graph import Union, components
 
 _U = np.uint64
 WORDS, SIMILAR = 5, 0.8
 TREES, DEPTH, RECALL = 16, 8, 0.9995
-NODE = 2048  # members of a trie node, or candidates of a group, that one task compares; more are dealt out in blocks
+STEP = 2  # values by which the prefix is shortened
+NODE = 512  # members of a trie node that are compared at once; more are dealt out in pairs of blocks
 _rng = np.random.Generator(np.random.PCG64(99))
 _MUL = _rng.integers(1, 2**62, TREES * DEPTH, dtype=np.uint64) * _U(2) + _U(1)
 _ADD = _rng.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64)
 
 
-def prefix_length(similar: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix at which two sets of that similarity meet in some tree with that probability."""
-    for d in range(depth, 1, -1):
-        if 1 - (1 - similar**d) ** trees >= recall:
-            return d
-    return 1
+def meeting(similar: float, depth: int) -> float:
+    """Probability that two sets of that similarity share a prefix of `depth` values in some tree."""
+    return 1 - (1 - similar**depth) ** TREES
+
+
+def ladder(similar: float, recall: float) -> list[int]:
+    """Prefix lengths from the whole depth down to the longest at which two sets of just that similarity meet with that probability."""
+    last = next((d for d in range(DEPTH, 1, -1) if meeting(similar, d) >= recall), 1)
+    return [*range(DEPTH, last, -STEP), last]
+
+
+def missing(found: dict[int, int], depth: int) -> float:
+    """Links that prefixes of `depth` values are expected to have missed, by those that were found, counted by similarity in hundredths (rounded down)."""
+    return sum(n * (1 / meeting(s / 100, depth) - 1) for s, n in found.items())
 
 
 def chance_floor(similar: float, n: int, sigmas: float = 5.0) -> int:
@@ -61,215 +70,224 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(some)), pa.array(sets, pa.binary()), pa.array([sigs[i].tobytes() for i in some.tolist()], pa.binary())], names=[RK, "digest", "sig"])
 
 
-def _plant(prefix: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def prefixes(sigs: np.ndarray, depth: int) -> np.ndarray:
+    """The node of each signature in each tree, as a hash of the tree and its first `depth` values: (n, TREES)."""
+    parts = sigs.reshape(len(sigs), TREES, DEPTH)[:, :, :depth].astype(np.uint64)
+    node = np.broadcast_to(np.arange(TREES, dtype=_U), (len(sigs), TREES))
+    for i in range(depth):
+        node = H.mix(node * _U(H.BASE) + parts[:, :, i])
+    return node
+
+
+def _matrix(sigs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), np.uint32).reshape(len(sigs), TREES * DEPTH)
+
+
+def _plant(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(representative, signature) to a row for each tree: the node its prefix leads to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = len(batch)
-            if not n:
-                continue
-            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, TREES * DEPTH)
-            for t in range(TREES):
-                part = sigs[:, t * DEPTH : t * DEPTH + prefix].astype(np.uint64)
-                node = np.full(n, t, np.uint64)
-                for i in range(prefix):
-                    node = H.mix(node * _U(H.BASE) + part[:, i])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(node.view(np.int64)), batch.column(0)], names=["tree", "node", "rep"])
+            if len(batch):
+                nodes = prefixes(_matrix(batch.column(1).to_pylist()), depth)
+                for t in range(TREES):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), t, np.int32)), pa.array(nodes[:, t].view(np.int64)), batch.column(0)], names=["tree", "node", "rep"])
 
     return run
 
 
-def ascend(tree: np.ndarray, low: np.ndarray, prefix: int, floor: int) -> list[tuple[int, int]]:
-    """Pairs that join all members of a node whose full signatures agree in `floor` places or more.
+class Node:
+    """Members of a trie node, or of two blocks of it, and which of their pairs are candidates here.
 
-    Members are sorted as the trie is. From the longest prefix to the shortest, a subtree whose members are joined already
-    is passed; else neighbours are compared, and only then, pair by pair, members that are still apart.
-    tree: (n, DEPTH) this tree's values; low: (n, TREES * DEPTH) bytes.
+    A pair is a candidate where its signatures agree in `floor` places or more. It belongs to the longest prefix of the
+    ladder at which it meets, and there to the first tree: so each pair is looked at once, whatever it shares.
     """
-    n = len(tree)
-    order = np.lexsort(tree.T[::-1])
-    tree, low = tree[order], low[order]
-    apart = np.array([DEPTH if (d := np.flatnonzero(a)).size == 0 else int(d[0]) for a in tree[1:] != tree[:-1]], np.int64)
-    union, out = Union(n), []
-
-    def meet(i: int, j: int) -> None:
-        if union.join(i, j):
-            out.append((int(order[i]), int(order[j])))
-
-    near = (low[1:] == low[:-1]).sum(1) >= floor if n > 1 else np.zeros(0, bool)
-    for depth in range(DEPTH, prefix - 1, -1):
-        cuts = np.concatenate(([0], np.flatnonzero(apart < depth) + 1, [n]))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if b - a < 2:
-                continue
-            for i in range(a, b - 1):
-                if near[i]:
-                    meet(i, i + 1)
-            roots = np.array([union.root(i) for i in range(a, b)])
-            if (roots == roots[0]).all():
-                continue
-            for i in range(a, b):
-                other = np.flatnonzero(roots[i - a + 1 :] != union.root(i)) + i + 1
-                if len(other):
-                    for j in other[(low[other] == low[i]).sum(1) >= floor].tolist():
-                        meet(i, j)
-    return out
 
+    def __init__(self, tree: int, sigs: list[bytes], blocks: list[int], apart: bool, depth: int, before: int | None, floor: int) -> None:
+        full = _matrix(sigs)
+        self.tree, self.floor, self.low = tree, floor, full.astype(np.uint8)
+        self.now = prefixes(full, depth)
+        self.before = prefixes(full, before) if before else None
+        self.blocks = np.array(blocks)
+        self.left = self.blocks.min() if apart else None
+
+    def partners(self, i: int) -> np.ndarray:
+        """The candidates of member i; each pair is given by one of its members."""
+        if self.left is None:
+            others = np.arange(i + 1, len(self.low))
+        elif self.blocks[i] != self.left:
+            return np.zeros(0, np.int64)
+        else:
+            others = np.flatnonzero(self.blocks != self.left)
+        t = self.tree
+        others = others[self.now[others, t] == self.now[i, t]]
+        others = others[~(self.now[others, :t] == self.now[i, :t]).any(1)]
+        if self.before is not None and len(others):
+            others = others[~(self.before[others] == self.before[i]).any(1)]
+        return others[(self.low[others] == self.low[i]).sum(1) >= self.floor]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows sorted by their first columns, group by group."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != now:
+                if held:
+                    yield now, held
+                now, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield now, held
 
-def _descend(prefix: int, floor: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (tree, node, i, j, rep, sig) sorted by the first four to candidate edges."""
 
-    def finish(tree: int, reps: list[int], sigs: list[bytes]) -> list[tuple[int, int]]:
-        if len(reps) < 2:
-            return []
-        full = np.frombuffer(b"".join(sigs), np.uint32).reshape(len(reps), TREES * DEPTH)
-        got = ascend(full[:, tree * DEPTH : (tree + 1) * DEPTH], full.astype(np.uint8), prefix, floor)
-        return [(reps[a], reps[b]) for a, b in got]
+def _in_batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4096) -> Iterator[pa.RecordBatch]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, reps, sigs, out = None, [], [], []
-        for batch in batches:
-            for tree, node, i, j, rep, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now != (tree, node, i, j):
-                    if now:
-                        out += finish(now[0], reps, sigs)
-                    now, reps, sigs = (tree, node, i, j), [], []
-                reps.append(rep)
-                sigs.append(sig)
-            if out:
-                yield edges(out)
-                out = []
-        if now:
-            out += finish(now[0], reps, sigs)
-        if out:
-            yield edges(out)
-
-    def edges(rows: list) -> pa.RecordBatch:
-        a, b = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return run
+ACTIVE = pa.schema([("tree", pa.int32()), ("node", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("rep", pa.int64()), ("sig", pa.binary())])
+FOUND = pa.schema([("rep", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
+
 
+def _active(depth: int, before: int | None, floor: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Members (tree, node, i, j, block, rep, sig), sorted by the first four, that have a candidate in their group."""
 
-def count_links(sets: list[np.ndarray], side: list[int] | None, similar: float) -> tuple[list[int], list[tuple[int, int]]]:
-    """Exact Jaccard over sorted sets of hashes: links of each set, and pairs that join the linked. side: block of each set, to compare across blocks alone."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for key, held in _grouped(batches, 4):
+            if len(held) < 2:
+                continue
+            blocks, _, sigs = zip(*held, strict=True)
+            node = Node(key[0], sigs, blocks, key[2] != key[3], depth, before, floor)
+            alive = np.zeros(len(held), bool)
+            for i in range(len(held)):
+                found = node.partners(i)
+                if len(found):
+                    alive[i] = True
+                    alive[found] = True
+            for i in np.flatnonzero(alive).tolist():
+                yield *key, *held[i]
+
+    return lambda batches: _in_batches(rows(batches), ACTIVE)
+
+
+def count_links(sets: list[np.ndarray], partners: Callable[[int], np.ndarray], similar: float) -> tuple[list[int], list[tuple[int, int]], dict[int, int]]:
+    """Exact Jaccard similarity of sorted sets of hashes with their partners: links of each set, pairs that join the linked, and the links by similarity in hundredths."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(n), sizes)
     by = np.argsort(flat, kind="stable")
     flat, owner = flat[by], owner[by]
-    links, union, out = np.zeros(n, np.int64), Union(n), []
-    sides = np.array(side) if side is not None else None
+    links, union, out, levels = np.zeros(n, np.int64), Union(n), [], {}
     for i, own in enumerate(sets):
-        if sides is not None and sides[i] != 0:
+        others = partners(i)
+        if not len(others):
             continue
         a, b = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
         many = b - a
         at = np.repeat(a - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        shared = np.bincount(owner[at], minlength=n)
-        ok = shared >= similar * (sizes[i] + sizes - shared) - 1e-9
-        if sides is None:
-            ok[: i + 1] = False
-        else:
-            ok &= sides == 1
-        found = np.flatnonzero(ok)
+        shared = np.bincount(owner[at], minlength=n)[others]
+        either = sizes[i] + sizes[others] - shared
+        ok = shared >= similar * either - 1e-9
+        found = others[ok]
         links[i] += len(found)
         links[found] += 1
+        for s, k in zip(*np.unique((shared[ok] * 100 // either[ok]), return_counts=True), strict=True):
+            levels[int(s)] = levels.get(int(s), 0) + int(k)
         for j in found.tolist():
             if union.join(i, j):
                 out.append((i, j))
-    return links.tolist(), out
+    return links.tolist(), out, levels
 
 
-def _verify(similar: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (group, i, j, block, rep, text) sorted by the first three to (rep, other, links): links counted, and edges that join the linked."""
+def _verify(similar: float, depth: int, before: int | None, floor: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (tree, node, i, j, block, rep, sig, text) sorted by the first four to FOUND: (rep, null, links), edges (rep, other, 0) that join the linked, and links by similarity (null, hundredths, links)."""
 
-    def finish(key: tuple, rows: list) -> list[tuple]:
-        if len(rows) < 2:
-            return []
-        texts = [r[2] for r in rows]
-        buf = np.frombuffer(b"".join(texts), np.uint8)
-        hashes, first = shingle_hashes(buf, np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64), WORDS)
-        sets = [np.unique(hashes[first[i] : first[i + 1]]) for i in range(len(rows))]
-        side = None if key[1] == key[2] else [0 if r[0] == key[1] else 1 for r in rows]
-        links, pairs = count_links(sets, side, similar)
-        return [(r[1], None, n) for r, n in zip(rows, links, strict=True) if n] + [(rows[a][1], rows[b][1], 0) for a, b in pairs]
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for key, held in _grouped((b.set_column(7, "text", b.column(7).cast(pa.binary())) for b in batches), 4):
+            blocks, reps, sigs, texts = zip(*held, strict=True)
+            node = Node(key[0], sigs, blocks, key[2] != key[3], depth, before, floor)
+            hashes, first = shingle_hashes(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64), WORDS)
+            sets = [np.unique(hashes[first[i] : first[i + 1]]) for i in range(len(held))]
+            links, pairs, levels = count_links(sets, node.partners, similar)
+            yield from ((r, None, n) for r, n in zip(reps, links, strict=True) if n)
+            yield from ((reps[a], reps[b], 0) for a, b in pairs)
+            yield from ((None, s, n) for s, n in levels.items())
 
-    def batch_of(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["rep", "other", "links"])
+    return lambda batches: _in_batches(rows(batches), FOUND)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, out = None, [], []
-        for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-            blocks, reps = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            data, offs = raw(batch.column(5))
-            for i, key in enumerate(keys):
-                if key != now:
-                    if now:
-                        out += finish(now, held)
-                    now, held = key, []
-                held.append((blocks[i], reps[i], data[offs[i] : offs[i + 1]].tobytes()))
-            if out:
-                yield batch_of(out)
-                out = []
-        if now:
-            out += finish(now, held)
-        if out:
-            yield batch_of(out)
 
-    return run
+def in_blocks(members: DataFrame, counts: DataFrame, size: int) -> DataFrame:
+    """Add i, j and block: a node of at most `size` members is one block (0, 0); more are dealt by a hash into blocks, and each row goes to all block pairs that hold its own. counts: (tree, node, n)."""
+    joined = members.join(counts, ["tree", "node"]).withColumn("b", F.ceil(F.col("n") / size).cast("int"))
+    joined = joined.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("b")).cast("int"))
+    spread = joined.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+    return spread.withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")}).drop("n", "b", "o")
 
 
-def in_blocks(members: DataFrame, key: list[str], size: int) -> DataFrame:
-    """Add i and j: a key of at most `size` rows is one block (0, 0); more are dealt by a hash into blocks, and each row goes to all block pairs that hold its own."""
-    counts = materialize(members.groupBy(*key).agg(F.count("*").alias("__n")).where("__n > 1"), "group-sizes")
-    joined = members.join(counts, key).withColumn("__b", F.ceil(F.col("__n") / size).cast("int"))
-    joined = joined.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("__b")).cast("int"))
-    spread = joined.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
-    return spread.withColumns({"i": F.least("block", "__o"), "j": F.greatest("block", "__o")}).drop("__n", "__b", "__o")
+def _pass(rows: DataFrame, single: DataFrame, similar: float, depth: int, before: int | None, floor: int) -> DataFrame:
+    """Links of the pairs that meet at `depth` and did not at `before`, as _verify gives them; written."""
+    key, parts = ["tree", "node", "i", "j"], int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    planted = map_arrow(single, _plant(depth), "tree int, node long, rep long")
+    counts = materialize(planted.groupBy("tree", "node").agg(F.count("*").alias("n")).where("n > 1"), "node-sizes")
+    nodes = in_blocks(planted, counts, NODE).join(single, "rep").select(*key, "block", "rep", "sig")
+    dealt = nodes.repartition(parts, *key).sortWithinPartitions(*key)
+    active = materialize(map_arrow(dealt, _active(depth, before, floor), "tree int, node long, i int, j int, block int, rep long, sig binary"), "candidates")
+    texts = rows.select(F.col(RK).alias("rep"), "text").join(active, "rep").select(*key, "block", "rep", "sig", "text")
+    dealt = texts.repartition(parts, *key).sortWithinPartitions(*key)
+    found = materialize(map_arrow(dealt, _verify(similar, depth, before, floor), "rep long, other long, links long"), "links")
+    forget(counts, active)
+    return found
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
     """Link documents whose sets of five-word shingles have a Jaccard similarity of at least `similar`.
 
-    Documents with equal sets are copies; the least stands for them. Sixteen prefix trees of MinHash values hold the
-    representatives. The prefix is shortened from eight values until two sets at the threshold meet in some tree with
-    probability `recall`; the members of a node, sorted as the trie is, are joined from longer to shorter prefixes where
-    their whole signatures agree enough (five standard deviations under the threshold, so that this loses nothing). What
-    is joined forms candidate groups, and in each all pairs are verified exactly on whole texts by an inverted index;
-    links are counted where they are found, no pair is emitted but those that join a class. Larger nodes and groups are
-    dealt into pairs of blocks, which is exact as well.
+    Documents with equal sets are copies; the least stands for them. Sixteen prefix trees of eight MinHash values hold the
+    representatives. Pairs that share a whole prefix in some tree, and whose signatures agree enough (five standard
+    deviations under the threshold, so that this loses nothing), are verified exactly on whole texts by an inverted index
+    over the members of the node. Then the prefix is shortened by two values and what newly meets is verified, until the
+    similarities found say that at most 1 - `recall` of the links, and less than one, are still to be expected, or two
+    sets at the very threshold meet with probability `recall`. A pair is counted at the first prefix and in the first tree
+    where it meets; none is emitted but those that join a class. A node of many members is dealt into pairs of blocks.
 
     Returns id, class_id (least id linked to it, directly or through others; its own if none), copy_id (least id with an
     equal shingle set) and n_links (other shingle sets linked directly to this one; copies count once).
 
     Defined cases: a null text, or one without words, is in a class of its own without links; a text of one to four
-    words is one shingle; where rows repeat an id, or ids are null or no integers, class_id and copy_id are row numbers
-    that the operator gives; an empty table gives no rows; other columns are ignored.
+    words is one shingle; a pair just at the threshold is linked; of tied representatives the least id stands; where rows
+    repeat an id, or ids are null or no integers, class_id and copy_id are row numbers that the operator gives; a very
+    long text is held whole, with about 40 bytes for each of its bytes, and beside it the texts of up to 2 x 512 members
+    of its node that have candidates; an empty table gives no rows; other columns are ignored, whatever their names.
     """
-    rows = keyed(docs, id_col, text_col).select(RK, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = keyed(docs, id_col, text_col)
     signed = materialize(map_arrow(rows.select(RK, "text"), _sign, f"{RK} long, digest binary, sig binary"), "signatures")
-    copies = materialize(signed.groupBy("digest").agg(F.min(RK).alias("rep"), F.count("*").alias("n")), "copies")
+    copies = materialize(signed.groupBy("digest").agg(F.min(RK).alias("rep")), "copies")
     single = signed.join(copies, (signed["digest"] == copies["digest"]) & (signed[RK] == copies["rep"]), "left_semi").select(F.col(RK).alias("rep"), "sig")
     single = materialize(single, "representatives")
-    prefix, floor = prefix_length(similar, recall), chance_floor(similar, TREES * DEPTH)
-    planted = map_arrow(single, _plant(prefix), "tree int, node long, rep long")
-    nodes = in_blocks(planted, ["tree", "node"], NODE).join(single, "rep").select("tree", "node", "i", "j", "rep", "sig")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = nodes.repartition(parts, "tree", "node", "i", "j").sortWithinPartitions("tree", "node", "i", "j")
-    candidates = components(map_arrow(dealt, _descend(prefix, floor), "a long, b long"))
-    grouped = candidates.select(F.col("node").alias("rep"), F.col("root").alias("group")).union(candidates.select(F.col("root").alias("rep"), F.col("root").alias("group")).distinct())
-    placed = in_blocks(materialize(grouped, "candidates"), ["group"], NODE // 2)
-    texts = rows.select(F.col(RK).alias("rep"), "text").join(placed, "rep").select("group", "i", "j", "block", "rep", "text")
-    dealt = texts.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j")
-    found = materialize(map_arrow(dealt, _verify(similar), "rep long, other long, links long"), "links")
-    classes = components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    links = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("n_links"))
+    floor, before, tables, levels = chance_floor(similar, TREES * DEPTH), None, [], {}
+    for depth in ladder(similar, recall):
+        tables.append(_pass(rows, single, similar, depth, before, floor))
+        for r in tables[-1].where("rep IS NULL").groupBy("other").agg(F.sum("links").alias("n")).collect():  # a row for each hundredth
+            levels[r["other"]] = levels.get(r["other"], 0) + r["n"]
+        still, before = missing(levels, depth), depth
+        if levels and still < 1 and still <= (1 - recall) * sum(levels.values()):
+            break
+    found = tables[0]
+    for x in tables[1:]:
+        found = found.union(x)
+    classes = components(found.where("rep IS NOT NULL AND other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    links = found.where("other IS NULL").groupBy("rep").agg(F.sum("links").alias("n_links"))
     reps = copies.select("digest", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
     reps = materialize(reps.select("digest", "rep", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "classes")
-    done = signed.select(RK, "digest").join(reps, "digest").select(RK, "rep", "root", "n_links")
+    done = materialize(signed.select(RK, "digest").join(reps, "digest").select(RK, "rep", "root", "n_links"), "members")
+    forget(signed, copies, single, reps, *tables)
     out = rows.select(RK, "id").join(done, RK, "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("root", RK).alias("class_id"), F.coalesce("rep", RK).alias("copy_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

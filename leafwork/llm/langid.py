@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from leafwork.llm.common import map_arrow, raw, row_chunks
 
 HIDDEN, STEPS = 8, 64  # units in each direction; bytes of a window
-SAMPLE_DOCS, SAMPLE_BYTES = 4000, 4096  # bound of what training sees: documents, and bytes of each
+SAMPLE_DOCS, SAMPLE_WINDOWS = 4000, 64  # bound of what training sees: labelled documents, and windows of each
 ROUNDS, BATCH, RATE = 240, 192, 0.02
 WINDOWS = 2048  # worked on at once
 UNKNOWN = "und"
@@ -208,43 +208,71 @@ def _predict(model: Model, field: int) -> Callable[[Iterator[pa.RecordBatch]], I
 
 def held_out(id_col: str = "doc_id") -> Column:
     """A quarter of the documents, by the CRC-32 of the id as text, that training never sees."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 7) -> Model | None:
-    """Learn from at most SAMPLE_DOCS labelled documents that aren't held out, the least by a hash of their id, and SAMPLE_BYTES of each. None if there are none."""
-    usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull())
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 40))
-    many = usable.count()  # ids and labels alone
-    if many > 2 * SAMPLE_DOCS:  # so that tasks send the driver what it may take, and not as much each
-        usable = usable.where(place < int((1 << 40) * 2 * SAMPLE_DOCS / many))
-    picked = usable.where(F.col(text_col).rlike(r"\p{L}")).select(place.alias("h"), F.col(id_col).alias("i"), F.substring(F.col(text_col), 1, SAMPLE_BYTES).alias("t"), F.col(lang_col).alias("g"))
-    rows = picked.orderBy("h", "i", "t", "g").limit(SAMPLE_DOCS).collect()  # 4000 x 4096 characters at most
-    return train([r["t"].encode()[:SAMPLE_BYTES] for r in rows], [r["g"] for r in rows], seed) if rows else None
+def spread(text: bytes, windows: int) -> bytes:
+    """A text of at most so many windows; of a longer one that many, evenly spread from its first byte to its last."""
+    if len(text) <= windows * STEPS:
+        return text
+    return b"".join(text[a : a + STEPS] for a in (i * (len(text) - STEPS) // max(windows - 1, 1) for i in range(windows)))
+
+
+def _sample(windows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(place, text, label) to the same with each text thinned."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = raw(batch.column(1))
+            thin = [spread(data[offs[i] : offs[i + 1]].tobytes(), windows) for i in range(len(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(thin, pa.binary()), batch.column(2)], names=["h", "t", "g"])
+
+    return run
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 7, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> Model | None:
+    """Learn from at most `sample_docs` labelled documents with letters that aren't held out, the least by a hash of their
+    id, and from `sample_windows` 64-byte windows of each, spread over its whole text. None if there are no such documents.
+
+    The hash range that is looked at is widened until it holds enough documents or is all: the sample is the same at every
+    width, and tasks send the driver about what it takes.
+    """
+    usable = docs.where(~held_out(id_col) & F.col(f"`{lang_col}`").isNotNull())
+    place, full = F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.lit(1 << 40)), 1 << 40
+    width = min(full, full * 2 * sample_docs // max(usable.count(), 1))  # ids and labels alone
+    while True:
+        near = usable.where((place < width) & F.col(f"`{text_col}`").rlike(r"\p{L}"))
+        picked = map_arrow(near.select(place.alias("h"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").alias("g")), _sample(sample_windows), "h long, t binary, g string")
+        rows = picked.orderBy("h", "t", "g").limit(sample_docs).collect()  # bounded by the two sample sizes
+        if len(rows) == sample_docs or width >= full:
+            return train([bytes(r["t"]) for r in rows], [r["g"] for r in rows], seed) if rows else None
+        width = min(full, 4 * width)
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """All columns of docs and the predicted language with its probability; documents stay where they are, nothing moves."""
+    """All columns of docs and the predicted language with its probability, under names that docs don't have; documents stay where they are, nothing moves."""
     if model is None:
         return docs.withColumns({pred: F.lit(UNKNOWN), score: F.lit(0.0)})
     taken = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     schema = T.StructType([*taken.schema.fields, T.StructField("__pred", T.StringType()), T.StructField("__score", T.DoubleType())])
     found = map_arrow(taken, _predict(model, docs.columns.index(text_col)), schema)
-    return found.select("__row.*", F.col("__pred").alias(pred), F.col("__score").alias(score))
+    return found.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns], F.col("__pred").alias(pred), F.col("__score").alias(score))
 
 
-def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> DataFrame:
     """Fit on a bounded sample of the labelled documents that aren't held out, then label every byte of every document.
 
     Each byte's label probabilities come from a forward and a backward gated recurrent pass over its 64-byte window; a
-    document's are their mean. Language, source and id are no inputs of a prediction.
+    document's are their mean. Language, source and id are no inputs of a prediction. The bound of the sample is
+    `sample_docs` labelled documents and `sample_windows` windows of each; every byte is labelled, however long the text.
 
     Returns id, held_out, lang_pred, score.
 
     Defined cases: a text that is null or has no letter is `und` with score 0; with no labelled document all are `und`;
-    rows that repeat are predicted alike; an empty table gives no rows; other columns are ignored. A label too rare for
-    the sample isn't learned.
+    of tied languages the first by name is taken; rows that repeat are predicted alike, a null id is not held out; a very
+    long text is held whole, with about 60 bytes for each of its bytes; an empty table gives no rows; other columns are
+    ignored, whatever their names. A label too rare for the sample isn't learned.
     """
-    model = fit(docs, id_col, text_col, lang_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    model = fit(docs, id_col, text_col, lang_col, sample_docs=sample_docs, sample_windows=sample_windows)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return identify(rows, model).select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "lang_pred", "score")

@@ -1,19 +1,21 @@
-"""Packing of documents into training sequences of several permitted lengths."""
+"""Packing of tokenized documents into training sequences of several permitted lengths."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import RK, keyed, materialize
+from leafwork.llm.common import RK, keyed, map_arrow, materialize, raw, row_chunks
+from leafwork.llm.token_files import encoder, tokenizer_path
 
 SIZES = (1024, 4096, 16384)
 OVERHEAD = 64  # what a sequence costs beside its length
-SHARD = 8192  # pieces packed together
+SHARD = 2048  # pieces packed together
+CHUNK = 4 << 20  # bytes of text encoded at once
 
 
 def fits(sizes: Sequence[int], length: int) -> int:
@@ -70,42 +72,66 @@ def pack_lengths(lengths: Sequence[int], sizes: Sequence[int] = SIZES, overhead:
     return out, best[2]
 
 
-def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes: Sequence[int] = SIZES, overhead: int = OVERHEAD, length_col: str | None = None, shard: int = SHARD) -> DataFrame:
-    """Pack every document, one end token behind it, into sequences of permitted lengths.
+def _pieces(tokenizer: str, end: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, key, text) to token ids, `end` behind each text, cut into pieces of at most `most`: (id, key, piece, start, length, ids)."""
 
-    A document's length is its UTF-8 bytes (or `length_col`) and one; what is longer than the longest sequence is cut into
-    pieces. Pieces are dealt by a hash into shards of about `shard` pieces, and each shard is packed by itself: no task
-    grows with the table, and at most a few sequences a shard stay half full. Only lengths move, never text.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            encode = encoder(tokenizer)
+            data, offs = raw(batch.column(2))
+            for lo, hi in row_chunks(offs, CHUNK):
+                ids, n = encode(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], end)
+                per = -(-n // most)
+                row = np.repeat(np.arange(len(n)), per)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+                start = piece * most
+                length = np.minimum(n[row] - start, most)
+                bounds = np.concatenate(([0], np.cumsum(length))) * ids.itemsize
+                body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(ids.tobytes())])
+                own = pa.array(lo + row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(piece), pa.array(start), pa.array(length), body.cast(pa.binary())], names=["id", RK, "piece", "start", "length", "ids"])
 
-    Returns id, piece, start (in the document), length, shard, bin, capacity, offset (in the bin).
+    return run
 
-    Defined cases: a null text is empty and takes one token, its end; equal lengths are packed by id, then piece; rows
-    that repeat an id are packed each; a null length counts as 0; an empty table gives no rows; other columns are ignored.
+
+def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, sizes: Sequence[int] = SIZES, overhead: int = OVERHEAD, shard: int = SHARD) -> DataFrame:
+    """Tokenize every document, one end token behind it, and pack the tokens into sequences of permitted lengths.
+
+    What is longer than the longest sequence is cut into pieces. Pieces are dealt by a hash into shards of about `shard`
+    pieces, or 512 tokens for each of them, and each shard is packed by itself: no task grows with the table, and at most
+    a few sequences a shard stay half full. Text is encoded where it lies; token ids move once. `tokenizer` is a file of
+    the tokenizers library (the 50k byte-level vocabulary if None).
+
+    Returns a row for each sequence: shard, bin, capacity (the least permitted length that holds it), used (its tokens),
+    doc_ids, starts and lengths (of its pieces: their documents, where in these they start, their tokens), and ids: the
+    tokens of all pieces end to end.
+
+    Defined cases: a null text is empty and takes one token, its end; pieces tied in length are packed by id, then piece;
+    rows that repeat an id, or have none, are packed each; a very long text is encoded whole, at about thirty bytes a byte,
+    and cut; an empty table gives no rows; other columns are ignored, whatever their names.
     """
-    sizes = sorted(sizes)
-    most = sizes[-1]
-    rows = keyed(docs, id_col, length_col or text_col)
-    n = F.coalesce(F.col(length_col).cast("long") if length_col else F.octet_length(text_col).cast("long"), F.lit(0).cast("long")) + 1
-    cut = rows.select(F.col(id_col).alias("id"), RK, n.alias("n")).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / most))))
-    start = F.col("piece") * most
-    pieces = materialize(cut.select("id", RK, "piece", start.alias("start"), F.least(F.lit(most), F.col("n") - start).cast("long").alias("length")), "pieces")
-    shards = max(1, -(-pieces.count() // shard))
-    id_type = docs.schema[id_col].dataType
+    sizes, place = sorted(sizes), tokenizer or tokenizer_path()
+    rows = keyed(docs, id_col, text_col).select("id", RK, "text")
+    kind = docs.schema[id_col].dataType.simpleString()
+    pieces = materialize(map_arrow(rows, _pieces(place, end_id, sizes[-1]), f"id {kind}, {RK} long, piece long, start long, length long, ids binary"), "pieces")
+    n, tokens = pieces.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    shards = max(1, -(-n // shard), -(-tokens // (512 * shard)))
 
     def pack(table: pa.Table) -> pa.Table:
         order = np.lexsort([table["piece"].to_numpy(), table[RK].to_numpy()])
         table = table.take(pa.array(order))
-        lengths = table["length"].to_pylist()
-        bins, final = pack_lengths(lengths, sizes, overhead)
-        at, offs = [0] * len(final), []
-        for b, size in zip(bins, lengths, strict=True):
-            offs.append(at[b])
-            at[b] += size
-        out = table.drop_columns([RK])
-        for name, x in (("bin", bins), ("capacity", [final[b] for b in bins]), ("offset", offs)):
-            out = out.append_column(name, pa.array(x, pa.int64()))
-        return out
+        bins, final = pack_lengths(table["length"].to_pylist(), sizes, overhead)
+        by = np.argsort(bins, kind="stable")
+        first = np.searchsorted(np.array(bins)[by], np.arange(len(final) + 1))
+        table = table.take(pa.array(by))
+        length = table["length"].to_numpy()
+        used = np.add.reduceat(length, first[:-1])
+        body = table["ids"].to_pylist()
+        flat = np.frombuffer(b"".join(body), encoder(place).dtype).astype(np.int32)
+        lists = lambda at, values: pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), values)
+        nested = [lists(first, table[c].combine_chunks()) for c in ("id", "start", "length")] + [lists(np.concatenate(([0], np.cumsum(used))), pa.array(flat))]
+        small = [x.cast(pa.list_(x.type.value_type)) for x in nested]
+        return pa.table([pa.array([table["shard"][0].as_py()] * len(final), pa.int64()), pa.array(range(len(final)), pa.int64()), pa.array(final, pa.int64()), pa.array(used, pa.int64()), *small], names=["shard", "bin", "capacity", "used", "doc_ids", "starts", "lengths", "ids"])
 
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(RK, "piece"), F.lit(shards)).cast("long"))
-    packed = dealt.groupBy("shard").applyInArrow(pack, f"id {id_type.simpleString()}, piece long, start long, length long, shard long, bin long, capacity long, offset long")
-    return packed.withColumnRenamed("id", id_col)
+    return dealt.groupBy("shard").applyInArrow(pack, f"shard long, bin long, capacity long, used long, doc_ids array<{kind}>, starts array<long>, lengths array<long>, ids array<int>")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leafwork.llm import decontaminate, fingerprint, jaccard, langid, lines, packing, substring, token_files, warc
 
@@ -14,15 +14,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
-    """The 50k byte-level vocabulary: LEAFWORK_TOKENIZER, or that of the installed public_tokenizers package."""
-    if place := os.environ.get("LEAFWORK_TOKENIZER"):
-        return place
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.suffix_array_dedup(_table(spark, sf_dir, "documents"))
 
@@ -52,11 +43,13 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    span = lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["past"].cast("string"))
+    return found.withColumn("hits", F.array_join(F.transform("hits", span), ","))  # byte offsets in the original text
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_round_trip(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_files.token_round_trip(_table(spark, sf_dir, "documents"), token_files.tokenizer_path())
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,11 +115,16 @@ b AS (SELECT DISTINCT item_id, least(len(words), 13) AS n, array_to_string(words
 sizes AS (SELECT DISTINCT n FROM b),
 x AS (SELECT doc_id, i, n, array_to_string(words[i : i + n - 1], ' ') AS win FROM dw, sizes, unnest(range(1, greatest(len(words) - n + 2, 1))) t(i)),
 h AS (SELECT x.doc_id, x.i, x.n, b.item_id FROM x JOIN b ON x.win = b.win AND x.n = b.n),
-p AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
-q AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
-SELECT dw.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
-FROM dw LEFT JOIN p ON dw.doc_id = p.doc_id LEFT JOIN q ON dw.doc_id = q.doc_id""",
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM h),
+q AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id),
+cut AS (SELECT doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words, string_split_regex(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS gaps FROM documents WHERE doc_id IN (SELECT doc_id FROM g)),
+place AS (SELECT doc_id, p, strlen(gap) AS gap, strlen(word) AS word FROM (SELECT doc_id, unnest(words) AS word, unnest(gaps[: len(words)]) AS gap, generate_subscripts(words, 1) AS p FROM cut)),
+pos AS (SELECT doc_id, p, sum(gap + word) OVER w AS past, sum(gap + word) OVER w - word AS start FROM place WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+run AS (SELECT doc_id, min(start) AS start, max(past) AS past, count(*) AS n FROM (SELECT pos.*, pos.p - row_number() OVER (PARTITION BY pos.doc_id ORDER BY pos.p) AS island FROM pos JOIN g ON pos.doc_id = g.doc_id AND pos.p = g.p) GROUP BY doc_id, island),
+r AS (SELECT doc_id, sum(n) AS n_hit, string_agg(start || '-' || past, ',' ORDER BY start) AS hits FROM run GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated, coalesce(hits, '') AS hits
+FROM dw LEFT JOIN r ON dw.doc_id = r.doc_id LEFT JOIN q ON dw.doc_id = q.doc_id""",
     "op10_warc": """
 WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS keeper FROM p)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.llm import hashing as H
-from leafwork.llm.common import RK, cover, keyed, map_arrow, raw, row_chunks, spans_of
+from leafwork.llm.common import RK, cover, keyed, map_arrow, plan_bytes, raw, row_chunks, spans_of
 from leafwork.llm.prefix_free import repeated_windows
 from leafwork.llm.superwindow import CHUNK, Kind, repeated_spans
 
@@ -80,8 +80,8 @@ def remove(kind: Kind, with_text: bool) -> Callable[[Iterator[pa.RecordBatch]],
 
 def _dedup(docs: DataFrame, id_col: str, text_col: str, kind: Kind, repeats, n_name: str, with_text: bool) -> DataFrame:
     rows = keyed(docs, id_col, text_col)
-    spans = repeated_spans(rows, text_col, kind, repeats).groupBy(RK).agg(F.collect_list("data").alias("__found"))
-    joined = rows.join(spans, RK, "left").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "__found")
+    spans = repeated_spans(rows, "text", kind, repeats, plan_bytes(docs)).groupBy(RK).agg(F.collect_list("data").alias("__found"))
+    joined = rows.join(spans, RK, "left").select("id", "text", "__found")
     kept = ", kept binary" if with_text else ""
     kind_of = docs.schema[id_col].dataType.simpleString()
     out = map_arrow(joined, remove(kind, with_text), f"id {kind_of}, n long, n_removed long, n_spans long, kept_sha256 string{kept}")
@@ -96,8 +96,9 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     `with_text`, kept (bytes: a cut may fall inside a character).
 
     Defined cases: a null text is empty; texts under `size` bytes lose nothing; an empty table gives no rows; rows that
-    repeat an id, or whose id is null, are documents of their own; equal texts lose all their windows, in every copy;
-    columns other than the two named are ignored.
+    repeat an id, or whose id is null, are documents of their own; equal texts lose all their windows, in every copy: there
+    are no ties to break; a very long text is held whole, with about 100 bytes for each of its bytes; columns other than
+    the two named are ignored, whatever their names.
     """
     kind = Kind(size, min(24, size), False)
     return _dedup(docs, id_col, text_col, kind, partial(repeated_windows, size=size), "n_bytes", with_text)

@@ -5,8 +5,12 @@ A window is `size` consecutive units (bytes or words) of one document. Its minim
 bucket; equal windows share their minimiser and so meet there. One shuffle moves about three times the text, compressed;
 the bucket alone decides which windows repeat, and returns spans of units.
 
-Hot strings: a packed string that a map task sees again is settled there (all its windows repeat), and only its first
-copy travels, marked. A bucket thus gets a string at most once from each map task, however many documents hold it.
+Hot strings: a packed string that a map task sees again among 12 MB of text is settled there (all its windows repeat), and
+only its first copy travels, marked. A bucket that gets more than it may hold first reduces equal strings to one marked
+copy; so however many documents hold a string, it takes the room of one. If the strings that are left differ, as those of a
+very common minimiser in ever new surroundings do, they are cut again by a longer minimiser under another hash and dealt to
+64 buckets of the next level, by one more shuffle of that part alone. At the last level the minimiser is the window itself.
+Equal windows take the same way through all levels, so every level is exact.
 """
 
 from __future__ import annotations
@@ -16,21 +20,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.llm import hashing as H
-from leafwork.llm.common import RK, map_arrow, plan_bytes, raw, row_chunks, spans_of
+from leafwork.llm.common import RK, map_arrow, materialize, raw, row_chunks, spans_of
 
 _U = np.uint64
 CHUNK = 1 << 20  # bytes of text worked on at once
 FLUSH = 12 << 20  # bytes of text whose strings are packed together
-BUCKET_BYTES = 4 << 20  # of input, for each bucket
+BUCKET_BYTES = 2 << 20  # of input, for each bucket
+HELD = 32 << 20  # bytes of strings that a bucket holds before it reduces or cuts them
+COMPARED = 4 << 20  # bytes of strings compared at once; strings with one minimiser stay together
+FAN = 64  # buckets of the next level for one that is cut
 MOST_PARTS = 1 << 15  # shuffle partitions, if the session doesn't ask for more; each streams its buckets one by one
 UNKNOWN = 1 << 47  # an estimate beyond this is none
-PACKED = pa.schema([("bucket", pa.int32()), (RK, pa.int64()), ("data", pa.binary()), ("settled", pa.bool_())])
-SPANS = pa.schema([(RK, pa.int64()), ("data", pa.binary())])
+PACKED = pa.schema([("bucket", pa.int64()), (RK, pa.int64()), ("data", pa.binary()), ("settled", pa.bool_())])
 _COLUMNS = (("val", np.uint32), ("first", np.int64), ("wins", np.int64), ("rk", np.int64), ("flag", np.uint8), ("len", np.int64))
 
 
@@ -41,6 +48,11 @@ class Kind:
     size: int
     gram: int
     words: bool
+    level: int = 0
+
+    def next(self) -> Kind | None:
+        """The kind that cuts a bucket of this one: a longer minimiser under another hash; None where windows are cut one by one already."""
+        return None if self.gram == self.size else Kind(self.size, min(self.size, 2 * self.gram), self.words, self.level + 1)
 
 
 def least(codes: np.ndarray, n: int) -> np.ndarray:
@@ -71,6 +83,8 @@ def super_windows(kind: Kind, codes: np.ndarray, rows: np.ndarray):
     if not total:
         return None
     grams = H.rolling(codes, kind.gram)
+    if kind.level:
+        grams = H.mix(grams + _U(kind.level))
     key = ((grams >> _U(32)) << _U(32)) | np.arange(len(grams), dtype=_U)
     mins = least(key, kind.size - kind.gram + 1)
     row = np.repeat(np.arange(len(spare)), spare)
@@ -84,11 +98,68 @@ def super_windows(kind: Kind, codes: np.ndarray, rows: np.ndarray):
     return val[head], win[head], tail - head + 1, row[head], got[head] != got[tail]
 
 
+def cut(kind: Kind, buf: np.ndarray, offs: np.ndarray):
+    """Super-windows of the rows of a buffer: minimiser, first unit in the row, windows, row, whether the minimiser moves, and the string of each; None if there are none."""
+    if kind.words:
+        buf, offs = squeeze(buf, offs)
+        starts, ends, rows = H.words(buf, offs)
+        codes = H.word_hashes(buf, starts, ends)
+    else:
+        rows, codes = offs, H.BYTE_CODE[buf]
+    got = super_windows(kind, codes, rows)
+    if got is None:
+        return None
+    val, first, wins, row, moves = got
+    past = first + wins + kind.size - 1
+    froms, tos = (starts[first], ends[past - 1]) if kind.words else (first, past)
+    text = buf.tobytes()
+    return val, first - rows[row], wins, row, moves, [text[a:b] for a, b in zip(froms.tolist(), tos.tolist(), strict=True)]
+
+
+def blob(squash: zstandard.ZstdCompressor, table: dict[str, np.ndarray], strings: list[bytes]) -> bytes:
+    head = [np.diff(table[n], prepend=0).astype(t) if n == "rk" else table[n].astype(t) for n, t in _COLUMNS]
+    return squash.compress(b"".join([np.int64(len(strings)).tobytes(), *(x.tobytes() for x in head), *strings]))
+
+
+def unpacked(blobs: list[bytes]) -> tuple[dict[str, np.ndarray], list[bytes]]:
+    heads: dict[str, list] = {name: [] for name, _ in _COLUMNS}
+    strings: list[bytes] = []
+    for x in blobs:
+        flat = zstandard.ZstdDecompressor().decompress(x)
+        n, pos = int(np.frombuffer(flat, np.int64, 1)[0]), 8
+        for name, t in _COLUMNS:
+            col = np.frombuffer(flat, t, n, pos)
+            heads[name].append(np.cumsum(col) if name == "rk" else col)
+            pos += n * np.dtype(t).itemsize
+        ends = pos + np.cumsum(heads["len"][-1])
+        strings += [flat[a:b] for a, b in zip((ends - heads["len"][-1]).tolist(), ends.tolist(), strict=True)]
+    return {name: np.concatenate(x) for name, x in heads.items()}, strings
+
+
+def by_bucket(kind: Kind, table: dict[str, np.ndarray], strings: list[bytes], home: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Strings as a compressed row for each bucket."""
+    squash = zstandard.ZstdCompressor(level=3)
+    order = np.argsort(home, kind="stable")
+    edges = np.flatnonzero(np.diff(home[order], prepend=-1, append=-1))
+    out = []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        part = order[a:b]
+        out.append((int(home[part[0]]), 0, blob(squash, {n: table[n][part] for n, _ in _COLUMNS}, [strings[i] for i in part.tolist()]), False))
+        if len(out) == 64 or b == len(order):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), PACKED, strict=True)], schema=PACKED)
+            out = []
+
+
+def spans_batch(found: np.ndarray) -> pa.RecordBatch:
+    """(key, start, past) rows as rows of PACKED that are settled: an array of spans for each key."""
+    rk, data = by_row(found)
+    return pa.RecordBatch.from_arrays([pa.array(rk & 0x7FFFFFFF), pa.array(rk), pa.array(data, pa.binary()), pa.array([True] * len(rk))], schema=PACKED)
+
+
 def pack(kind: Kind, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Map side: text to packed strings by bucket, and spans that this task alone can settle (bucket from the row's key)."""
+    """Map side: (key, text) to packed strings by bucket, and spans that this task alone can settle (bucket from the row's key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squash = zstandard.ZstdCompressor(level=1)
         cols: dict[str, list] = {name: [] for name, _ in _COLUMNS}
         seen: dict[bytes, int] = {}
         marked: list[int] = []
@@ -97,25 +168,12 @@ def pack(kind: Kind, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held
-            strings = list(seen)
-            if strings:
+            if seen:
                 table = {n: np.concatenate(cols[n]).astype(t) for n, t in _COLUMNS}
                 table["flag"][marked] |= 2
-                home = (H.mix(table["val"].astype(_U)) % _U(buckets)).astype(np.int32)
-                order = np.argsort(home, kind="stable")
-                edges = np.flatnonzero(np.diff(home[order], prepend=-1, append=-1))
-                out = []
-                for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    part = order[a:b]
-                    rks = table["rk"][part]
-                    head = [table[n][part] if n != "rk" else np.diff(rks, prepend=0) for n, _ in _COLUMNS]
-                    blob = squash.compress(b"".join([np.int64(b - a).tobytes(), *(x.tobytes() for x in head), *(strings[i] for i in part.tolist())]))
-                    out.append((int(home[part[0]]), 0, blob, False))
-                for k in range(0, len(out), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out[k : k + 64], strict=True), PACKED, strict=True)], schema=PACKED)
+                yield from by_bucket(kind, table, list(seen), (H.mix(table["val"].astype(_U)) % _U(buckets)).astype(np.int64))
             if local:
-                rk, data = by_row(np.concatenate(local))
-                yield pa.RecordBatch.from_arrays([pa.array((rk % buckets).astype(np.int32)), pa.array(rk), pa.array(data, pa.binary()), pa.array([True] * len(rk))], schema=PACKED)
+                yield spans_batch(np.concatenate(local))
             for x in cols.values():
                 x.clear()
             seen.clear()
@@ -127,36 +185,25 @@ def pack(kind: Kind, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
             data, offs = raw(batch.column(1))
             rks = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi in row_chunks(offs, CHUNK):
-                buf, off = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-                if kind.words:
-                    buf, off = squeeze(buf, off)
-                    starts, ends, rows = H.words(buf, off)
-                    codes = H.word_hashes(buf, starts, ends)
-                else:
-                    rows, codes = off, H.BYTE_CODE[buf]
-                got = super_windows(kind, codes, rows)
+                got = cut(kind, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 if got is not None:
-                    val, first, wins, row, moves = got
-                    past = first + wins + kind.size - 1
-                    text = buf.tobytes()
-                    froms = (starts[first] if kind.words else first).tolist()
-                    tos = (ends[past - 1] if kind.words else past).tolist()
+                    val, begin, wins, row, moves, strings = got
                     at, new, n = [], [], len(seen)
-                    for i, (a, b) in enumerate(zip(froms, tos, strict=True)):
-                        j = seen.setdefault(text[a:b], n)
+                    for i, x in enumerate(strings):
+                        j = seen.setdefault(x, n)
                         if j == n:
                             n += 1
                             new.append(i)
                         else:
                             marked.append(j)
                             at.append(i)
-                    rk, begin = rks[lo + row], first - rows[row]
+                    rk = rks[lo + row]
                     if new:
-                        for name, x in (("val", val), ("first", begin), ("wins", wins), ("rk", rk), ("flag", moves), ("len", np.subtract(tos, froms))):
+                        for name, x in (("val", val), ("first", begin), ("wins", wins), ("rk", rk), ("flag", moves), ("len", np.array([len(x) for x in strings]))):
                             cols[name].append(x[new])
                     if at:
                         local.append(np.stack([rk[at], begin[at], begin[at] + wins[at] + kind.size - 1], 1))
-                held += len(buf)
+                held += int(offs[hi] - offs[lo])
                 if held >= FLUSH:
                     yield from flush()
         yield from flush()
@@ -172,90 +219,140 @@ def by_row(found: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     return found[edges, 0], [x.tobytes() for x in np.split(spans, edges[1:])]
 
 
-def settle(kind: Kind, repeats: Callable[[list[bytes]], list[np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Bucket side; rows come sorted by bucket. repeats: of distinct strings, which windows occur more than once in them."""
+class Folded:
+    """Packed strings, equal ones counted. every: all windows repeat; moves: a minimiser value stands at two places."""
+
+    def __init__(self, kind: Kind, table: dict[str, np.ndarray], strings: list[bytes]) -> None:
+        ids: dict[bytes, int] = {}
+        self.kind, self.table = kind, table
+        self.which = which = np.array([ids.setdefault(x, len(ids)) for x in strings], np.int64)
+        self.strings = list(ids)
+        n = len(self.strings)
+        self.every = np.bincount(which, minlength=n) > 1
+        self.every[which[(table["flag"] & 2) > 0]] = True
+        self.moves = np.zeros(n, bool)
+        self.moves[which[(table["flag"] & 1) > 0]] = True
+        self.first_of = np.zeros(n, np.int64)
+        self.first_of[which[::-1]] = np.arange(len(which))[::-1]
+
+    def whole(self) -> np.ndarray:
+        """(key, start, past) of all copies of strings that repeat whole."""
+        t, at = self.table, np.flatnonzero(self.every[self.which])
+        return np.stack([t["rk"][at], t["first"][at], t["first"][at] + t["wins"][at] + self.kind.size - 1], 1)
+
+    def reduced(self) -> tuple[dict[str, np.ndarray], list[bytes]]:
+        """One marked copy of each string."""
+        table = {n: x[self.first_of] for n, x in self.table.items()}
+        table["flag"] = (self.moves | (self.every * 2)).astype(np.uint8)
+        return table, self.strings
+
+
+def settle(kind: Kind, repeats: Callable[[list[bytes]], list[np.ndarray]], most: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Bucket side; rows come sorted by bucket. Gives settled rows, and rows for the next level of buckets that were cut.
+
+    repeats: of distinct strings, which windows occur more than once in them; most: bytes of strings that a bucket may
+    hold (HELD if None).
+    """
+    most = most or HELD
 
     def finish(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        heads: dict[str, list] = {name: [] for name, _ in _COLUMNS}
-        bodies, base, where = [], 0, []
-        for blob in blobs:
-            flat = zstandard.ZstdDecompressor().decompress(blob)
-            n, pos = int(np.frombuffer(flat, np.int64, 1)[0]), 8
-            for name, t in _COLUMNS:
-                x = np.frombuffer(flat, t, n, pos)
-                heads[name].append(np.cumsum(x) if name == "rk" else x)
-                pos += n * np.dtype(t).itemsize
-            where.append(base + np.cumsum(heads["len"][-1]) - heads["len"][-1])
-            bodies.append(flat[pos:])
-            base += len(bodies[-1])
-            del flat
-        text = b"".join(bodies)
-        bodies.clear()
-        t = {name: np.concatenate(x) for name, x in heads.items()}
-        at = np.concatenate(where)
-        _, group, count = np.unique(t["val"], return_inverse=True, return_counts=True)
-        cand = np.flatnonzero((count[group] > 1) | (t["flag"] > 0))
+        table, strings = unpacked(blobs)
+        _, group, count = np.unique(table["val"], return_inverse=True, return_counts=True)
+        cand = np.flatnonzero((count[group] > 1) | (table["flag"] > 0))
         if not len(cand):
             return
-        ids: dict[bytes, int] = {}
-        which = np.array([ids.setdefault(text[a : a + b], len(ids)) for a, b in zip(at[cand].tolist(), t["len"][cand].tolist(), strict=True)])
-        strings = list(ids)
-        del text
-        copies = np.bincount(which, minlength=len(strings))
-        every = copies > 1
-        every[which[(t["flag"][cand] & 2) > 0]] = True
-        moves = np.zeros(len(strings), bool)
-        moves[which[(t["flag"][cand] & 1) > 0]] = True
-        first_of = np.zeros(len(strings), np.int64)
-        first_of[which] = np.arange(len(cand))
-        kin = group[cand[first_of]]
-        mixed = (np.bincount(kin)[kin] > 1) | moves
-        spans: list[np.ndarray | None] = [None] * len(strings)
-        wins = t["wins"][cand[first_of]]
-        sub = np.flatnonzero(mixed)
-        if len(sub):
-            for i, mask in zip(sub.tolist(), repeats([strings[i] for i in sub]), strict=True):
-                if not every[i] and mask.any():
-                    spans[i] = spans_of(mask)
-        for i in np.flatnonzero(every).tolist():
-            spans[i] = np.array([[0, wins[i]]])
-        found = []
-        for i, s, rk, first in zip(range(len(cand)), which.tolist(), t["rk"][cand].tolist(), t["first"][cand].tolist(), strict=True):
-            if spans[s] is not None:
-                for a, b in spans[s].tolist():
-                    found.append((rk, first + a, first + b + kind.size - 1))
-        if found:
-            rk, data = by_row(np.array(found, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(rk), pa.array(data, pa.binary())], schema=SPANS)
+        got = Folded(kind, {n: x[cand] for n, x in table.items()}, [strings[i] for i in cand.tolist()])
+        strings.clear()
+        kin = group[cand[got.first_of]]
+        mixed = np.flatnonzero((np.bincount(kin)[kin] > 1) | got.moves)
+        mixed = mixed[np.argsort(kin[mixed], kind="stable")]
+        found = [got.whole()]
+        t, lone = got.table, got.first_of
+        sizes = np.cumsum(t["len"][lone[mixed]])
+        stops = np.append(np.flatnonzero(np.diff(kin[mixed])) + 1, len(mixed))  # where the strings of a minimiser end
+        lo = 0
+        while lo < len(mixed):  # as many whole groups as fit, one at least
+            fit = int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + COMPARED, "right"))
+            k = int(np.searchsorted(stops, fit, "right")) - 1
+            hi = int(stops[k]) if k >= 0 and stops[k] > lo else int(stops[np.searchsorted(stops, lo, "right")])
+            part = mixed[lo:hi]
+            for i, mask in zip(part.tolist(), repeats([got.strings[i] for i in part.tolist()]), strict=True):
+                if not got.every[i] and mask.any():
+                    spans, at = spans_of(mask), lone[i]
+                    found.append(np.stack([np.full(len(spans), t["rk"][at]), t["first"][at] + spans[:, 0], t["first"][at] + spans[:, 1] + kind.size - 1], 1))
+            lo = hi
+        found = np.concatenate(found)
+        if len(found):
+            yield spans_batch(found)
+
+    def deeper(bucket: int, table: dict[str, np.ndarray], strings: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """The strings cut by the next kind, under the numbers of the bucket's FAN parts."""
+        after = kind.next()
+        offs = np.concatenate(([0], np.cumsum([len(x) for x in strings]))).astype(np.int64)
+        for lo, hi in row_chunks(offs, CHUNK):
+            val, begin, wins, row, moves, parts = cut(after, np.frombuffer(b"".join(strings[lo:hi]), np.uint8), offs[lo : hi + 1] - offs[lo])
+            own = lo + row
+            new = {"val": val, "first": table["first"][own] + begin, "wins": wins, "rk": table["rk"][own], "flag": moves | (table["flag"][own] & 2), "len": np.array([len(x) for x in parts])}
+            yield from by_bucket(after, new, parts, bucket * FAN + (H.mix(val.astype(_U)) % _U(FAN)).astype(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blobs = None, []
+        now, blobs, held, limit, over = None, [], 0, most, False
+
+        def shrink() -> Iterator[pa.RecordBatch]:
+            """Equal strings become one; what is still too much goes to the next level."""
+            nonlocal blobs, held, limit, over
+            got = Folded(kind, *unpacked(blobs))
+            blobs, held = [], 0
+            if got.every.any():
+                yield spans_batch(got.whole())
+            table, strings = got.reduced()
+            size = int(table["len"].sum())
+            over = over or (kind.next() is not None and 2 * size > limit)
+            if over:
+                yield from deeper(now, table, strings)
+            else:
+                blobs, held = [blob(zstandard.ZstdCompressor(level=1), table, strings)], size
+                limit = max(limit, 2 * size)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal blobs, held, limit, over
+            if blobs:
+                yield from shrink() if over else finish(blobs)
+            blobs, held, limit, over = [], 0, most, False
+
         for batch in batches:
-            for i, (bucket, rk, settled) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True)):
-                data = batch.column(2)[i].as_py()
-                if settled:
-                    yield pa.RecordBatch.from_arrays([pa.array([rk]), pa.array([data], pa.binary())], schema=SPANS)
-                    continue
+            if batch.column(3).true_count:
+                yield batch.filter(batch.column(3))
+                batch = batch.filter(pc.invert(batch.column(3)))
+            for i, bucket in enumerate(batch.column(0).to_pylist()):
                 if bucket != now:
-                    if blobs:
-                        yield from finish(blobs)
-                    now, blobs = bucket, []
-                blobs.append(data)
-        if blobs:
-            yield from finish(blobs)
+                    yield from close()
+                    now = bucket
+                x = batch.column(2)[i].as_py()
+                blobs.append(x)
+                held += zstandard.get_frame_parameters(x).content_size
+                if held > limit:
+                    yield from shrink()
+        yield from close()
 
     return run
 
 
-def repeated_spans(docs: DataFrame, text_col: str, kind: Kind, repeats: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:
-    """(__rk, data): int64 pairs (start, past) of units that repeated windows cover; several rows a key may come."""
+def repeated_spans(docs: DataFrame, text_col: str, kind: Kind, repeats: Callable[[list[bytes]], list[np.ndarray]], size: int) -> DataFrame:
+    """(__rk, data): int64 pairs (start, past) of units that repeated windows cover; several rows a key may come. size: an estimate of the text's bytes."""
     spark = docs.sparkSession
-    size = plan_bytes(docs)
     if size > UNKNOWN:  # the optimizer has no idea: measure
         size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = max(256, size // BUCKET_BYTES)
-    schema = f"bucket int, {RK} long, data binary, settled boolean"
-    packed = map_arrow(docs.select(RK, text_col), pack(kind, buckets), schema)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets // 4, MOST_PARTS))
-    dealt = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return map_arrow(dealt, settle(kind, repeats), f"{RK} long, data binary")
+    buckets = max(1, size // BUCKET_BYTES)
+    schema = f"bucket long, {RK} long, data binary, settled boolean"
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets, MOST_PARTS))
+    now, found = map_arrow(docs.select(RK, text_col), pack(kind, buckets), schema), None
+    while kind is not None:
+        dealt = now.repartition(parts, "bucket").sortWithinPartitions("bucket")
+        out = materialize(map_arrow(dealt, settle(kind, repeats), schema), "spans")
+        spans = out.where("settled").select(RK, "data")
+        found = spans if found is None else found.union(spans)
+        now, kind = out.where("NOT settled"), kind.next()
+        if now.isEmpty():
+            break
+    return found

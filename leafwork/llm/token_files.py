@@ -7,6 +7,7 @@ documents without an id come first, and the tail has their number.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafwork.llm import elias_fano
-from leafwork.llm.common import RK, keyed, map_arrow, materialize, new_path, raw, row_chunks
+from leafwork.llm.common import map_arrow, materialize, new_path, raw, row_chunks
 
 MAGIC = b"EFTK"
 TAIL = "<QQqQQ4s"  # where the bounds and the document ids start, least document id, documents, how many of them have no id, magic
@@ -34,6 +35,15 @@ KNOWN = 400_000  # pieces in each of the two generations that a worker remembers
 KIND = np.array([4 if b in (9, 10, 13, 32) else 0 if not 33 <= b < 127 else 3 if chr(b).isalpha() else 9 for b in range(256)], np.uint8)
 
 
+def tokenizer_path() -> str:
+    """The 50k byte-level vocabulary: LEAFWORK_TOKENIZER, or that of the installed public_tokenizers package."""
+    if place := os.environ.get("LEAFWORK_TOKENIZER"):
+        return place
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 @cache
 def encoder(path: str) -> Encoder:
     """A worker process keeps its encoder, and what it remembers, from task to task."""
@@ -45,7 +55,8 @@ class Encoder:
 
     A text is cut where byte-level pre-tokenization never joins two characters: before ASCII white space that follows an
     ASCII graphic character or one from U+00C0 to U+00FF, and before an ASCII digit or sign that follows a letter of
-    these ranges. Pieces so encode as they do within the text.
+    these ranges. Pieces so encode as they do within the text. That holds for byte-level pre-tokenization by the usual
+    pattern, with no space put in front and no normalizer; a text is a single piece under any other tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,7 +65,7 @@ class Encoder:
 
         self.tool = Tokenizer.from_file(path)
         self.dtype = np.dtype(np.uint16 if self.tool.get_vocab_size() <= 1 << 16 else np.uint32)
-        self.kind = KIND.copy()
+        self.kind = KIND.copy() if self.may_cut(json.loads(self.tool.to_str())) else np.zeros(256, np.uint8)
         for token in self.tool.get_added_tokens_decoder().values():  # never cut inside one
             for byte in token.content.encode()[1:]:
                 self.kind[byte] &= 3
@@ -62,6 +73,11 @@ class Encoder:
         self.former: dict[bytes, bytes] = {}
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
 
+    @staticmethod
+    def may_cut(made: dict) -> bool:
+        before = made.get("pre_tokenizer") or {}
+        return not made.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space", True) and before.get("use_regex", True) and not made.get("truncation") and not made.get("padding")
+
     def __call__(self, buf: np.ndarray, offs: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each followed by `end`, and how many each row has."""
         cut = np.zeros(len(buf) + 1, bool)
@@ -172,12 +188,14 @@ def write_token_files(docs: DataFrame, place: str, tokenizer: str, id_col: str =
     The table is dealt by ranges of the id, so the order of parts is the order of ids and each task streams one file:
     its memory holds a batch of text and eight bytes a document.
 
-    Defined cases: a null text is empty and has the end id alone; rows that repeat an id come one after another, by text;
-    documents whose id is null come before all others, by text; an empty table writes no file; other columns are ignored. The id is an integer.
+    Defined cases: a null text is empty and has the end id alone; rows that repeat an id come one after another, by text
+    (tied rows are equal); documents whose id is null come before all others, by text; a very long text is encoded whole,
+    at about thirty bytes a byte; an empty table writes no file; other columns are ignored, whatever their names. The id
+    is an integer.
     """
     if not isinstance(docs.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         raise TypeError(f"{id_col} must be an integer")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
     return materialize(map_arrow(dealt, _write(place, tokenizer, end_id), "part long, path string, docs long, tokens long"), "token-manifest")

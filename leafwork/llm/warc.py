@@ -7,6 +7,7 @@ import io
 import struct
 import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -14,22 +15,28 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import RK, keyed, map_arrow, materialize, new_path, raw
+from leafwork.llm.common import RK, forget, map_arrow, materialize, new_path, number, raw
 
 SKIPPABLE = 0x184D2A5D  # frame type that the .warc.zst format gives to its dictionary
-SAMPLE_BYTES, DICT_BYTES, LEVEL = 2 << 20, 32 << 10, 3
+SAMPLE_BYTES, SAMPLE_RECORD = 2 << 20, 16 << 10  # bound of what a dictionary is trained on: in all, and of each record
+DICT_BYTES, LEVEL = 32 << 10, 3
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record(page: str, url: str, payload: bytes, digest: str, target: str | None) -> bytes:
-    """One response record, or a revisit record of page `target`, which carries the HTTP head alone."""
+def urn(page: str | None, row: int | None) -> str:
+    """The name of a page's record: its id, percent-encoded; a page without an id is named by its row."""
+    return f"<urn:row:{row}>" if page is None else f"<urn:page:{quote(page, safe='')}>"
+
+
+def record(name: str, url: str, payload: bytes, digest: str, target: str | None) -> bytes:
+    """One response record, or a revisit record of the record named `target`, which carries the HTTP head alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if target is not None else http + payload
     url = url.replace("\r", "%0D").replace("\n", "%0A")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if target is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page}>", f"WARC-Target-URI: {url}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if target is None else 'revisit'}", f"WARC-Record-ID: {name}", f"WARC-Target-URI: {url}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
     if target is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{target}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {target}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -45,15 +52,15 @@ def train(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(b"".join(samples)[:DICT_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def write_archive(out, records: Iterator[bytes]) -> int:
-    """Dictionary from the first SAMPLE_BYTES of records; then every record as a frame of its own."""
+def write_archive(out, records: Iterator[bytes], sample_bytes: int = SAMPLE_BYTES, sample_record: int = SAMPLE_RECORD) -> int:
+    """Dictionary from the first records, `sample_bytes` in all and `sample_record` of each; then every record, whole, as a frame of its own."""
     held, size, n = [], 0, 0
     for x in records:
         held.append(x)
         size += len(x)
-        if size >= SAMPLE_BYTES:
+        if size >= sample_bytes:
             break
-    trained = train([x[: 16 << 10] for x in held])
+    trained = train([x[:sample_record] for x in held])
     body = trained.as_bytes()
     out.write(struct.pack("<II", SKIPPABLE, len(body)) + body)
     press = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained)
@@ -103,10 +110,11 @@ def _write(place: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         def records() -> Iterator[bytes]:
             for batch in batches:
                 data, offs = raw(batch.column(2))
-                ids, urls, targets = (batch.column(i).to_pylist() for i in (0, 1, 3))
+                ids, urls, rows, keepers, targets = (batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5))
                 for i in range(len(batch)):
                     payload = data[offs[i] : offs[i + 1]].tobytes()
-                    yield record(ids[i] or "", urls[i] or "", payload, hashlib.sha1(payload).hexdigest(), targets[i])
+                    target = None if keepers[i] is None else urn(targets[i], keepers[i])
+                    yield record(urn(ids[i], rows[i]), urls[i] or "", payload, hashlib.sha1(payload).hexdigest(), target)
 
         todo = records()
         first = next(todo, None)
@@ -127,8 +135,9 @@ def _after(first: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
     yield from rest
 
 
-def _page(uri: str | None) -> str | None:
-    return None if uri is None else uri.removeprefix("<urn:page:").removesuffix(">")
+def _page(name: str | None) -> str | None:
+    """The page that a record's name stands for, if it has an id."""
+    return unquote(name.removeprefix("<urn:page:").removesuffix(">")) if name and name.startswith("<urn:page:") else None
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,17 +172,22 @@ def write_warc(pages: DataFrame, place: str, id_col: str = "page_id", url_col: s
     Payloads are compared by SHA-1 and length, grouped with map-side partial maxima; only keys move for that, and a hot
     payload's partition is split at the join. Returns (path, records), already written.
 
-    Defined cases: a null payload is empty; null urls and ids are empty strings; rows that repeat an id are records of
-    their own; an empty table writes no file; other columns are ignored.
+    Defined cases: a null payload is empty; a null url is an empty string, line ends in it are percent-encoded; an id may
+    be of any type and hold any character; a null id stays null, its record is named by its row; rows that repeat an id
+    are records of their own; of tied ids one row is the response; a very long payload is held whole, four times over; an
+    empty table writes no file; other columns are ignored, whatever their names.
     """
-    rows = keyed(pages, id_col, url_col, payload_col)
-    body = F.coalesce(F.col(payload_col), F.lit(""))
-    big = rows.select(RK, F.col(id_col).alias("id"), F.unhex(F.sha1(body.cast("binary"))).alias("digest"), F.octet_length(body).alias("size")).where(F.col("size") >= least)
+    own = F.col(f"`{id_col}`")
+    rows = number(pages.select(own.alias("id", metadata=pages.schema[id_col].metadata), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{payload_col}`").alias("payload")), "id")
+    body = F.coalesce("payload", F.lit(""))
+    big = rows.select(RK, "id", F.unhex(F.sha1(body.cast("binary"))).alias("digest"), F.octet_length(body).alias("size")).where(F.col("size") >= least)
     kept = big.groupBy("digest", "size").agg(F.count("*").alias("n"), F.max(F.struct("id", RK)).alias("last")).where("n > 1")
     kept = materialize(kept.select("digest", "size", F.col(f"last.{RK}").alias("keeper"), F.col("last.id").cast("string").alias("target")), "warc-kept")
-    again = big.join(kept, ["digest", "size"]).where(F.col(RK) != F.col("keeper")).select(RK, "target")
-    whole = rows.join(again, RK, "left").select(F.col(id_col).cast("string"), F.col(url_col).cast("string"), F.col(payload_col), "target")
-    return materialize(map_arrow(whole, _write(place), "path string, records long"), "warc-manifest")
+    again = big.join(kept, ["digest", "size"]).where(F.col(RK) != F.col("keeper")).select(RK, "keeper", "target")
+    whole = rows.join(again, RK, "left").select(F.col("id").cast("string").alias("id"), "url", "payload", RK, "keeper", "target")
+    made = materialize(map_arrow(whole, _write(place), "path string, records long"), "warc-manifest")
+    forget(kept)
+    return made
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
@@ -187,4 +201,5 @@ def warc_round_trip(pages: DataFrame, id_col: str = "page_id", **names: str) ->
     """write_warc to the shared folder, then read_warc."""
     kind = pages.schema[id_col].dataType
     got = read_warc(write_warc(pages, new_path(pages.sparkSession, "warc"), id_col, **names))
+    # every name that was read is null or stands for an id of this type
     return got.select(F.col("page").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "url")

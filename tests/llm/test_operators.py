@@ -5,12 +5,16 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from leafwork.llm import decontaminate, elias_fano, fingerprint, jaccard, langid, lines, packing, prefix_free, queries, substring, superwindow, token_files, warc
+from leafwork.llm import decontaminate, elias_fano, fingerprint, hashing, jaccard, langid, lines, packing, prefix_free, queries, substring, superwindow, token_files, warc
+from leafwork.llm.common import cover
 from leafwork.llm.graph import components
 
 SF = "/root/testdata/sf0.001"
@@ -101,11 +105,65 @@ def test_prefix_free_order_is_suffix_order():
         assert heads == sorted(heads)
 
 
-def test_local_settling_equals_buckets():
-    """Strings seen twice in a task are settled there; many small buckets give the same spans."""
-    kind = superwindow.Kind(10, 4, False)
-    assert len(superwindow.least(np.arange(20, dtype=np.uint64), 7)) == 14
-    assert superwindow.super_windows(kind, np.zeros(0, np.uint64), np.array([0, 0])) is None
+def drive(kind, repeats, texts, tasks, buckets):
+    """Both sides of the shuffle without Spark, level by level: spans of each text, and how many levels were needed."""
+    rows, step = [], -(-len(texts) // tasks)
+    for a in range(0, len(texts), step):
+        b = pa.RecordBatch.from_arrays([pa.array(range(a, min(a + step, len(texts))), pa.int64()), pa.array(texts[a : a + step], pa.binary())], names=["rk", "text"])
+        rows += [r for out in superwindow.pack(kind, buckets)(iter([b])) for r in out.to_pylist()]
+    found, levels = defaultdict(list), 0
+    while rows:
+        rows.sort(key=lambda r: r["bucket"])
+        parts = [pa.RecordBatch.from_pylist(rows[k : k + 50], schema=superwindow.PACKED) for k in range(0, len(rows), 50)]
+        out = [r for x in superwindow.settle(kind, repeats)(iter(parts)) for r in x.to_pylist()]
+        for r in out:
+            if r["settled"]:
+                found[r["__rk"]].append(r["data"])
+        rows, kind, levels = [r for r in out if not r["settled"]], kind.next(), levels + 1
+    return {k: np.frombuffer(b"".join(v), np.int64).reshape(-1, 2) for k, v in found.items()}, levels
+
+
+@pytest.mark.parametrize("words", [False, True])
+@pytest.mark.parametrize(("held", "levels"), [(1 << 25, 1), (600, 3), (60, 3)])
+def test_buckets_reduce_and_are_cut_exactly(monkeypatch, words, held, levels):
+    """A string in every text, in ever new surroundings; many flushes, buckets that hold far more than they may."""
+    for name, value in (("HELD", held), ("FLUSH", 500), ("CHUNK", 300), ("COMPARED", 100), ("FAN", 4)):
+        monkeypatch.setattr(superwindow, name, value)
+    rng = random.Random(held)
+    kind = superwindow.Kind(6, 2, True) if words else superwindow.Kind(12, 3, False)
+    some = (lambda n: "".join(rng.choice(["a ", "b ", "cc ", "d "]) for _ in range(n))) if words else (lambda n: "".join(rng.choice("abcd") for _ in range(n)))
+    common = "a a b cc d a b b cc a " if words else "abcabcabcdddaabbccdd"
+    texts = [(some(rng.randint(0, 80)) + common + some(rng.randint(0, 60))).encode() for _ in range(60)] + [b"", None, b"a" * 80, b"a " * 12]
+    repeats = partial(substring.repeated_word_windows, size=6) if words else partial(prefix_free.repeated_windows, size=12)
+    got, used = drive(kind, repeats, texts, 5, 7)
+    assert used == levels
+    units = [(t or b"").split() if words else list(t or b"") for t in texts]
+    seen = Counter(tuple(u[i : i + kind.size]) for u in units for i in range(len(u) - kind.size + 1))
+    for k, u in enumerate(units):
+        want = np.zeros(len(u), bool)
+        for i in range(len(u) - kind.size + 1):
+            if seen[tuple(u[i : i + kind.size])] > 1:
+                want[i : i + kind.size] = True
+        assert (cover(len(u), got.get(k, np.zeros((0, 2), np.int64))) == want).all()
+
+
+def test_hot_string_takes_the_room_of_one(monkeypatch):
+    """However many tasks send it, a bucket keeps one copy and never goes deeper for it."""
+    monkeypatch.setattr(superwindow, "HELD", 4000)
+    rng = random.Random(1)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(400)).encode()
+    got, used = drive(superwindow.Kind(200, 24, False), partial(prefix_free.repeated_windows, size=200), [passage] * 300, 300, 1)
+    assert used == 1 and all(cover(400, got[k]).all() for k in range(300))
+
+
+@pytest.mark.parametrize("held", [20_000, 2000])
+def test_dedup_with_small_buckets(spark, monkeypatch, held):
+    """The operators over the smallest table, buckets cut: levels are separate jobs."""
+    monkeypatch.setattr(superwindow, "BUCKET_BYTES", 1 << 16)
+    monkeypatch.setattr(superwindow, "settle", partial(superwindow.settle, most=held))
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want = removed({k: WORD.findall((t or "").encode()) for k, t in docs.items()}, 35, b" ".join)
+    assert by_id(substring.substring_dedup(spark.read.parquet(f"{SF}/documents.parquet")), "n_words", "n_removed", "n_spans", "kept_sha256") == want
 
 
 def test_line_dedup(cases):
@@ -165,9 +223,37 @@ def test_jaccard_join(spark, cases, monkeypatch, node):
     assert len({c for k, (c, _, _) in got.items() if k >= 1000}) < 30
 
 
-def test_forest_recall():
-    assert jaccard.prefix_length(0.8, 0.9995) == 4
-    assert 1 - (1 - 0.8**4) ** jaccard.TREES >= 0.9995 > 1 - (1 - 0.8**5) ** jaccard.TREES
+def test_forest_shortens_as_far_as_needed():
+    assert jaccard.ladder(0.8, 0.9995) == [8, 6, 4] and jaccard.ladder(0.99, 0.9) == [8]
+    assert jaccard.meeting(0.8, 4) >= 0.9995 > jaccard.meeting(0.8, 5)
+    assert jaccard.missing({97: 100}, 8) < 0.01 and jaccard.missing({80: 100}, 8) > 5 and jaccard.missing({}, 8) == 0
+
+
+def test_forest_recall(spark, monkeypatch):
+    """Pairs of measured similarity just above the threshold, each in words of its own: links found of links there are, and no others."""
+    rng = random.Random(8)
+    texts, near = {}, 0
+    while near < 400:
+        words = [f"{near}_{rng.randrange(10**6)}" for _ in range(250)]
+        other = list(words)
+        for k in rng.sample(range(250), rng.choice([5, 5, 6])):
+            other[k] = f"{near}_x{k}"
+        a, b = (frozenset(tuple(w[i : i + 5]) for i in range(246)) for w in (words, other))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            texts[2 * near], texts[2 * near + 1] = " ".join(words), " ".join(other)
+            near += 1
+    passes = []
+    real = jaccard._pass
+    monkeypatch.setattr(jaccard, "_pass", lambda *a: passes.append(a[3]) or real(*a))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = by_id(jaccard.ngram_jaccard_join(docs), "class_id", "n_links")
+    found = sum(got[2 * k + 1] == (2 * k, 1) for k in range(near))
+    assert found >= 0.995 * near and all(n <= 1 for _, n in got.values())
+    assert passes == [8, 6, 4]
+    passes.clear()  # where all that is found is far above the threshold, the whole prefix is enough
+    docs = spark.createDataFrame([(k, texts[k // 2 * 2] + (" end" if k % 2 else "")) for k in texts], "doc_id long, text string")
+    assert sum(n for _, n in by_id(jaccard.ngram_jaccard_join(docs), "class_id", "n_links").values()) == 2 * near
+    assert passes == [8]
 
 
 def test_components(spark):
@@ -187,21 +273,36 @@ def test_components(spark):
         assert got.get(k, k) == min(seen)
 
 
+def check_sequences(rows, texts, sizes=packing.SIZES):
+    """Each sequence is the tokens of its pieces, each document is in sequences whole and once, capacities are the least."""
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(token_files.tokenizer_path())
+    parts = defaultdict(list)
+    for r in rows:
+        assert r["used"] == len(r["ids"]) == sum(r["lengths"]) and r["capacity"] == packing.fits(sizes, r["used"])
+        at = 0
+        for k, start, n in zip(r["doc_ids"], r["starts"], r["lengths"], strict=True):
+            parts[k].append((start, r["ids"][at : at + n]))
+            at += n
+    assert set(parts) == set(texts)
+    for k, t in texts.items():
+        held = sorted(parts[k])
+        assert [a for a, _ in held] == [i * sizes[-1] for i in range(len(held))]
+        assert [x for _, ids in held for x in ids] == [*tool.encode(t or "", add_special_tokens=False).ids, 0]
+
+
 def test_packing(cases):
     docs, texts = cases
-    rows = packing.best_fit_packing(docs, shard=10).collect()
-    total = defaultdict(int)
-    bins = defaultdict(list)
-    for r in rows:
-        assert r["start"] == r["piece"] * 16384
-        total[r["doc_id"]] += r["length"]
-        bins[r["shard"], r["bin"]].append(r)
-    assert total == {k: len((t or "").encode()) + 1 for k, t in texts.items()}
-    for held in bins.values():
-        held.sort(key=lambda r: r["offset"])
-        assert [r["offset"] for r in held] == [sum(x["length"] for x in held[:i]) for i in range(len(held))]
-        used = sum(r["length"] for r in held)
-        assert {r["capacity"] for r in held} == {packing.fits(packing.SIZES, used)}
+    check_sequences(packing.best_fit_packing(docs, shard=10).collect(), texts)
+    few = packing.best_fit_packing(docs, sizes=(64, 256)).collect()
+    check_sequences(few, texts, (64, 256))
+    lengths = defaultdict(list)  # each shard is packed as pack_lengths says
+    for r in few:
+        lengths[r["shard"]] += r["lengths"]
+    for shard, sizes in lengths.items():
+        want = packing.pack_lengths(sorted(sizes, reverse=True), (64, 256))[1]
+        assert sum(want) == sum(r["capacity"] for r in few if r["shard"] == shard)
 
 
 def test_best_fit_is_best_fit():
@@ -278,6 +379,42 @@ def test_language_of_textless(spark):
     assert {r[0] for r in by_id(langid.language_id(docs.withColumn("lang", F.lit(None).cast("string"))), "lang_pred").values()} == {"und"}
 
 
+def test_language_query_restated(spark):
+    """Every prediction of the query again, by the training pass over the windows of the whole text."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    got = by_id(queries.op6_language_id(spark, SF), "lang_pred", "score")
+    for r in docs.collect():
+        raw = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        whole = raw[: len(raw) // langid.STEPS * langid.STEPS].reshape(-1, langid.STEPS).T
+        total = np.zeros(len(model.labels))
+        for x in (whole, raw[whole.size :, None]):
+            if x.size:
+                f, b = langid.forward(model.params, "f", x)[0], langid.forward(model.params, "b", x[::-1])[0]
+                for t in range(len(x)):
+                    z = np.exp(model.params["Of"] @ f[t] + model.params["Ob"] @ b[len(x) - 1 - t] + model.params["o"])
+                    total += (z / z.sum(0)).sum(1)
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert got[r["doc_id"]] == ("und", 0.0)
+        else:
+            assert got[r["doc_id"]][1] == pytest.approx(total.max() / len(raw), abs=1e-3)
+            assert got[r["doc_id"]][0] == model.labels[total.argmax()] or np.ptp(np.sort(total)[-2:]) < 1e-3 * len(raw)
+
+
+def test_language_sample_sees_whole_texts(spark, monkeypatch):
+    text = bytes(range(256)) * 400
+    thin = langid.spread(text, 64)
+    assert len(thin) == 64 * langid.STEPS and thin.startswith(text[: langid.STEPS]) and thin.endswith(text[-langid.STEPS :])
+    assert langid.spread(b"short", 64) == b"short" and langid.spread(text[:4096], 64) == text[:4096]
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda texts, langs, seed: seen.append(sorted(texts)))
+    rows = [(i, "words here " + str(i) if i % 50 == 0 else "12 34", "en") for i in range(2000)]  # most labelled texts have no letters
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langid.fit(docs, sample_docs=20)
+    langid.fit(docs, sample_docs=10_000)
+    assert len(seen[0]) == 20 and set(seen[0]) < set(seen[1]) and len(seen[1]) == sum(i % 50 == 0 and zlib.crc32(str(i).encode()) % 4 != 2 for i in range(2000))
+
+
 def shingles(t):
     w = WORD.findall(t.encode())
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -299,6 +436,51 @@ def test_fingerprints(cases):
     assert got[18][2] == got[21][2]
 
 
+M = (1 << 64) - 1
+
+
+def mixed(h):
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> shift)) * times & M
+    return h ^ (h >> 31)
+
+
+def one_permutation(text):
+    """A fingerprint by loops over Python's integers: one hash a shingle, a bin by its high bits, the least in each, loans for empty bins, low bits."""
+    poly = lambda codes: sum(c * pow(hashing.BASE, k, 1 << 64) for k, c in enumerate(codes)) & M
+    words = [mixed((poly([int(hashing.BYTE_CODE[b]) for b in w]) + len(w)) & M) for w in WORD.findall(text.encode())]
+    if not words:
+        return ""
+    least = {}
+    for i in range(max(1, len(words) - 4)):
+        h = mixed(poly(words[i : i + 5]))
+        least[h >> 56] = min(least.get(h >> 56, M), h & ((1 << 56) - 1))
+    out = []
+    for b in range(256):
+        lender, attempt = b, 0
+        while lender not in least:
+            attempt += 1
+            lender = mixed((b * hashing.BASE + attempt) & M) % 256
+        out.append(least[lender] & 255)
+    return bytes(out).hex()
+
+
+def test_fingerprint_query_against_brute_force(spark):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = by_id(queries.op7_document_fingerprints(spark, SF), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    ids = sorted(docs, reverse=True)
+    after = dict(zip(ids, ids[1:] + ids[:1], strict=True))
+    prints = {k: one_permutation(t) for k, t in docs.items()}
+    near = lambda p, q: 1.0 if p == q else 0.0 if not p or not q else min(1.0, max(0.0, (sum(p[i : i + 2] == q[i : i + 2] for i in range(0, 512, 2)) / 256 - 1 / 256) * 256 / 255))
+    for n, k in enumerate(ids):
+        t, u = docs[k], docs[after[k]]
+        edited = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
+        assert got[k][:3] == (len(t), sha(edited.encode()), prints[k])
+        assert got[k][5] == pytest.approx(near(prints[k], prints[after[k]]), abs=1e-9)
+        if n % 10 == 0:  # the loops are slow
+            assert got[k][3] == one_permutation(edited) and got[k][4] == pytest.approx(near(prints[k], got[k][3]), abs=1e-9)
+
+
 def test_fingerprint_error_is_small(spark):
     rng = random.Random(6)
     off = []
@@ -336,13 +518,39 @@ def test_decontamination(spark, cases, most):
     docs, texts = cases
     items = [(1, texts[18]), (2, "END"), (10, "a-b"), (3, None), (4, "..."), (5, "É x"), (2, "this is a line")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.decontaminate(docs, bench, with_spans=True, item_bytes=most)
+    got = decontaminate.decontaminate(docs, bench, item_bytes=most)
     assert by_id(got, "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == hits(texts, items)
     for r in got.collect():
         raw = (texts[r["doc_id"]] or "").encode()
         assert sum(len(decontaminate.normal_words(raw[h["start"] : h["past"]])) for h in r["hits"]) == r["n_hit"]
 
 
+@pytest.mark.parametrize("size", [1, 2, 4, 13])
+def test_windows_of_any_size(size):
+    """Few words, so that blocks repeat in items and overlap in texts."""
+    rng = random.Random(size)
+    some = lambda n: " ".join(rng.choice(["a", "b", "c", "É"]) for _ in range(n))
+    items = [(str(i), some(rng.randint(0, 3 * size)).encode()) for i in range(12)]
+    match = decontaminate.Matcher(items, size)
+    for _ in range(150):
+        text = some(rng.randint(0, 40)) + " zz " + some(rng.randint(0, 20))
+        spans, held = match.find(decontaminate.normal_words(text.encode()))
+        want = hits({0: text}, [(k, t.decode()) for k, t in items], size)[0]
+        assert (int(cover(99, spans).sum()), sha(",".join(sorted(held)).encode())) == (want[1], want[3])
+
+
+def test_matcher_is_small():
+    """Half a megabyte of items; memory grows by about 25 bytes for each of theirs."""
+    rng = random.Random(2)
+    vocabulary = [f"w{i}".encode() for i in range(70_000)]  # more than two symbols number
+    items = [(str(i), b" ".join(rng.choices(vocabulary, k=60))) for i in range(1500)] + [("all", b" ".join(vocabulary))]
+    match = decontaminate.Matcher(items, 13)
+    assert match.width == 3 and len(match.tree) <= sum(len(t.split()) for _, t in items) // 7 + len(items)
+    words = items[7][1].split()[20:40]
+    spans, held = match.find([b"x", *words, b"y"])
+    assert spans.tolist() == [[1, 21]] and held == {"7"}
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for values in ([], [0], [5], [0, 0, 0], np.sort(rng.integers(0, 10**9, 3000)), np.arange(2000), np.repeat(7, 900), np.cumsum(rng.integers(0, 50, 5000))):
@@ -362,8 +570,8 @@ def test_token_files(cases):
     docs, texts = cases
     from tokenizers import Tokenizer
 
-    tool = Tokenizer.from_file(queries.tokenizer_path())
-    got = by_id(token_files.token_round_trip(docs, queries.tokenizer_path()), "start", "n_tokens", "ids_crc32")
+    tool = Tokenizer.from_file(token_files.tokenizer_path())
+    got = by_id(token_files.token_round_trip(docs, token_files.tokenizer_path()), "start", "n_tokens", "ids_crc32")
     begin = 0
     for k in sorted(texts):
         ids = [*tool.encode(texts[k] or "", add_special_tokens=False).ids, 0]
@@ -374,7 +582,7 @@ def test_token_files(cases):
 def test_encoder_pieces():
     from tokenizers import Tokenizer
 
-    tool, own = Tokenizer.from_file(queries.tokenizer_path()), token_files.Encoder(queries.tokenizer_path())
+    tool, own = Tokenizer.from_file(token_files.tokenizer_path()), token_files.Encoder(token_files.tokenizer_path())
     rng = random.Random(9)
     marks = [" ", "  ", "\n", "\r\n", "\t ", " ", " ", "'s", "'re", "it's", "é", "×", "ß", "1", "a1", "!?", "x,", "…", "<|endoftext|>", "a\x1cb", "̀", "\x85", "A's "]
     texts = ["".join(rng.choice(marks + ["word", "The"]) for _ in range(rng.randint(0, 40))) for _ in range(400)]
@@ -384,6 +592,45 @@ def test_encoder_pieces():
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*e.ids, 0] for e in tool.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoder_cuts_only_where_it_may(tmp_path):
+    """Other pre-tokenization, normalizers and truncation: whole texts are encoded."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    texts = ["It's 12 words, a1 b2\n\n  and  More", "", " x", "Ünder é1"]
+    data = [t.encode() for t in texts]
+    offs = np.concatenate(([0], np.cumsum([len(d) for d in data])))
+    for change in (lambda t: setattr(t, "pre_tokenizer", pre_tokenizers.ByteLevel(add_prefix_space=True)), lambda t: setattr(t, "normalizer", normalizers.Lowercase()), lambda t: setattr(t, "pre_tokenizer", pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))):
+        tool = Tokenizer.from_file(token_files.tokenizer_path())
+        change(tool)
+        tool.save(str(tmp_path / "other.json"))
+        ids, n = token_files.Encoder(str(tmp_path / "other.json"))(np.frombuffer(b"".join(data), np.uint8), offs, 0)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*e.ids, 0] for e in tool.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_archive_names_and_frames(spark, tmp_path):
+    big = "<p>x</p>" * 300
+    odd_ids = ["a\r\nWARC-Type: x", None, "", "<urn:page:1>", "é %41>", "plain", None]
+    df = spark.createDataFrame([(i, f"http://{k}", big if k % 2 else f"own {k}") for k, i in enumerate(odd_ids)], "page_id string, url string, html string")
+    got = warc.warc_round_trip(df).collect()
+    assert sorted(str(r["page_id"]) for r in got) == sorted(map(str, odd_ids))
+    assert sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in got if r["payload_bytes"] == len(big)) == [("<urn:page:1>", "revisit", "plain"), ("None", "revisit", "plain"), ("plain", "response", None)]
+    none = spark.createDataFrame([(None, None, big), (None, None, big)], "page_id long, url string, html string")
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.warc_round_trip(none).collect()) == [(None, "response", None), (None, "revisit", None)]
+    pages = [(i, f"http://n/{i}", f"<html>{i} " + "lorem ipsum dolor " * (60 + i)) for i in range(80)]
+    (made,) = warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/w").collect()
+    data = open(made["path"].removeprefix("file://"), "rb").read()
+    size = int.from_bytes(data[4:8], "little")
+    dictionary, rest, n = zstandard.ZstdCompressionDict(data[8 : 8 + size]), data[8 + size :], 0
+    while rest:  # each record is a frame of its own, that only the embedded dictionary opens
+        with pytest.raises(zstandard.ZstdError):
+            zstandard.ZstdDecompressor().decompress(rest, max_output_size=1 << 20)
+        tool = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()
+        body = tool.decompress(rest)
+        assert body.startswith(b"WARC/1.1\r\n") and body.endswith(b"\r\n\r\n") and body.count(b"WARC-Record-ID: ") == 1
+        rest, n = tool.unused_data, n + 1
+    assert n == 80
+
+
 def test_warc(spark, tmp_path):
     big = "<p>é</p>" * 200
     pages = [(1, "http://a/\r\nX: y", big), (2, None, big), (3, "http://c", None), (4, "http://d", "x"), (5, "http://e", "x"), (6, "http://f", big + "!"), (7, "http://g", "WARC/1.1\r\n\r\n" * 90)]
@@ -406,16 +653,16 @@ def test_repeated_and_null_ids(odd):
     assert lines.line_dedup(odd, least_docs=2, least_chars=3).agg(F.sum("n_dropped")).first()[0] == 2
     got = jaccard.ngram_jaccard_join(odd).collect()
     assert len(got) == 6 and Counter(r["class_id"] for r in got).most_common(1)[0][1] == 3
-    assert packing.best_fit_packing(odd).count() == 6
+    assert Counter(k for r in packing.best_fit_packing(odd).collect() for k in r["doc_ids"]) == {None: 2, 1: 3, 2: 1}
     assert langid.language_id(odd.withColumn("lang", F.lit("en"))).count() == 6
     prints = fingerprint.fingerprint_documents(odd).collect()
     assert Counter(r["fingerprint"] for r in prints).most_common(2)[0][1] == 3
     assert decontaminate.decontaminate(odd, odd, item_col="doc_id").count() == 6
-    assert warc.warc_round_trip(odd, id_col="doc_id", url_col="id", payload_col="text").count() == 6
-    got = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in token_files.token_round_trip(odd, queries.tokenizer_path()).collect())
+    assert warc.warc_round_trip(odd, id_col="doc_id", url_col="id", payload_col="text").collect()[5:]
+    got = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in token_files.token_round_trip(odd, token_files.tokenizer_path()).collect())
     assert [i for _, _, i in got] == [None, None, 1, 1, 1, 2] and got[0][:2] == (0, 1)
     assert all(b == a + n for (a, n, _), (b, _, _) in zip(got, got[1:]))
-    none = token_files.token_round_trip(odd.where("doc_id IS NULL"), queries.tokenizer_path()).collect()
+    none = token_files.token_round_trip(odd.where("doc_id IS NULL"), token_files.tokenizer_path()).collect()
     assert [r["doc_id"] for r in none] == [None, None]
 
 
@@ -425,7 +672,7 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     for df in (
         substring.suffix_array_dedup(none), substring.substring_dedup(none), lines.line_dedup(none), jaccard.ngram_jaccard_join(none), packing.best_fit_packing(none), langid.language_id(none),
-        fingerprint.fingerprint_documents(none), decontaminate.decontaminate(none, bench), token_files.token_round_trip(none, queries.tokenizer_path()), warc.warc_round_trip(pages),
+        fingerprint.fingerprint_documents(none), decontaminate.decontaminate(none, bench), token_files.token_round_trip(none, token_files.tokenizer_path()), warc.warc_round_trip(pages),
     ):
         assert df.collect() == []
 
@@ -439,5 +686,24 @@ def test_other_queries_against_brute_force(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     want = removed({k: list((t or "").encode()) for k, t in docs.items()}, 200, bytes)
     assert by_id(queries.op1_suffix_array_dedup(spark, SF), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
-    rows = queries.op5_best_fit_packing(spark, SF).collect()
-    assert sum(r["length"] for r in rows) == sum(len((t or "").encode()) + 1 for t in docs.values())
+    check_sequences(queries.op5_best_fit_packing(spark, SF).collect(), docs)
+
+
+def test_clashing_names(spark):
+    """Columns named as the operators name theirs, and an id and a text under odd names."""
+    names = ["__rk", "the text", "id", "text", "drop", "key", "lang_pred", "score", "__row", "n_words", "class_id", "rep", "sig", "spans", "lang"]
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    docs = spark.createDataFrame([(i, words, 1, "x", 2, "k", "l", 0.5, "r", 3, 4, 5, b"s", "p", "en") for i in range(6)], " ".join(["__rk long,", "`the text` string,", "id int, text string, drop int, key string, lang_pred string, score double, __row string, n_words int, class_id int, rep int, sig binary, spans string, lang string"]))
+    assert docs.columns == names
+    use = {"id_col": "__rk", "text_col": "the text"}
+    assert {r["n_removed"] for r in substring.suffix_array_dedup(docs, size=20, **use).collect()} == {len(words)}
+    assert {r["n_removed"] for r in substring.substring_dedup(docs, size=5, **use).collect()} == {14}
+    assert sum(r["n_dropped"] for r in lines.line_dedup(docs, **use).collect()) == 5
+    assert {(r["class_id"], r["n_links"]) for r in jaccard.ngram_jaccard_join(docs, **use).collect()} == {(0, 0)}
+    assert sorted(k for r in packing.best_fit_packing(docs, **use).collect() for k in r["doc_ids"]) == list(range(6))
+    assert {r["lang_pred"] for r in langid.language_id(docs, **use).collect()} == {"en"}
+    assert {r["near_next"] for r in fingerprint.fingerprint_documents(docs, **use).collect()} == {1.0}
+    bench = docs.select(F.col("the text").alias("hits"), "id").limit(1)
+    assert {r["n_hit"] for r in decontaminate.decontaminate(docs, bench, item_col="id", item_text_col="hits", **use).collect()} == {14}
+    assert min(r["start"] for r in token_files.token_round_trip(docs, token_files.tokenizer_path(), **use).collect()) == 0
+    assert Counter(r["record_type"] for r in warc.warc_round_trip(docs, id_col="__rk", url_col="key", payload_col="the text", least=10).collect()) == {"response": 1, "revisit": 5}
