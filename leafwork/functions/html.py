@@ -12,15 +12,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafwork.functions import strings
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _HEADING = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("id", T.StringType())])
 _REF = T.StructType([T.StructField("kind", T.StringType()), T.StructField("ref", T.StringType())])
-PARSED = T.StructType([T.StructField("title", T.StringType()), T.StructField("headings", T.ArrayType(_HEADING)), T.StructField("refs", T.ArrayType(_REF)), T.StructField("text", T.StringType())])
-URL = re.compile(r"url\([\"']?([^\"')]+)[\"']?\)")
+PARSED = T.StructType([T.StructField("title", T.StringType()), T.StructField("name", T.StringType()), T.StructField("headings", T.ArrayType(_HEADING)), T.StructField("refs", T.ArrayType(_REF)), T.StructField("text", T.StringType())])
+URL = re.compile(strings.URL)
 
 
 class Reader(HTMLParser):
-    """Collects what chapters are made of. Text content is that of all descendants, styles and scripts too; comments are none."""
+    """Collects what chapters are made of. Text content is that of all descendants, styles and scripts too; comments are none.
+
+    A heading that isn't closed ends where the next heading begins or an element around it ends: no text is in two headings.
+    """
 
     def __init__(self, wanted: str | None = None) -> None:
         super().__init__(convert_charrefs=True)
@@ -29,6 +34,7 @@ class Reader(HTMLParser):
         self.in_title = 0
         self.open: list[tuple[str, int]] = []
         self.heads: list[dict] = []
+        self.head: dict | None = None  # the open one
         self.refs: list[tuple[str, str]] = []
         self.text: list[str] = []
         self.style: list[str] | None = None
@@ -65,7 +71,8 @@ class Reader(HTMLParser):
         elif self.in_title:
             self.in_title = 0  # only what stands before a child is its own text
         if tag in ("h1", "h2", "h3"):
-            self.heads.append({"tag": tag, "text": [], "id": a.get("id"), "open": True})
+            self.head = {"tag": tag, "text": [], "id": a.get("id"), "depth": len(self.open)}
+            self.heads.append(self.head)
         if tag not in VOID:
             self.open.append((tag, self.place()))
 
@@ -75,10 +82,8 @@ class Reader(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        for h in reversed(self.heads):
-            if h["open"] and h["tag"] == tag:
-                h["open"] = False
-                break
+        if self.head and self.head["tag"] == tag:
+            self.head = None
         if tag == "title":
             self.in_title = 0
         if tag == "style" and self.style is not None:
@@ -87,6 +92,8 @@ class Reader(HTMLParser):
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 del self.open[i:]
+                if self.head and self.head["depth"] > i:
+                    self.head = None
                 if self.section and self.section[1] < 0 and i <= self.section[2]:
                     self.section[1] = self.raw.find(">", self.place()) + 1
                 break
@@ -97,9 +104,8 @@ class Reader(HTMLParser):
             self.title += data
         if self.style is not None:
             self.style.append(data)
-        for h in self.heads:
-            if h["open"]:
-                h["text"].append(data)
+        if self.head:
+            self.head["text"].append(data)
 
     def headings(self) -> list[dict]:
         return [{"level": int(h["tag"][1]), "pos": i, "text": "".join(h["text"]).strip(), "id": h["id"]} for i, h in enumerate(self.heads)]
@@ -155,8 +161,13 @@ def stem_title(path: str | None) -> str:
 
 
 @F.pandas_udf(PARSED)
-def parsed(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse(x) for x in content], columns=["title", "headings", "refs", "text"])
+def parsed(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for content, path in parts:
+        rows = []
+        for x, p in zip(content, path, strict=True):
+            row = parse(x)
+            rows.append(row | {"name": row["title"] or stem_title(p)})
+        yield pd.DataFrame(rows, columns=PARSED.fieldNames())
 
 
 @F.pandas_udf(T.StringType())
@@ -167,9 +178,9 @@ def title_of_stem(path: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def section_of(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for content, anchor in parts:
-        yield pd.Series([section(c, a) for c, a in zip(content, anchor, strict=True)])
+        yield pd.Series([None if c is None else section(c, a) for c, a in zip(content, anchor, strict=True)])
 
 
-def parse_html(content: Column) -> Column:
-    """title, headings, refs and text, from one parse."""
-    return parsed(content)
+def parse_html(content: Column, path: Column | None = None) -> Column:
+    """title, name (the title, else one made of the file's name), headings, refs and text, from one parse."""
+    return parsed(content, F.lit("") if path is None else path)

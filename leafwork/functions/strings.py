@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ HEADINGS = (
     rf"^Part{SPACE}+(?:\d+|[IVXLCDM]+)[\s\x1c-\x1f:.-]*.*$",
     rf"^\d+\.{SPACE}+.+$",
 )
+# Fixed value: targets of url(...) in a style sheet, quotes aside.
+URL = r"""url\(["']?([^"')]+)["']?\)"""
 # Characters that a file name can't have, and its greatest length.
 UNSAFE = '<>:"/\\|?*'
 NAME_LENGTH = 100
@@ -28,15 +31,15 @@ def word_count(c: Column) -> Column:
     return F.size(F.filter(F.split(c, rf"(?U){SPACE}+"), lambda w: w != ""))
 
 
-def is_heading(c: Column) -> Column:
-    """Whether stripped text starts as a chapter, a part or a numbered heading does."""
-    return c.rlike("(?iuUd)" + "|".join(HEADINGS))
+def is_heading(c: Column, patterns: Sequence[str] = HEADINGS) -> Column:
+    """Whether stripped text matches one of the patterns (Java's syntax, case aside): by default, whether it starts as a chapter, a part or a numbered heading does."""
+    return c.rlike("(?iuUd)" + "|".join(patterns)) if patterns else F.lit(False)
 
 
-def heading_score(text: Column, size: Column) -> Column:
+def heading_score(text: Column, size: Column, patterns: Sequence[str] = HEADINGS) -> Column:
     """Confidence in [0, 1] of stripped text set in `size` points; sums are of doubles, in this order."""
     words = word_count(text)
-    score = F.lit(0.5) + F.when(is_heading(text), F.lit(0.4)).otherwise(F.lit(0.0))
+    score = F.lit(0.5) + F.when(is_heading(text, patterns), F.lit(0.4)).otherwise(F.lit(0.0))
     score = score + F.when(size >= 16, F.lit(0.1)).when(size >= 14, F.lit(0.05)).otherwise(F.lit(0.0))
     score = score - F.when(words > 10, F.lit(0.2)).when(words > 6, F.lit(0.1)).otherwise(F.lit(0.0))
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
@@ -144,4 +147,4 @@ def is_kind(path: Column, kind: str) -> Column:
 
 def css_urls(style: Column) -> Column:
     """Targets of url(...), quotes aside."""
-    return F.regexp_extract_all(style, F.lit("url\\([\"']?([^\"')]+)[\"']?\\)"), F.lit(1))
+    return F.regexp_extract_all(style, F.lit(URL), F.lit(1))

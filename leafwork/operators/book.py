@@ -6,6 +6,8 @@ title, href).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,20 +23,26 @@ def _chapters(rows: DataFrame, order: list[str], method: str) -> DataFrame:
     return rows.withColumns({"chapter_index": index, "detection_method": F.lit(method), "content_length": F.lit(0)}).select(*CHAPTER)
 
 
-def flatten_toc(nodes: DataFrame) -> DataFrame:
+def flatten_toc(nodes: DataFrame, deepest: int = 64) -> DataFrame:
     """A tree (doc_id, node_id, parent_id, ordinal, title, href) in pre-order: parents first, then children by ordinal, levels from 1.
 
-    One equi-join a level; the path of ordinals is the sort key. A node without title or href hands its children on and
-    has no row itself.
+    One equi-join a level, each done once: a level is kept while the next is made of it. The path of ordinals is the sort
+    key. A node without title or href hands its children on and has no row itself. A tree deeper than `deepest`, as
+    node ids that repeat make one, is an error.
     """
     path = F.array(F.col("ordinal").cast("long"))
     front = nodes.where("parent_id IS NULL").select("doc_id", "node_id", path.alias("path"), F.lit(1).alias("level"), "title", "href")
     found = front
     kids = nodes.where("parent_id IS NOT NULL").select("doc_id", F.col("parent_id").alias("up"), F.col("node_id").alias("kid"), F.col("ordinal").cast("long").alias("o"), F.col("title").alias("t"), F.col("href").alias("h"))
-    while not front.isEmpty():
+    for _ in range(deepest):
         below = front.select("doc_id", F.col("node_id").alias("up"), "path", "level").join(kids, ["doc_id", "up"])
-        front = below.select("doc_id", F.col("kid").alias("node_id"), F.concat("path", F.array("o")).alias("path"), (F.col("level") + 1).alias("level"), F.col("t").alias("title"), F.col("h").alias("href"))
+        front = below.select("doc_id", F.col("kid").alias("node_id"), F.concat("path", F.array("o")).alias("path"), (F.col("level") + 1).alias("level"), F.col("t").alias("title"), F.col("h").alias("href")).persist()
+        if front.isEmpty():
+            front.unpersist()
+            break
         found = found.unionByName(front)
+    else:
+        raise ValueError(f"a table of contents is deeper than {deepest} levels; does a node id repeat?")
     seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("path", "node_id"))
     return found.where("title IS NOT NULL AND href IS NOT NULL").select("doc_id", seq.alias("seq"), "level", "title", "href")
 
@@ -53,30 +61,54 @@ def _confidence(level: Column) -> Column:
     return out
 
 
+_ROW = "array<struct<rank:int,ordinal:int,level:int,pos:int,title:string,html_id:string,confidence:double>>"
+
+
+def _heading_rows(parsed: Column, ordinal: Column, sensitivity: str) -> Column:
+    """A page's headings as rows of rank 1."""
+    depth = options.heading_depth(sensitivity)
+    wanted = F.filter(parsed.getField("headings"), lambda h: (h["level"] <= depth) & (h["text"] != ""))
+    return F.transform(wanted, lambda h: F.struct(F.lit(1), ordinal.cast("int"), h["level"], h["pos"], h["text"], h["id"], _confidence(h["level"]))).cast(_ROW)
+
+
+def _spine_rows(parsed: Column, places: Column) -> Column:
+    """A page as rows of rank 2, one for each of its places in the reading order."""
+    null = F.lit(None).cast("string")
+    return F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda p: F.struct(F.lit(2), p, F.lit(1), F.lit(0), parsed.getField("name"), null, F.lit(options.MANIFEST_CONFIDENCE))).cast(_ROW)
+
+
+def _page_chapters(pages: DataFrame, rows: Callable[[Column], Column]) -> DataFrame:
+    """Chapters of content documents, each parsed once: of a book's rows those of the least rank, in order."""
+    parsed = pages.withColumn("parsed", html.parse_html(F.col("content"), F.col("href")))
+    made = parsed.select("doc_id", "href", F.explode(rows(F.col("parsed"))).alias("r")).select("doc_id", F.col("href").alias("file_path"), "r.*")
+    best = F.min("rank").over(Window.partitionBy("doc_id"))
+    kept = made.withColumn("best", best).where("rank = best")
+    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal", "level", "pos", "file_path"))
+    method = F.when(F.col("rank") == 1, "structural").otherwise("manifest")
+    return kept.withColumns({"chapter_index": index, "detection_method": method, "content_length": F.lit(0)}).select(*CHAPTER)
+
+
+def _placed(items: DataFrame, spine: DataFrame) -> DataFrame:
+    """Content documents with their places in the reading order (null: none)."""
+    places = spine.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_list(F.col("pos").cast("int"))).alias("places"))
+    return items.where("item_type = 'document'").join(places, ["doc_id", "item_id"], "left")
+
+
 def heading_chapters(items: DataFrame, sensitivity: str = "medium") -> DataFrame:
     """Headings of content documents: by document, then all h1, all h2, all h3, each in its place."""
-    pages = items.where("item_type = 'document'").select("doc_id", "ordinal", "href", html.parse_html(F.col("content")).getField("headings").alias("heads"))
-    heads = pages.select("doc_id", "ordinal", "href", F.explode("heads").alias("h")).where((F.col("h.level") <= options.heading_depth(sensitivity)) & (F.col("h.text") != ""))
-    rows = heads.select("doc_id", "ordinal", F.col("h.pos").alias("pos"), F.col("h.text").alias("title"), F.col("href").alias("file_path"), F.col("h.id").alias("html_id"), F.col("h.level").alias("level"), _confidence(F.col("h.level")).alias("confidence"))
-    return _chapters(rows, ["ordinal", "level", "pos"], "structural")
+    return _page_chapters(items.where("item_type = 'document'"), lambda p: _heading_rows(p, F.col("ordinal"), sensitivity))
 
 
 def manifest_chapters(items: DataFrame, spine: DataFrame) -> DataFrame:
     """Every content document in reading order, titled by its title, first h1 or first h2, whichever exists first, else by its file name."""
-    pages = spine.join(items.where("item_type = 'document'"), ["doc_id", "item_id"])
-    title = html.parse_html(F.col("content")).getField("title")
-    named = pages.select("doc_id", "pos", "href", title.alias("own"))
-    rows = named.select(
-        "doc_id", "pos", F.when(F.coalesce("own", F.lit("")) != "", F.col("own")).otherwise(html.title_of_stem(F.col("href"))).alias("title"), F.col("href").alias("file_path"), F.lit(None).cast("string").alias("html_id"),
-        F.lit(1).alias("level"), F.lit(options.MANIFEST_CONFIDENCE).alias("confidence"),
-    )
-    return _chapters(rows, ["pos"], "manifest")
+    return _page_chapters(_placed(items, spine).where("places IS NOT NULL"), lambda p: _spine_rows(p, F.col("places")))
 
 
 def detect_epub(items: DataFrame, spine: DataFrame, toc: DataFrame, strategy: str = "hybrid", sensitivity: str = "medium", toc_level: int = 1) -> DataFrame:
     """native, structural or manifest alone; else contents, then headings, then reading order, for each book the first that finds any.
 
-    Books are told apart before their files are parsed.
+    Files of books that their contents settle are never parsed; those of the others are parsed once, for headings and
+    titles alike.
     """
     if strategy == "structural":
         return heading_chapters(items, sensitivity)
@@ -86,9 +118,7 @@ def detect_epub(items: DataFrame, spine: DataFrame, toc: DataFrame, strategy: st
     if strategy == "native":
         return native
     rest = items.join(native.select("doc_id").distinct(), "doc_id", "left_anti")
-    heads = heading_chapters(rest, sensitivity)
-    last = rest.join(heads.select("doc_id").distinct(), "doc_id", "left_anti")
-    return native.unionByName(heads).unionByName(manifest_chapters(last, spine))
+    return native.unionByName(_page_chapters(_placed(rest, spine), lambda p: F.concat(_heading_rows(p, F.col("ordinal"), sensitivity), _spine_rows(p, F.col("places")))))
 
 
 def summarize_epub(items: DataFrame, toc: DataFrame, chapters: DataFrame, strategy: str = "hybrid") -> DataFrame:

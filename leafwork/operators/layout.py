@@ -6,6 +6,8 @@ line, span, text, size). Order is never implied: every window orders by a key of
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +44,8 @@ def page_fonts(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id", "page").agg(F.coalesce(F.avg(sized), F.lit(0.0)).alias("avg_size"))
 
 
-def heading_candidates(spans: DataFrame, sensitivity: str = "medium") -> DataFrame:
-    """The first heading-like span of each line with its confidence, whatever that is.
+def heading_candidates(spans: DataFrame, sensitivity: str = "medium", patterns: Sequence[str] = S.HEADINGS) -> DataFrame:
+    """The first heading-like span of each line with its confidence, whatever that is. patterns: what headings look like.
 
     The page mean and the choice within a line share one exchange by (doc_id, page): a page is the largest group.
     """
@@ -51,15 +53,15 @@ def heading_candidates(spans: DataFrame, sensitivity: str = "medium") -> DataFra
     mean = F.coalesce(F.avg(F.when(F.col("size") > 0, F.col("size"))).over(Window.partitionBy("doc_id", "page")), F.lit(0.0))
     text = spans.where("block_type = 0").withColumn("avg_size", mean).withColumn("text", S.strip(F.col("text"))).where("text <> ''")
     large = (F.col("avg_size") > 0) & (F.col("size") >= F.col("avg_size") * t.ratio) & (S.word_count(F.col("text")) <= 10)
-    like = text.where(S.is_heading(F.col("text")) | large)
+    like = text.where(S.is_heading(F.col("text"), patterns) | large)
     first = F.row_number().over(Window.partitionBy("doc_id", "page", "block", "line").orderBy("span"))
-    return like.withColumn("rank", first).where("rank = 1").drop("rank").withColumn("confidence", S.heading_score(F.col("text"), F.col("size")))
+    return like.withColumn("rank", first).where("rank = 1").drop("rank").withColumn("confidence", S.heading_score(F.col("text"), F.col("size"), patterns))
 
 
-def heuristic_chapters(documents: DataFrame, spans: DataFrame, sensitivity: str = "medium") -> DataFrame:
+def heuristic_chapters(documents: DataFrame, spans: DataFrame, sensitivity: str = "medium", patterns: Sequence[str] = S.HEADINGS) -> DataFrame:
     """Confident headings as chapters. Two on a page leave the first with no pages: it is kept (see is_inverted in split plans)."""
     order = ["start_page", "block", "line", "span"]
-    kept = heading_candidates(spans, sensitivity).where(F.col("confidence") >= options.thresholds(sensitivity).least)
+    kept = heading_candidates(spans, sensitivity, patterns).where(F.col("confidence") >= options.thresholds(sensitivity).least)
     at = kept.join(documents.select("doc_id", "total_pages"), "doc_id")
     rows = at.select("doc_id", "block", "line", "span", F.col("text").alias("title"), F.col("page").alias("start_page"), "confidence", _ends(["page", "block", "line", "span"]).alias("end_page"))
     return _chapters(rows, order, F.lit(1), "heuristic", F.col("confidence"))
@@ -70,23 +72,25 @@ def whole_documents(documents: DataFrame) -> DataFrame:
     return _chapters(rows, ["title"], F.lit(1), "fallback", F.lit(1.0))
 
 
-def detect_pdf(documents: DataFrame, outline: DataFrame, spans: DataFrame, strategy: str = "hybrid", sensitivity: str = "medium", level: int = 1) -> DataFrame:
+def detect_pdf(documents: DataFrame, outline: DataFrame, spans: DataFrame, strategy: str = "hybrid", sensitivity: str = "medium", level: int = 1, patterns: Sequence[str] = S.HEADINGS) -> DataFrame:
     """Chapters by strategy: bookmarks, heuristic, or hybrid (heuristic for documents whose outline gives none).
 
-    A document with none becomes one chapter, as does every document under a strategy that isn't known. Documents are
-    told apart before spans are scored, so a document that its outline settles never reaches the scoring.
+    A document with none becomes one chapter, as does every document under a strategy that isn't known. Spans of documents
+    that their outline settles never reach the scoring; what is found, and a whole-document row for each document, is
+    ranked, and each document keeps its rows of the least rank: nothing is scored twice to tell who has none.
     """
-    found, rest = None, documents
+    ranked = []
     if strategy in ("bookmarks", "hybrid"):
-        found = outline_chapters(documents, outline, level)
-        rest = documents.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+        ranked.append(outline_chapters(documents, outline, level))
     if strategy in ("heuristic", "hybrid"):
-        left = spans.join(rest.select("doc_id"), "doc_id", "left_semi") if found is not None else spans
-        scored = heuristic_chapters(rest, left, sensitivity)
-        found = scored if found is None else found.unionByName(scored)
-        rest = rest.join(scored.select("doc_id").distinct(), "doc_id", "left_anti")
-    whole = whole_documents(rest)
-    return whole if found is None else found.unionByName(whole)
+        left = spans.join(ranked[0].select("doc_id").distinct(), "doc_id", "left_anti") if ranked else spans
+        ranked.append(heuristic_chapters(documents, left, sensitivity, patterns))
+    if not ranked:
+        return whole_documents(documents)
+    every = whole_documents(documents).withColumn("rank", F.lit(len(ranked)))
+    for k, found in enumerate(ranked):
+        every = every.unionByName(found.withColumn("rank", F.lit(k)))
+    return every.withColumn("best", F.min("rank").over(Window.partitionBy("doc_id"))).where("rank = best").select(*CHAPTER)
 
 
 def summarize_pdf(documents: DataFrame, outline: DataFrame, chapters: DataFrame, strategy: str = "hybrid") -> DataFrame:
@@ -114,5 +118,6 @@ def level_histogram(outline: DataFrame) -> DataFrame:
 
 
 def first_entries(outline: DataFrame, n: int = 50) -> DataFrame:
-    """The first n entries of the outline, indented by level."""
-    return outline.orderBy("doc_id", "seq").limit(n).select("doc_id", "seq", F.concat(S.indent(F.col("level")), F.col("title")).alias("entry"), "page")
+    """The first n entries of each document's outline, indented by level."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))
+    return outline.withColumn("place", place).where(F.col("place") <= n).select("doc_id", "seq", F.concat(S.indent(F.col("level")), F.col("title")).alias("entry"), "page")

@@ -45,8 +45,8 @@ def chapter_contents(plan: DataFrame, items: DataFrame, keep_missing: bool = Tru
 
 
 def chapter_sections(contents: DataFrame) -> DataFrame:
-    """Content cut to the element that the chapter's anchor names, whole where there is none."""
-    return contents.withColumn("content", html.section_of(F.col("content").cast("string"), F.coalesce("html_id", F.lit(""))))
+    """Content, as text, cut to the element that the chapter's anchor names, whole where there is none; missing content stays so."""
+    return contents.withColumn("content", html.section_of(F.col("content"), F.coalesce("html_id", F.lit(""))))
 
 
 def resource_refs(contents: DataFrame) -> DataFrame:
@@ -71,7 +71,8 @@ def chapter_books(contents: DataFrame, items: DataFrame, metadata: DataFrame) ->
     """contents with what a chapter's own book takes along: resources, the items that its content refers to, each once; and
     metadata, all entries (namespace, key, ordinal, value, attrs) of its document where they are to be kept.
 
-    Items are joined by (document, item) to the distinct references, so a book's files travel only to chapters that show them.
+    Items are joined by (document, item) to the distinct references, so a book's files travel only to chapters that show
+    them. A chapter's book is one row: what it shows must fit in a task, as the file made of it does.
     """
     rows = contents.select("doc_id", "chapter_index", "file_path", "content")
     found = resolve_resources(resource_refs(rows.where("content IS NOT NULL")), items).select("doc_id", "chapter_index", "item_id").distinct()
