@@ -101,7 +101,8 @@ for _level in (1, 2, 3):
     query(f"outline_chapters_l{_level}", f"WITH {OUTLINE} {_outline_chapters(_level)}")(lambda t, n=_level: layout.outline_chapters(t.outline_documents(), t.outline(), n))
 
 query("outline_level_histogram", f"WITH {OUTLINE} SELECT level, count(*) AS entries FROM outline GROUP BY level")(lambda t: layout.level_histogram(t.outline()))
-query("outline_first_50", f"WITH {OUTLINE} SELECT doc_id, CAST(seq AS INTEGER) AS seq, repeat('  ', level - 1) || title AS entry, page FROM outline ORDER BY doc_id, seq LIMIT 50")(lambda t: layout.first_entries(t.outline()))
+for _most in (3, 50):  # of each document's outline
+    query(f"outline_first_{_most}", f"WITH {OUTLINE} SELECT doc_id, CAST(seq AS INTEGER) AS seq, repeat('  ', level - 1) || title AS entry, page FROM outline WHERE seq <= {_most}")(lambda t, n=_most: layout.first_entries(t.outline(), n))
 query("outline_has_bookmarks", "SELECT c_custkey AS doc_id, count(o_orderkey) AS entries, count(o_orderkey) > 0 AS has_bookmarks FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")(
     lambda t: t("customer").select(F.col("c_custkey").alias("doc_id")).join(t.outline().groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0).cast("long")).alias("entries"), (F.coalesce("n", F.lit(0)) > 0).alias("has_bookmarks"))
 )
@@ -117,6 +118,23 @@ query("heading_confidence", f"WITH {LAYOUT}, {_candidates(0.0)} SELECT confidenc
 for _name, _ratio, _least in (("low", 1.5, 0.8), ("medium", 1.3, 0.6), ("high", 1.2, 0.4)):
     query(f"heuristic_chapters_{_name}", f"WITH {LAYOUT}, {_candidates(_ratio)} {_heuristic(_least)}")(lambda t, s=_name: layout.heuristic_chapters(t.layout_documents(), t.spans(), s))
 
+_MIXED = r"""
+ms AS (SELECT doc_id, page, line // 3 AS block, line, 0 AS span, substr(text, 1, 12) AS text, size FROM spans UNION ALL SELECT doc_id, page, line // 3, line, 1, substr(text, 13), size + page % 2 * 3.0 FROM spans),
+mt AS (SELECT doc_id, page, block, line, span, size, avg(CASE WHEN size > 0 THEN size END) OVER (PARTITION BY doc_id, page) AS avg_size, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM ms WHERE block % 4 <> 3),
+mw AS (SELECT *, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS words, regexp_matches(text, '(?i)^(?:chapter|part)\s+(?:\d+|[ivxlcdm]+)') OR regexp_matches(text, '^\d+\.\s+.') AS pat FROM mt WHERE text <> ''),
+mc AS (SELECT * FROM mw WHERE pat OR (avg_size > 0 AND size >= avg_size * {ratio}::DOUBLE AND words <= 10) QUALIFY row_number() OVER (PARTITION BY doc_id, page, block, line ORDER BY span) = 1),
+ma AS (SELECT doc_id, page, block, line, span, text, size, avg_size, greatest(0::DOUBLE, least(1::DOUBLE, 0.5::DOUBLE + CASE WHEN pat THEN 0.4::DOUBLE ELSE 0::DOUBLE END
+    + CASE WHEN size >= 16 THEN 0.1::DOUBLE WHEN size >= 14 THEN 0.05::DOUBLE ELSE 0::DOUBLE END - CASE WHEN words > 10 THEN 0.2::DOUBLE WHEN words > 6 THEN 0.1::DOUBLE ELSE 0::DOUBLE END)) AS confidence FROM mc)"""
+query("span_headings", f"WITH {LAYOUT}, {_MIXED.replace('{ratio}', '1.2')} SELECT doc_id, page, CAST(block AS INTEGER) AS block, CAST(line AS INTEGER) AS line, span, text, size, confidence FROM ma")(
+    lambda t: layout.heading_candidates(t.mixed_spans(), "high").select("doc_id", "page", "block", "line", "span", "text", "size", "confidence")
+)
+query(
+    "span_chapters",
+    f"""WITH {LAYOUT}, {_MIXED.replace('{ratio}', '1.3')} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, block, line, span) AS INTEGER) AS chapter_index, text AS title, page AS start_page, end_page,
+    end_page - page + 1 AS page_count, 1 AS level, 'heuristic' AS detection_method, confidence
+    FROM (SELECT ma.*, coalesce(lead(page) OVER (PARTITION BY ma.doc_id ORDER BY page, block, line, span) - 1, total_pages) AS end_page FROM ma JOIN ldocs d ON ma.doc_id = d.doc_id WHERE confidence >= 0.6::DOUBLE)""",
+)(lambda t: layout.heuristic_chapters(t.layout_documents(), t.mixed_spans()))
+
 
 def _detect(t: Tables, strategy: str) -> DataFrame:
     return layout.detect_pdf(t.layout_documents(), t.layout_outline(), t.spans(), strategy)
@@ -147,7 +165,26 @@ query("confident_chapters", f"WITH {LAYOUT}, {_candidates(1.2)}, h AS ({_heurist
 # ---- books
 query("structural_headings", f"WITH {BOOK} SELECT * FROM hd")(lambda t: book.heading_chapters(t.items()))
 query("manifest_chapters", f"WITH {BOOK} SELECT * FROM mf")(lambda t: book.manifest_chapters(t.items(), t.spine()))
-query("stem_title")(lambda t: t.items().select("doc_id", "href", html.title_of_stem(F.col("href")).alias("title")))
+query(
+    "stem_title",
+    rf"""WITH {BOOK}, s AS (SELECT doc_id, href, replace(regexp_replace(regexp_extract(href, '([^/]*)/*$', 1), '(.)\.[^.]+$', '\1'), '_', ' ') AS s FROM fl)
+    SELECT doc_id, href, array_to_string(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN i > 1 AND regexp_matches(substr(s, i - 1, 1), '\p{{L}}') THEN lower(substr(s, i, 1)) ELSE upper(substr(s, i, 1)) END), '') AS title FROM s""",
+)(lambda t: t.items().select("doc_id", "href", html.title_of_stem(F.col("href")).alias("title")))
+_H1 = """h1 AS (SELECT doc_id, pos, 1 AS level, i, title, CAST(NULL AS VARCHAR) AS html_id, href, 1.0 AS c FROM (SELECT doc_id, pos, href, unnest(range(1, len(h) + 1)) AS i, {} AS title
+  FROM (SELECT doc_id, pos, href, regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h FROM fl)) WHERE title <> ''),
+lv AS (SELECT * FROM h1 UNION ALL SELECT doc_id, pos, 2, 0, 'Sub ' || page_id, 's' || page_id, href, 0.7 FROM fl UNION ALL SELECT doc_id, pos, 3, 0, 'Deep ' || page_id, NULL, href, 0.5 FROM fl)""".format(
+    _strip.format(_unescape.format("regexp_replace(unnest(h), '<[^>]+>', '', 'g')"))
+)
+for _name, _deepest in (("low", 1), ("medium", 2), ("high", 3)):
+    query(
+        f"headings_{_name}",
+        f"""WITH {BOOK}, {_H1} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos, level, i) AS INTEGER) AS chapter_index, title, href AS file_path, html_id, level, 'structural' AS detection_method,
+        CAST(c AS DOUBLE) AS confidence, 0 AS content_length FROM lv WHERE level <= {_deepest}""",
+    )(lambda t, s=_name: book.heading_chapters(t.headed_items(), s))
+query(
+    "manifest_gaps",
+    f"WITH {BOOK} SELECT mf.* REPLACE (CAST(row_number() OVER (PARTITION BY mf.doc_id ORDER BY pos) AS INTEGER) AS chapter_index) FROM mf JOIN fl ON mf.doc_id = fl.doc_id AND mf.chapter_index = fl.pos WHERE pos % 3 <> 0",
+)(lambda t: book.manifest_chapters(t.gappy_items(), t.gappy_spine()))
 query("toc_flat", f"WITH {BOOK} {_NATIVE.format('toc', 'TRUE')}")(lambda t: book.toc_chapters(t.toc()))
 for _level in (1, 2, 3):
     query(f"toc_tree_level_{_level}", f"WITH {TREE} {_NATIVE.format('tt', f'level = {_level}')}")(lambda t, n=_level: book.toc_chapters(book.flatten_toc(t.toc_tree()), n))
@@ -217,5 +254,53 @@ query(
 query("css_urls", f"WITH {BOOK}, {_REFS} SELECT doc_id, pos AS ordinal, ref AS url FROM rf WHERE kind = 'style_url'")(
     lambda t: t.rich_items().where("item_type = 'document'").select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.explode(S.css_urls(F.col("content"))).alias("url"))
 )
-query("html_text_paragraphs")(lambda t: t.items().select("doc_id", "item_id", F.posexplode(F.filter(F.transform(F.split(html.parse_html(F.col("content")).getField("text"), "\n"), S.strip), lambda x: x != "")).alias("paragraph", "text")))
-query("wrapped_pages")(lambda t: t("conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page"), F.inline(paginate.page_lines(F.col("text")))))
+_strip_tags = r"regexp_replace(regexp_replace({}, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')"
+query(
+    "html_text_paragraphs",
+    rf"""WITH {BOOK}, sp AS (SELECT doc_id, page_id, regexp_extract(html, '(?s)^(.*?)<script>(.*?)</script>(.*)$', ['a', 'b', 'c']) AS x FROM fl),
+    tx AS (SELECT doc_id, page_id, string_split({_unescape.format(_strip_tags.format('x.a'))} || x.b || {_unescape.format(_strip_tags.format('x.c'))}, chr(10)) AS t FROM sp)
+    SELECT doc_id, CAST(page_id AS VARCHAR) AS item_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS paragraph, text
+    FROM (SELECT doc_id, page_id, generate_subscripts(t, 1) AS i, {_strip.format('unnest(t)')} AS text FROM tx) WHERE text <> ''""",
+)(lambda t: t.items().select("doc_id", "item_id", F.posexplode(F.filter(F.transform(F.split(html.parse_html(F.col("content")).getField("text"), "\n"), S.strip), lambda x: x != "")).alias("paragraph", "text")))
+query(
+    "wrapped_pages",
+    r"""WITH RECURSIVE c AS (SELECT conv_id AS doc_id, turn + 1 AS turn_page, text, row_number() OVER () AS k FROM conversations),
+    w AS (SELECT k, par, list_filter(string_split_regex(x, '\s+'), lambda v: v <> '') AS words FROM (SELECT k, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS par FROM c) WHERE regexp_matches(x, '\S')),
+    l(k, par, i, line, used) AS (SELECT k, par, 1, CASE WHEN length(words[1]) > 80 THEN 2 ELSE 1 END, length(words[1]) FROM w
+      UNION ALL SELECT l.k, l.par, i + 1, CASE WHEN used + 1 + length(words[i + 1]) <= 80 THEN line ELSE line + 1 END, CASE WHEN used + 1 + length(words[i + 1]) <= 80 THEN used + 1 ELSE 0 END + length(words[i + 1])
+      FROM l JOIN w ON l.k = w.k AND l.par = w.par WHERE i < len(words)),
+    t AS (SELECT l.k, l.par, line, string_agg(words[i], ' ' ORDER BY i) AS text FROM l JOIN w ON l.k = w.k AND l.par = w.par GROUP BY ALL UNION ALL SELECT k, par, 1, '' FROM l WHERE i = 1 AND line = 2),
+    n AS (SELECT k, text, row_number() OVER o AS r, CASE WHEN par <> lag(par, 1, par) OVER o THEN 22 ELSE 15 END AS step FROM t WINDOW o AS (PARTITION BY k ORDER BY par, line)),
+    g(k, r, page, y) AS (SELECT k, 1, 1, 50 FROM n WHERE r = 1 UNION ALL SELECT n.k, n.r::INTEGER, CASE WHEN y + step > 792 THEN page + 1 ELSE page END, CASE WHEN y + step > 792 THEN 50 ELSE y + step END FROM g JOIN n ON n.k = g.k AND n.r = g.r + 1)
+    SELECT doc_id, turn_page, page, y, n.text FROM g JOIN n ON g.k = n.k AND g.r = n.r JOIN c ON c.k = g.k""",
+)(lambda t: t("conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("turn_page"), F.inline(paginate.page_lines(F.col("text")))))
+_FRONT = """'<img src=""><img><link rel="stylesheet" href=""><img src="/i' || page_id || '.png"><h3>Deep ' || page_id || '</h3>'"""
+query(
+    "chapter_sections",
+    f"""WITH {BOOK} SELECT doc_id, CAST(pos AS INTEGER) AS chapter_index, CASE WHEN page_id % 2 = 0 THEN '<html><head></head><body><h2 id="s' || page_id || '">Sub ' || page_id || '</h2></body></html>'
+      ELSE {_FRONT} || html || '<h2 id="s' || page_id || '">Sub ' || page_id || '</h2><h2> </h2>' END AS content FROM fl""",
+)(
+    lambda t: split.chapter_sections(
+        t.headed_items().select("doc_id", F.col("ordinal").alias("chapter_index"), F.col("content").cast("binary").alias("content"), F.concat(F.when(F.col("item_id").cast("long") % 2 == 0, "s").otherwise("none"), "item_id").alias("html_id"))
+    ).drop("html_id")
+)
+query("empty_refs", f"WITH {BOOK} SELECT doc_id, CAST(pos AS INTEGER) AS chapter_index, href AS file_path, 'img' AS kind, '/i' || page_id || '.png' AS ref FROM fl")(
+    lambda t: split.resource_refs(t.headed_items().select("doc_id", F.col("ordinal").alias("chapter_index"), F.col("href").alias("file_path"), "content"))
+)
+query("default_outputs", rf"""WITH {BOOK} SELECT doc_id, href, regexp_replace(href, '([^/])\.[^./]+$', '\1') || '_chapters' AS folder, lower(href) LIKE '%.html' AS is_html FROM fl""")(
+    lambda t: t.items().select("doc_id", "href", S.default_output(F.col("href")).alias("folder"), S.is_kind(F.col("href"), "html").alias("is_html"))
+)
+query(
+    "chapter_metadata",
+    f"""WITH {OUTLINE}, ch AS ({_outline_chapters(1)}) SELECT ch.doc_id, chapter_index, ch.title, CASE WHEN ch.doc_id % 2 = 0 THEN c_mktsegment END AS subject, CASE WHEN ch.doc_id % 2 = 0 THEN 2 ELSE 1 END AS entries
+    FROM ch JOIN customer ON ch.doc_id = c_custkey""",
+)(
+    lambda t: split.merged_metadata(
+        t("customer").select(F.col("c_custkey").alias("doc_id"), F.create_map(F.lit("title"), "c_name", F.lit("subject"), "c_mktsegment").alias("metadata")),
+        split.plan_pdf(layout.outline_chapters(t.outline_documents(), t.outline())).withColumn("preserve_metadata", F.col("doc_id") % 2 == 0),
+    ).select("doc_id", "chapter_index", F.col("metadata")["title"].alias("title"), F.col("metadata")["subject"].alias("subject"), F.size("metadata").alias("entries"))
+)
+query(
+    "pdf_patterns",
+    rf"WITH {LAYOUT}, x AS (SELECT *, regexp_matches(text, '(?i)^chapter \d') AS own FROM f) SELECT doc_id, page, CAST(line AS INTEGER) AS line, text FROM x WHERE own OR (avg_size > 0 AND size >= avg_size * 1.5::DOUBLE AND words <= 10)",
+)(lambda t: layout.heading_candidates(t.spans(), "low", [r"^Chapter \d.*$"]).select("doc_id", "page", "line", "text"))

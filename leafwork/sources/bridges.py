@@ -45,6 +45,13 @@ class Tables:
         text = F.when(early & (c("line") == 0) & (c("doc_id") % 3 == 0), F.concat(F.lit("Chapter "), page, F.lit(": "), c("raw"))).when(early & (c("line") == 1) & (c("doc_id") % 5 == 0), F.concat(F.lit("Part "), page, F.lit(" "), c("raw"))).otherwise(c("raw"))
         return lines.select(c("source").alias("doc_id"), "page", F.lit(0).alias("block"), F.lit(0).alias("block_type"), "line", F.lit(0).alias("span"), text.alias("text"), size.alias("size"))
 
+    def mixed_spans(self) -> DataFrame:
+        """Lines cut into two spans, the second of another size; three lines make a block, and each fourth block is an image."""
+        c, cut = F.col, 12
+        block = F.floor(c("line") / 3).cast("int")
+        two = F.array(F.struct(F.lit(0).alias("span"), F.substring("text", 1, cut).alias("text"), c("size")), F.struct(F.lit(1).alias("span"), F.expr(f"substring(text, {cut + 1})").alias("text"), (c("size") + c("page") % 2 * 3.0).alias("size")))
+        return self.spans().select("doc_id", "page", block.alias("block"), F.when(block % 4 == 3, 1).otherwise(0).alias("block_type"), "line", F.inline(two))
+
     def layout_outline(self) -> DataFrame:
         p = self._pages().where("n % 3 < 2")
         level = F.when(F.col("n") % 3 == 0, (F.col("doc_id") % 2 + 1).cast("int")).otherwise(F.lit(2))
@@ -91,6 +98,21 @@ class Tables:
         files = folders.where("dir <> ''").select("doc_id", F.explode(hrefs).alias("href")).distinct()
         return pages.unionByName(files.select("doc_id", F.col("href").alias("item_id"), F.lit(0).alias("ordinal"), "href", F.lit("resource").alias("item_type"), F.lit(None).cast("string").alias("content")))
 
+    # books whose pages have a deep heading in front and a lower one, with an id, behind; empty references too
+    def headed_items(self) -> DataFrame:
+        k = F.col("item_id")
+        front = F.concat(F.lit('<img src=""><img><link rel="stylesheet" href=""><img src="/i'), k, F.lit('.png"><h3>Deep '), k, F.lit("</h3>"))
+        back = F.concat(F.lit('<h2 id="s'), k, F.lit('">Sub '), k, F.lit("</h2><h2> </h2>"))
+        return self.items().withColumn("content", F.concat(front, "content", back))
+
+    # books of which each third page is an image, and whose reading order names pages that they don't have
+    def gappy_items(self) -> DataFrame:
+        return self.items().withColumn("item_type", F.when(F.col("ordinal") % 3 == 0, "image").otherwise("document"))
+
+    def gappy_spine(self) -> DataFrame:
+        both = F.array(F.struct((F.col("pos") * 2).alias("pos"), F.col("item_id")), F.struct((F.col("pos") * 2 + 1).alias("pos"), F.concat(F.lit("x"), "item_id").alias("item_id")))
+        return self.spine().select("doc_id", F.inline(both))
+
     # labelled documents as chapters, whose contents are partly missing
     def labelled_plan(self) -> DataFrame:
         d = self("documents").select("doc_id", "source")
