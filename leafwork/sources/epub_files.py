@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+NAMES = "*.[eE][pP][uU][bB]"  # other files are not read
 DOCUMENT_TYPES = ("application/xhtml+xml", "text/html")
 
 
@@ -87,7 +88,7 @@ def read_epub(content: bytes) -> dict:
             else:
                 for top in _find(tree, "navMap"):
                     _ncx(top, 1, toc)
-        except (ElementTree.ParseError, KeyError):
+        except Exception:  # noqa: BLE001  whatever is wrong with it, the book has no contents then
             toc = []
         if toc:
             break
@@ -102,22 +103,20 @@ def read_epub(content: bytes) -> dict:
 
 def read_epubs(spark: SparkSession, path: str) -> DataFrame:
     """One row a file: path, error (null if it could be read), items, spine, toc, metadata. Any file system that Spark reads."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return parse_epubs(files.where(F.lower("path").endswith(".epub")).select("path", "content"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", NAMES).load(path)
+    return parse_epubs(files.select("path", "content"))
 
 
 def parse_epubs(files: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
             for path, content in zip(part["path"], part["content"], strict=True):
                 row = {"path": path, "error": None, "items": [], "spine": [], "toc": [], "metadata": []}
                 try:
                     row |= read_epub(content)
                 except Exception as e:  # noqa: BLE001  one bad book doesn't end the job
                     row["error"] = f"{type(e).__name__}: {e}"
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=[f.name for f in BOOK])
+                yield pd.DataFrame([row], columns=[f.name for f in BOOK])  # unpacked, a book at a time
 
     return files.mapInPandas(run, BOOK)
 

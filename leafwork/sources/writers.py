@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 from html import escape
+from urllib.parse import quote
 
 import pandas as pd
 import pyarrow.fs
@@ -16,7 +17,8 @@ from leafwork.sources import pdf_files
 from leafwork.sources.epub_files import book_bytes
 from leafwork.sources.pdf_files import text_pdf
 
-MANIFEST = "doc_id string, chapter_index int, path string, bytes long"
+MANIFEST = "doc_id string, chapter_index int, path string, bytes long, error string"
+COLUMNS = ["doc_id", "chapter_index", "path", "bytes", "error"]
 
 
 def located(place: str) -> str:
@@ -25,7 +27,9 @@ def located(place: str) -> str:
 
 
 def folder_of(doc_id: str) -> str:
-    return str(doc_id).strip("/").replace("/", "_").replace(":", "_")
+    """A folder of the document's own: letters, digits and ._-~ stay, other bytes are percent-encoded, and a name of dots too."""
+    name = quote(str(doc_id), safe="")
+    return name if name.strip(".") else name.replace(".", "%2E") or "%"
 
 
 def _put(place: str, build: Callable[[pd.Series], bytes]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -36,13 +40,17 @@ def _put(place: str, build: Callable[[pd.Series], bytes]) -> Callable[[Iterator[
         for part in parts:
             rows = []
             for _, row in part.iterrows():
-                folder = folder_of(row["doc_id"])
-                fs.create_dir(f"{base}/{folder}", recursive=True)
-                data, name = build(row), f"{folder}/{row['output_name']}"
+                name = f"{folder_of(row['doc_id'])}/{row['output_name']}"
+                try:
+                    data = build(row)
+                except Exception as e:  # noqa: BLE001  one bad chapter doesn't end the job
+                    rows.append((str(row["doc_id"]), int(row["chapter_index"]), None, 0, f"{type(e).__name__}: {e}"))
+                    continue
+                fs.create_dir(f"{base}/{name.rpartition('/')[0]}", recursive=True)
                 with fs.open_output_stream(f"{base}/{name}") as out:
                     out.write(data)
-                rows.append((str(row["doc_id"]), int(row["chapter_index"]), f"{place}/{name}", len(data)))
-            yield pd.DataFrame(rows, columns=["doc_id", "chapter_index", "path", "bytes"])
+                rows.append((str(row["doc_id"]), int(row["chapter_index"]), f"{place}/{name}", len(data), None))
+            yield pd.DataFrame(rows, columns=COLUMNS)
 
     return run
 
@@ -65,12 +73,11 @@ def write_epub(contents: DataFrame, place: str) -> DataFrame:
 
 
 def write_pdf(plan: DataFrame, files: DataFrame, place: str) -> DataFrame:
-    """A PDF of each chapter's pages: plan from split.plan_pdf, files (doc_id, content). Needs the optional library.
+    """A PDF of each chapter's pages: plan from split.plan_pdf, files (doc_id, content).
 
     A document goes to one task with all its chapters and is opened once; a chapter without pages is skipped, its number
     stays unused.
     """
-    pdf_files.library()
     place = located(place)
     chapters = plan.where("NOT is_inverted").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chapter_index", "output_name", "title", "start_page", "end_page", "preserve_metadata"))).alias("chapters"))
 
@@ -78,14 +85,18 @@ def write_pdf(plan: DataFrame, files: DataFrame, place: str) -> DataFrame:
         fs, base = pyarrow.fs.FileSystem.from_uri(place)
         for part in parts:
             for doc_id, content, todo in zip(part["doc_id"], part["content"], part["chapters"], strict=True):
-                folder, rows = folder_of(doc_id), []
+                folder, rows, done = folder_of(doc_id), [], 0
                 fs.create_dir(f"{base}/{folder}", recursive=True)
-                for chapter, data in pdf_files.cut(pdf_files.library(), content, todo):
-                    name = f"{folder}/{chapter['output_name']}"
-                    with fs.open_output_stream(f"{base}/{name}") as out:
-                        out.write(data)
-                    rows.append((str(doc_id), int(chapter["chapter_index"]), f"{place}/{name}", len(data)))
-                yield pd.DataFrame(rows, columns=["doc_id", "chapter_index", "path", "bytes"])
+                try:
+                    for chapter, data in pdf_files.cut(pdf_files.library(), content, todo):
+                        name = f"{folder}/{chapter['output_name']}"
+                        with fs.open_output_stream(f"{base}/{name}") as out:
+                            out.write(data)
+                        rows.append((str(doc_id), int(chapter["chapter_index"]), f"{place}/{name}", len(data), None))
+                        done += 1
+                except Exception as e:  # noqa: BLE001  one bad file doesn't end the job
+                    rows += [(str(doc_id), int(c["chapter_index"]), None, 0, f"{type(e).__name__}: {e}") for c in todo[done:]]
+                yield pd.DataFrame(rows, columns=COLUMNS)
 
     return files.select("doc_id", "content").join(chapters, "doc_id").mapInPandas(run, MANIFEST)
 

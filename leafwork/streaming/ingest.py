@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from leafwork.sources.epub_files import parse_epubs
+from leafwork.sources.epub_files import NAMES, parse_epubs
 
 
 def stream_epubs(spark: SparkSession, path: str) -> DataFrame:
     """A stream of parsed books, each file once."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.epub").load(path)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", NAMES).load(path)
     return parse_epubs(files.select("path", "content"))
 
 
