@@ -104,7 +104,7 @@ def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, id_col: str
 
     Returns a row for each sequence: shard, bin, capacity (the least permitted length that holds it), used (its tokens),
     doc_ids, starts and lengths (of its pieces: their documents, where in these they start, their tokens), and ids: the
-    tokens of all pieces end to end.
+    tokens of all pieces end to end, little-endian, two bytes each where the vocabulary allows it, else four.
 
     Defined cases: a null text is empty and takes one token, its end; pieces tied in length are packed by id, then piece;
     rows that repeat an id, or have none, are packed each; a very long text is encoded whole, at about thirty bytes a byte,
@@ -127,11 +127,10 @@ def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, id_col: str
         length = table["length"].to_numpy()
         used = np.add.reduceat(length, first[:-1])
         body = table["ids"].to_pylist()
-        flat = np.frombuffer(b"".join(body), encoder(place).dtype).astype(np.int32)
-        lists = lambda at, values: pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), values)
-        nested = [lists(first, table[c].combine_chunks()) for c in ("id", "start", "length")] + [lists(np.concatenate(([0], np.cumsum(used))), pa.array(flat))]
-        small = [x.cast(pa.list_(x.type.value_type)) for x in nested]
-        return pa.table([pa.array([table["shard"][0].as_py()] * len(final), pa.int64()), pa.array(range(len(final)), pa.int64()), pa.array(final, pa.int64()), pa.array(used, pa.int64()), *small], names=["shard", "bin", "capacity", "used", "doc_ids", "starts", "lengths", "ids"])
+        ids = [b"".join(body[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        nested = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), table[c].combine_chunks()) for c in ("id", "start", "length")]
+        head = [pa.array([table["shard"][0].as_py()] * len(final), pa.int64()), *(pa.array(x, pa.int64()) for x in (range(len(final)), final, used))]
+        return pa.table([*head, *nested, pa.array(ids, pa.binary())], names=["shard", "bin", "capacity", "used", "doc_ids", "starts", "lengths", "ids"])
 
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(RK, "piece"), F.lit(shards)).cast("long"))
-    return dealt.groupBy("shard").applyInArrow(pack, f"shard long, bin long, capacity long, used long, doc_ids array<{kind}>, starts array<long>, lengths array<long>, ids array<int>")
+    return dealt.groupBy("shard").applyInArrow(pack, f"shard long, bin long, capacity long, used long, doc_ids array<{kind}>, starts array<long>, lengths array<long>, ids binary")
