@@ -18,7 +18,6 @@ from leafwork.llm.graph import Union, components
 _U = np.uint64
 WORDS, SIMILAR = 5, 0.8
 TREES, DEPTH, RECALL = 16, 8, 0.9995
-STEP = 2  # values by which the prefix is shortened
 NODE = 512  # members of a trie node that are compared at once; more are dealt out in pairs of blocks
 _rng = np.random.Generator(np.random.PCG64(99))
 _MUL = _rng.integers(1, 2**62, TREES * DEPTH, dtype=np.uint64) * _U(2) + _U(1)
@@ -31,9 +30,12 @@ def meeting(similar: float, depth: int) -> float:
 
 
 def ladder(similar: float, recall: float) -> list[int]:
-    """Prefix lengths from the whole depth down to the longest at which two sets of just that similarity meet with that probability."""
+    """Prefix lengths: the whole depth, halved down to the longest at which two sets of just that similarity meet with that probability."""
     last = next((d for d in range(DEPTH, 1, -1) if meeting(similar, d) >= recall), 1)
-    return [*range(DEPTH, last, -STEP), last]
+    out = [DEPTH]
+    while out[-1] > last:
+        out.append(max(out[-1] // 2, last))
+    return out
 
 
 def missing(found: dict[int, int], depth: int) -> float:
@@ -103,13 +105,10 @@ class Node:
     ladder at which it meets, and there to the first tree: so each pair is looked at once, whatever it shares.
     """
 
-    def __init__(self, tree: int, sigs: list[bytes], blocks: list[int], apart: bool, depth: int, before: int | None, floor: int) -> None:
-        full = _matrix(sigs)
-        self.tree, self.floor, self.low = tree, floor, full.astype(np.uint8)
-        self.now = prefixes(full, depth)
-        self.before = prefixes(full, before) if before else None
-        self.blocks = np.array(blocks)
-        self.left = self.blocks.min() if apart else None
+    def __init__(self, tree: int, blocks: np.ndarray, low: np.ndarray, now: np.ndarray, before: np.ndarray | None, apart: bool, floor: int) -> None:
+        """low: the signatures' low bytes; now and before: their prefixes of this length and of the one before, if any; apart: the members are of two blocks, only pairs across count."""
+        self.tree, self.blocks, self.low, self.now, self.before, self.floor = tree, blocks, low, now, before, floor
+        self.left = blocks.min() if apart else None
 
     def partners(self, i: int) -> np.ndarray:
         """The candidates of member i; each pair is given by one of its members."""
@@ -127,18 +126,29 @@ class Node:
         return others[(self.low[others] == self.low[i]).sum(1) >= self.floor]
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Rows sorted by their first columns, group by group."""
-    now, held = None, []
+def _nodes(batches: Iterator[pa.RecordBatch], depth: int, before: int | None, floor: int) -> Iterator[tuple[pa.Table, list[tuple[int, int, Node]]]]:
+    """Rows (tree, node, i, j, block, rep, sig ...) sorted by the first four, as tables of whole groups, and in each the groups of two rows or more."""
+    rest = None
+
+    def done(table: pa.Table, edges: np.ndarray) -> tuple[pa.Table, list[tuple[int, int, Node]]]:
+        sigs = _matrix(table["sig"].to_pylist())
+        now, old, low = prefixes(sigs, depth), prefixes(sigs, before) if before else None, sigs.astype(np.uint8)
+        tree, i, j, blocks = (table[c].to_numpy() for c in ("tree", "i", "j", "block"))
+        some = np.flatnonzero(np.diff(edges) > 1)
+        return table, [(a, b, Node(int(tree[a]), blocks[a:b], low[a:b], now[a:b], None if old is None else old[a:b], i[a] != j[a], floor)) for a, b in zip(edges[some].tolist(), edges[some + 1].tolist(), strict=True)]
+
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:keys] != now:
-                if held:
-                    yield now, held
-                now, held = row[:keys], []
-            held.append(row[keys:])
-    if held:
-        yield now, held
+        if not len(batch):
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]) if rest is not None else table
+        key = np.stack([table[c].to_numpy().astype(np.int64) for c in ("tree", "node", "i", "j")])
+        edges = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1))
+        rest = table.slice(int(edges[-1]))  # the last group may go on
+        if edges[-1]:
+            yield done(table.slice(0, int(edges[-1])), edges)
+    if rest is not None:
+        yield done(rest, np.array([0, len(rest)]))
 
 
 def _in_batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4096) -> Iterator[pa.RecordBatch]:
@@ -152,29 +162,24 @@ def _in_batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4096) -> I
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-ACTIVE = pa.schema([("tree", pa.int32()), ("node", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("rep", pa.int64()), ("sig", pa.binary())])
 FOUND = pa.schema([("rep", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
 
 
 def _active(depth: int, before: int | None, floor: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Members (tree, node, i, j, block, rep, sig), sorted by the first four, that have a candidate in their group."""
+    """Of rows (tree, node, i, j, block, rep, sig), sorted by the first four, those that have a candidate in their group."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for key, held in _grouped(batches, 4):
-            if len(held) < 2:
-                continue
-            blocks, _, sigs = zip(*held, strict=True)
-            node = Node(key[0], sigs, blocks, key[2] != key[3], depth, before, floor)
-            alive = np.zeros(len(held), bool)
-            for i in range(len(held)):
-                found = node.partners(i)
-                if len(found):
-                    alive[i] = True
-                    alive[found] = True
-            for i in np.flatnonzero(alive).tolist():
-                yield *key, *held[i]
-
-    return lambda batches: _in_batches(rows(batches), ACTIVE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, nodes in _nodes(batches, depth, before, floor):
+            alive = np.zeros(len(table), bool)
+            for a, b, node in nodes:
+                for i in range(b - a):
+                    if len(found := node.partners(i)):
+                        alive[a + i] = True
+                        alive[a + found] = True
+            if alive.any():
+                yield from table.filter(pa.array(alive)).to_batches()
+
+    return run
 
 
 def count_links(sets: list[np.ndarray], partners: Callable[[int], np.ndarray], similar: float) -> tuple[list[int], list[tuple[int, int]], dict[int, int]]:
@@ -211,15 +216,16 @@ def _verify(similar: float, depth: int, before: int | None, floor: int) -> Calla
     """Rows (tree, node, i, j, block, rep, sig, text) sorted by the first four to FOUND: (rep, null, links), edges (rep, other, 0) that join the linked, and links by similarity (null, hundredths, links)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for key, held in _grouped((b.set_column(7, "text", b.column(7).cast(pa.binary())) for b in batches), 4):
-            blocks, reps, sigs, texts = zip(*held, strict=True)
-            node = Node(key[0], sigs, blocks, key[2] != key[3], depth, before, floor)
-            hashes, first = shingle_hashes(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64), WORDS)
-            sets = [np.unique(hashes[first[i] : first[i + 1]]) for i in range(len(held))]
-            links, pairs, levels = count_links(sets, node.partners, similar)
-            yield from ((r, None, n) for r, n in zip(reps, links, strict=True) if n)
-            yield from ((reps[a], reps[b], 0) for a, b in pairs)
-            yield from ((None, s, n) for s, n in levels.items())
+        for table, nodes in _nodes(batches, depth, before, floor):
+            reps = table["rep"].to_pylist()
+            data, offs = raw(table["text"])
+            for a, b, node in nodes:
+                hashes, first = shingle_hashes(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], WORDS)
+                sets = [np.unique(hashes[first[i] : first[i + 1]]) for i in range(b - a)]
+                links, pairs, levels = count_links(sets, node.partners, similar)
+                yield from ((r, None, n) for r, n in zip(reps[a:b], links, strict=True) if n)
+                yield from ((reps[a + x], reps[a + y], 0) for x, y in pairs)
+                yield from ((None, s, n) for s, n in levels.items())
 
     return lambda batches: _in_batches(rows(batches), FOUND)
 
@@ -253,7 +259,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Documents with equal sets are copies; the least stands for them. Sixteen prefix trees of eight MinHash values hold the
     representatives. Pairs that share a whole prefix in some tree, and whose signatures agree enough (five standard
     deviations under the threshold, so that this loses nothing), are verified exactly on whole texts by an inverted index
-    over the members of the node. Then the prefix is shortened by two values and what newly meets is verified, until the
+    over the members of the node. Then the prefix is halved and what newly meets is verified, until the
     similarities found say that at most 1 - `recall` of the links, and less than one, are still to be expected, or two
     sets at the very threshold meet with probability `recall`. A pair is counted at the first prefix and in the first tree
     where it meets; none is emitted but those that join a class. A node of many members is dealt into pairs of blocks.
