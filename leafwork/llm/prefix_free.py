@@ -24,7 +24,7 @@ def refine(rank: np.ndarray, order: np.ndarray, left: np.ndarray, step: int, eno
         if not len(tied):
             break
         key = rank[tied] * np.int64(len(rank) + 1) + rank[tied + step] + 1
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         tied, key = tied[by], key[by]
         new = np.ones(len(tied), bool)
         new[1:] = key[1:] != key[:-1]
@@ -45,7 +45,7 @@ def refine(rank: np.ndarray, order: np.ndarray, left: np.ndarray, step: int, eno
 
 def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rank of each key as the first place of its group in sorted order, and that order."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     s = key[order]
     new = np.ones(len(s), bool)
     new[1:] = s[1:] != s[:-1]
@@ -85,7 +85,6 @@ def suffix_keys(text: np.ndarray, at: np.ndarray, enough: int) -> np.ndarray:
     number = {p: i for i, p in enumerate(phrases)}
     parse = np.fromiter((number[p] for p in seq), np.int64, len(seq))
     ranks, where = dictionary_ranks(phrases, enough)
-    order = np.argsort(parse, kind="stable")
     first, order = grouped(parse)
     after = refine(first, order, len(parse) - np.arange(len(parse)), 1, enough)
     after = np.append(after + 1, 0)  # behind the last phrase comes nothing
@@ -93,23 +92,55 @@ def suffix_keys(text: np.ndarray, at: np.ndarray, enough: int) -> np.ndarray:
     return ranks[where[parse[phrase]] + at - begin[phrase]] * np.int64(len(after) + 1) + after[phrase + 1]
 
 
+def eights(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number."""
+    n = len(text)
+    padded = np.concatenate([text, np.zeros(7, np.uint8)])
+    out = np.zeros(n, np.uint64)
+    for i in range(8):
+        out |= padded[i : n + i].astype(np.uint64) << np.uint64(8 * i)
+    return out
+
+
+def windows(sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of each string, of strings end to end, and where all of them start."""
+    wins = np.maximum(sizes - size + 1, 0)
+    return wins, np.arange(int(wins.sum())) - np.repeat(np.cumsum(wins) - wins, wins) + np.repeat(np.cumsum(sizes) - sizes, wins)
+
+
 def repeated_windows(strings: list[bytes], size: int) -> list[np.ndarray]:
-    """Which `size`-byte windows of each string occur more than once in the strings together."""
+    """Which `size`-byte windows of each string occur more than once in the strings together.
+
+    Strings without a window whose hash occurs twice hold nothing that repeats: the others alone are put in suffix order.
+    """
     sizes = np.array([len(s) for s in strings], np.int64)
-    begin = np.cumsum(sizes) - sizes
+    wins, at = windows(sizes, size)
+    hit = np.zeros(len(at), bool)
+    near = H.rolling(H.BYTE_CODE[np.frombuffer(b"".join(strings), np.uint8)], size)[at]
+    ranked = np.sort(near)
+    twice = ranked[1:][ranked[1:] == ranked[:-1]]
+    if len(twice):
+        maybe = twice[np.minimum(np.searchsorted(twice, near), len(twice) - 1)] == near
+        string = np.repeat(np.arange(len(sizes)), wins)
+        some = np.unique(string[maybe])
+        hit[np.isin(string, some)] = neighbours([strings[i] for i in some.tolist()], size)
+    return np.split(hit, np.cumsum(wins)[:-1])
+
+
+def neighbours(strings: list[bytes], size: int) -> np.ndarray:
+    """For all windows of the strings, whether one next to it in suffix order is equal."""
     text = np.frombuffer(b"".join(strings), np.uint8)
-    wins = np.maximum(sizes - size + 1, 0)
-    total = int(wins.sum())
-    at = np.arange(total) - np.repeat(np.cumsum(wins) - wins, wins) + np.repeat(begin, wins)
-    order = np.argsort(suffix_keys(text, at, size), kind="stable")
+    _, at = windows(np.array([len(s) for s in strings], np.int64), size)
+    order = np.argsort(suffix_keys(text, at, size))
     near = H.rolling(H.BYTE_CODE[text], size)[at[order]]
     same = np.flatnonzero(near[1:] == near[:-1])
     a, b = at[order[same]], at[order[same + 1]]
     true = np.ones(len(same), bool)
-    for i in range(size):  # the hash only spares comparisons
-        true &= text[a + i] == text[b + i]
+    wide = eights(text) if size >= 8 else text
+    for i in (*range(0, size - 7, 8), size - 8) if size >= 8 else range(size):  # the hash only spares comparisons
+        true &= wide[a + i] == wide[b + i]
     same = same[true]
-    hit = np.zeros(total, bool)
+    hit = np.zeros(len(at), bool)
     hit[order[same]] = True
     hit[order[same + 1]] = True
-    return np.split(hit, np.cumsum(wins)[:-1])
+    return hit

@@ -27,7 +27,7 @@ def repeated_word_windows(strings: list[bytes], size: int) -> list[np.ndarray]:
     wins = np.maximum(np.diff(rows) - size + 1, 0)
     total = int(wins.sum())
     at = np.arange(total) - np.repeat(np.cumsum(wins) - wins, wins) + np.repeat(rows[:-1], wins)
-    order = np.argsort(hashes[at], kind="stable")
+    order = np.argsort(hashes[at])
     near = hashes[at[order]]
     same = np.flatnonzero(near[1:] == near[:-1])
     hit = np.zeros(total, bool)
