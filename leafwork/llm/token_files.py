@@ -12,9 +12,9 @@ import os
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafwork.llm import elias_fano
+from leafwork.llm import hashing as H
 from leafwork.llm.common import map_arrow, materialize, new_path, raw, row_chunks
 
 MAGIC = b"EFTK"
 TAIL = "<QQqQQ4s"  # where the bounds and the document ids start, least document id, documents, how many of them have no id, magic
-CHUNK = 8 << 20
-KNOWN = 400_000  # pieces in each of the two generations that a worker remembers
+CHUNK = 4 << 20
+KNOWN, ASKED = 1_000_000, 4096  # pieces that a worker remembers, and that it encodes at once
 #: Bits of a byte. 1: ASCII graphic; 2: ASCII letter; 4: white space, cut off behind 1; 8: digit or sign, cut off behind 2.
 KIND = np.array([4 if b in (9, 10, 13, 32) else 0 if not 33 <= b < 127 else 3 if chr(b).isalpha() else 9 for b in range(256)], np.uint8)
 
@@ -69,9 +70,32 @@ class Encoder:
         for token in self.tool.get_added_tokens_decoder().values():  # never cut inside one
             for byte in token.content.encode()[1:]:
                 self.kind[byte] &= 3
-        self.known: dict[bytes, bytes] = {}
-        self.former: dict[bytes, bytes] = {}
-        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
+        self.forget(np.zeros(0, np.int64))
+
+    def forget(self, keep: np.ndarray) -> None:
+        """Remember the pieces at `keep` alone. A known piece takes about 45 bytes: all are arrays, sorted by the pieces' hash."""
+        if not len(keep):
+            self.keys, self.text, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, self.dtype)
+            self.text_at, self.text_n, self.ids_at, self.ids_n = (np.zeros(0, np.int64) for _ in range(4))
+        else:
+            self.text, self.ids = self.text[slices(self.text_at[keep], self.text_n[keep])], self.ids[slices(self.ids_at[keep], self.ids_n[keep])]
+            self.keys, self.text_n, self.ids_n = self.keys[keep], self.text_n[keep], self.ids_n[keep]
+            self.text_at, self.ids_at = np.cumsum(self.text_n) - self.text_n, np.cumsum(self.ids_n) - self.ids_n
+        self.used = np.zeros(len(self.keys), bool)  # since the last time that pieces were forgotten
+
+    def learn(self, keys: np.ndarray, data: np.ndarray, at: np.ndarray, n: np.ndarray, ids_at: np.ndarray, ids_n: np.ndarray) -> None:
+        """Remember pieces whose ids stand in self.ids already; of those that share a hash, also with a known one, one."""
+        _, first = np.unique(keys, return_index=True)
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, keys[first]), len(self.keys) - 1)
+            first = first[self.keys[place] != keys[first]]
+        text_at = len(self.text) + np.cumsum(n[first]) - n[first]
+        self.text = np.concatenate([self.text, data[slices(at[first], n[first])]])
+        merged = np.concatenate([self.keys, keys[first]])
+        order = np.argsort(merged)
+        self.keys = merged[order]
+        for name, new in (("text_at", text_at), ("text_n", n[first]), ("ids_at", ids_at[first]), ("ids_n", ids_n[first]), ("used", np.zeros(len(first), bool))):
+            setattr(self, name, np.concatenate([getattr(self, name), new])[order])
 
     @staticmethod
     def may_cut(made: dict) -> bool:
@@ -91,29 +115,49 @@ class Encoder:
             return np.full(len(offs) - 1, end, self.dtype), np.ones(len(offs) - 1, np.int64)
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf))])
         coded = pieces.dictionary_encode()
-        which, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        if len(self.known) > KNOWN:
-            self.former, self.known = self.known, {}
-        found = [self.known.get(x) for x in distinct]
-        missing = [i for i, x in enumerate(found) if x is None]
-        fresh = []
-        for i in missing:
-            if (got := self.former.get(distinct[i])) is None:
-                fresh.append(i)
-            else:
-                found[i] = self.known[distinct[i]] = got
-        for i, got in zip(fresh, self.tool.encode_batch_fast([distinct[i].decode() for i in fresh], add_special_tokens=False), strict=True):
-            found[i] = self.known[distinct[i]] = array(self.code, got.ids).tobytes()
-        flat = np.frombuffer(b"".join(found), self.dtype)
-        sizes = np.array([len(x) for x in found], np.int64) // self.dtype.itemsize
-        begin = np.cumsum(sizes) - sizes
-        per = sizes[which]
+        which = coded.indices.to_numpy()
+        data, at = raw(coded.dictionary)
+        at, n = at[:-1], np.diff(at)
+        keys = H.word_hashes(data, at, at + n)
+        found = np.zeros(len(keys), bool)
+        begin, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            some = np.flatnonzero((self.keys[place] == keys) & (self.text_n[place] == n))
+            if len(some):  # the hash finds, the bytes decide
+                own = place[some]
+                differ = data[slices(at[some], n[some])] != self.text[slices(self.text_at[own], n[some])]
+                same = np.add.reduceat(differ, np.cumsum(n[some]) - n[some]) == 0
+                some, own = some[same], own[same]
+                found[some] = self.used[own] = True
+                begin[some], size[some] = self.ids_at[own], self.ids_n[own]
+        new = np.flatnonzero(~found)
+        if len(new):
+            made = [self.ids]
+            for k in range(0, len(new), ASKED):  # encodings are large
+                part = new[k : k + ASKED]
+                got = [x.ids for x in self.tool.encode_batch_fast([x.decode() for x in coded.dictionary.take(pa.array(part)).to_pylist()], add_special_tokens=False)]
+                size[part] = [len(x) for x in got]
+                made.append(np.fromiter(chain.from_iterable(got), self.dtype, int(size[part].sum())))
+            begin[new] = len(self.ids) + np.cumsum(size[new]) - size[new]
+            self.ids = np.concatenate(made)
+            self.learn(keys[new], data, at[new], n[new], begin[new], size[new])
+        per = size[which]
         before = np.concatenate(([0], np.cumsum(per)))
-        ids = flat[np.repeat(begin[which] - before[:-1], per) + np.arange(before[-1])]
+        ids = self.ids[slices(begin[which], per)]
+        if len(self.keys) > KNOWN:
+            keep = np.flatnonzero(self.used)
+            self.forget(keep if len(keep) <= 3 * KNOWN // 4 else np.zeros(0, np.int64))
         rows = before[np.searchsorted(places, offs)]
         return np.insert(ids, rows[1:], end), np.diff(rows) + 1
 
 
+def slices(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Positions at[0] .. at[0] + n[0] - 1, at[1] .., one after another."""
+    ends = np.cumsum(n)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(at - (ends - n), n)
+
+
 def _write(place: str, tokenizer: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, counts, docs, path = None, [], [], ""
