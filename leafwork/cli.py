@@ -53,12 +53,27 @@ def parse(args: list[str] | None = None) -> argparse.Namespace:
 
 
 def report(made: DataFrame) -> int:
+    """Names of up to ten files, else how many; chapters that failed. 1 if any did."""
     made = made.persist()
-    n = made.count()
+    bad = made.where("error IS NOT NULL").persist()
+    n, failed = made.where("error IS NULL").count(), bad.count()
     print(f"{n} files")
     if n <= 10:
-        made.orderBy("doc_id", "chapter_index").select("path").show(truncate=False)
-    return 0
+        made.where("error IS NULL").orderBy("doc_id", "chapter_index").select("path").show(truncate=False)
+    if failed:
+        print(f"{failed} chapters failed")
+        bad.select("doc_id", "chapter_index", "error").show(100, truncate=False)
+    return int(failed > 0)
+
+
+def confirmed(a: argparse.Namespace, why: str) -> bool:
+    """--yes, or an answer where someone is there to give it."""
+    if a.yes:
+        return True
+    if not sys.stdin.isatty():
+        print(f"{why} --yes splits nonetheless.")
+        return False
+    return input(f"{why} Split nonetheless? [y/N] ").strip().lower() in ("y", "yes")
 
 
 def place_of(spark: SparkSession, a: argparse.Namespace) -> str:
@@ -77,8 +92,7 @@ def epub(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.command == "preview":
         book.preview_epub(chapters).show(1000, truncate=False)
         return 0
-    if not a.yes and not book.low_confidence(chapters).where("low_confidence > 0").isEmpty():
-        print("Some chapters have low confidence; --yes splits nonetheless.")
+    if not book.low_confidence(chapters).where("low_confidence > 0").isEmpty() and not confirmed(a, "Some chapters have low confidence."):
         return 1
     plan = split.plan_epub(chapters, a.pattern or split.EPUB_PATTERN, a.output_format, not a.no_metadata)
     if a.output_format == "pdf":
@@ -94,7 +108,7 @@ def pdf(spark: SparkSession, a: argparse.Namespace) -> int:
     documents, outline, spans = (f(parsed) for f in (pdf_files.documents, pdf_files.outline, pdf_files.spans))
     if a.command == "outline":
         documents.show(1000, truncate=False)
-        layout.first_entries(outline).show(50, truncate=False)
+        layout.first_entries(outline).orderBy("doc_id", "seq").show(1000, truncate=False)
         layout.level_histogram(outline).show()
         return 0
     chapters = layout.detect_pdf(documents, outline, spans, a.strategy, a.sensitivity, a.bookmark_level)
@@ -105,8 +119,7 @@ def pdf(spark: SparkSession, a: argparse.Namespace) -> int:
         if not summary.where("try_heuristic").isEmpty():
             print("Some files have no bookmarks; --strategy heuristic may find chapters.")
         return 0
-    if not a.yes and not summary.where("confirm").isEmpty():
-        print("Some files would stay whole; --yes splits nonetheless.")
+    if not summary.where("confirm").isEmpty() and not confirmed(a, "Some files would stay whole."):
         return 1
     plan = split.plan_pdf(chapters, a.pattern or split.PDF_PATTERN, not a.no_metadata)
     return report(writers.write_pdf(plan, files.withColumnRenamed("path", "doc_id"), place_of(spark, a)))

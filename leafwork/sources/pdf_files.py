@@ -1,4 +1,7 @@
-"""PDF files: a writer of plain text pages, and a reader where a PDF library is installed."""
+"""PDF files: outline, layout and metadata as tables, files of page ranges, and a writer of plain text pages.
+
+Where an optional PDF library is installed it reads and cuts; else the reader of this package does, which knows simple files.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork.functions.paginate import HEIGHT, MARGIN, WIDTH, lay_out
+from leafwork.sources.pdf_reader import Pdf
 
 LAYOUT = "path string, total_pages int, error string, outline array<struct<seq:int,level:int,title:string,page:int>>, spans array<struct<page:int,block:int,block_type:int,line:int,span:int,text:string,size:double>>, metadata map<string,string>"
 
@@ -39,16 +43,21 @@ def text_pdf(text: str, title: str = "", creator: str = "") -> bytes:
 
 
 def library():
-    """The optional PDF library."""
+    """The optional PDF library, or None."""
     try:
         import fitz
-    except ImportError as e:
-        raise ImportError("reading PDF files needs an optional PDF library; layout and outline tables need none") from e
+    except ImportError:
+        return None
     return fitz
 
 
 def parse_pdf(lib, content: bytes) -> dict:
-    """total_pages, outline, spans and metadata of one file."""
+    """total_pages, outline, spans and metadata of one file. lib: the optional library, or None."""
+    if lib is None:
+        own = Pdf(content)
+        spans = [{"page": n, "block": b, "block_type": 0, "line": k, "span": j, "text": text, "size": size} for n, (_, page) in enumerate(own.pages, 1) for b, k, j, text, size in own.spans(page)]
+        outline = [{"seq": i, "level": level, "title": title, "page": page} for i, (level, title, page) in enumerate(own.outline(), 1)]
+        return {"total_pages": len(own.pages), "outline": outline, "spans": spans, "metadata": own.metadata()}
     with lib.open(stream=content, filetype="pdf") as doc:
         spans = [
             {"page": n, "block": b, "block_type": block.get("type", 0), "line": k, "span": j, "text": span.get("text", ""), "size": float(span.get("size", 0))}
@@ -63,6 +72,11 @@ def parse_pdf(lib, content: bytes) -> dict:
 
 def cut(lib, content: bytes, chapters: list) -> Iterator[tuple[dict, bytes]]:
     """Each chapter with a file of its pages; its metadata is the source's with the chapter's title, or none."""
+    if lib is None:
+        own = Pdf(content)
+        for c in chapters:
+            yield c, own.copy(int(c["start_page"]), int(c["end_page"]), own.metadata() | {"title": c["title"]} if c["preserve_metadata"] else {})
+        return
     with lib.open(stream=content, filetype="pdf") as doc:
         for c in chapters:
             with lib.open() as part:
@@ -74,28 +88,23 @@ def cut(lib, content: bytes, chapters: list) -> Iterator[tuple[dict, bytes]]:
 
 
 def parse_pdfs(files: DataFrame) -> DataFrame:
-    """Outline, layout and metadata of PDF files (path, content); needs the optional library. A file that fails has its error in its row."""
-    library()
-
+    """Outline, layout and metadata of PDF files (path, content). A file that fails has its error in its row."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
             for path, content in zip(part["path"], part["content"], strict=True):
                 row = {"path": path, "total_pages": 0, "error": None, "outline": [], "spans": [], "metadata": {}}
                 try:
                     row |= parse_pdf(library(), content)
                 except Exception as e:  # noqa: BLE001
                     row["error"] = f"{type(e).__name__}: {e}"
-                rows.append(row)
-            yield pd.DataFrame(rows)
+                yield pd.DataFrame([row])  # a file at a time
 
-    return files.where(F.lower("path").endswith(".pdf")).mapInPandas(run, LAYOUT)
+    return files.mapInPandas(run, LAYOUT)
 
 
 def pdf_contents(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of a PDF file or of those below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.where(F.lower("path").endswith(".pdf")).select("path", "content")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][dD][fF]").load(path).select("path", "content")
 
 
 def documents(parsed: DataFrame) -> DataFrame:

@@ -85,6 +85,13 @@ def test_html():
     assert html.section("<p>x</p>", "none") == "<p>x</p>" == html.section("<p>x</p>", "")
 
 
+def test_unclosed_headings():
+    got = html.parse("<div><h1>a<h2 id='x'>b</div>c<h1>d<p>e")["headings"]
+    assert [(h["level"], h["text"], h["id"]) for h in got] == [(1, "a", None), (2, "b", "x"), (1, "de", None)]
+    many = html.parse("<h1>some words" * 3000)
+    assert sum(len(h["text"]) for h in many["headings"]) == 30_000
+
+
 def test_wrapping():
     assert [len(x) for x in paginate.wrap("a" * 40 + " " + "b" * 39)] == [80]
     assert [len(x) for x in paginate.wrap("a" * 40 + " " + "b" * 40)] == [40, 40]

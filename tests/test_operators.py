@@ -102,3 +102,27 @@ def test_metadata_merge(make):
     plan = make([("d", 1, "T", True), ("d", 2, "U", False)], "doc_id string, chapter_index int, title string, preserve_metadata boolean")
     meta = make([("d", {"title": "whole", "author": "x"})], "doc_id string, metadata map<string,string>")
     assert rows(split.merged_metadata(meta, plan), "metadata") == [({"author": "x", "title": "T"},), ({"title": "U"},)]
+
+
+def test_sections_of_any_bytes(make):
+    rows_ = [("b", 1, "<p>caf\u00e9</p><p id='x'>\u00e9</p>".encode("latin-1"), "x"), ("b", 2, b"<p>\xe9</p>", ""), ("b", 3, None, "x"), ("b", 4, b"<p>a</p>", "none")]
+    got = split.chapter_sections(make(rows_, "doc_id string, chapter_index int, content binary, html_id string"))
+    assert rows(got, "content") == [("<html><head></head><body><p id='x'>\u00e9</p></body></html>",), ("<p>\u00e9</p>",), (None,), ("<p>a</p>",)]
+
+
+def test_first_entries_of_each_document(make):
+    out = [(d, i, 1 + i % 2, f"t{i}", i) for d in ("a", "b") for i in range(1, 5)]
+    got = layout.first_entries(make(out, OUT), 2).orderBy("doc_id", "seq").collect()
+    assert [(r["doc_id"], r["entry"]) for r in got] == [("a", "  t1"), ("a", "t2"), ("b", "  t1"), ("b", "t2")]
+
+
+def test_own_patterns(make):
+    spans = make([("d", 1, 0, 0, 0, 0, "Chapter 1", 11.0), ("d", 2, 0, 0, 0, 0, "KAPITEL 2", 11.0)], SPAN)
+    got = layout.detect_pdf(make([("d", 3)], DOC), make([], OUT), spans, patterns=[r"^Kapitel \d+$"])
+    assert rows(got, "title", "start_page", "end_page", "confidence") == [("KAPITEL 2", 2, 3, 0.9)]
+
+
+def test_repeated_nodes_are_an_error(make):
+    nodes = [("b", "x", None, 0, "X", "a"), ("b", "y", "x", 0, "Y", "b"), ("b", "x", "y", 0, "X", "c")]
+    with pytest.raises(ValueError, match="repeat"):
+        book.flatten_toc(make(nodes, "doc_id string, node_id string, parent_id string, ordinal int, title string, href string"), 5)

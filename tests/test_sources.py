@@ -3,6 +3,7 @@ import io
 import sys
 import types
 import zipfile
+import zlib
 
 import pytest
 from leafwork import cli
@@ -93,6 +94,127 @@ def test_command_line_refuses():
     assert cli.parse(["preview", "x/A.PDF"]).kind == "pdf" and cli.parse(["preview", "x"]).kind == "epub"
 
 
+def pdf_with_outline(streams=False):
+    """Three pages of two fonts, nested bookmarks of each kind of target; with `streams`, objects in an object stream and a cross-reference stream under a predictor."""
+    page = lambda n, body: [f"<< /Type /Page /Parent 2 0 R /Contents {n} 0 R >>".encode(), zipped(body)]
+
+    def zipped(body, head=b""):
+        data = zlib.compress(body)
+        return b"<< /Filter /FlateDecode " + head + b"/Length %d >>\nstream\n" % len(data) + data + b"\nendstream"
+
+    cmap = b"1 begincodespacerange <00> <FF> endcodespacerange 1 beginbfchar <01> <00C9> endbfchar 1 beginbfrange <41> <5A> <0061> endbfrange"
+    bodies = [
+        b"<< /Type /Catalog /Pages 2 0 R /Outlines 10 0 R /Names << /Dests << /Names [(two) [5 0 R /Fit]] >> >> >>",
+        b"<< /Type /Pages /Kids [3 0 R 5 0 R 7 0 R] /Count 3 /MediaBox [0 0 300 300] /Resources << /Font << /F1 9 0 R /F2 15 0 R >> >> >>",
+        *page(4, b"BT /F1 24 Tf 50 250 Td (Chapter 1: \\(One\\)) Tj /F1 12 Tf 0 -60 Td (plain ) Tj (text) Tj T* ET"),
+        *page(6, b"q 2 0 0 2 0 0 cm BT /F1 10 Tf 1 0 0 1 20 100 Tm [(Ch) -10 (apter) -300 (2)] TJ 0 -12 TD <7465787432> Tj T* (third) Tj ET Q"),
+        *page(8, b"BT /F2 9 Tf 10 10 Td <0141> Tj ET"),
+        b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>",
+        b"<< /Type /Outlines /First 11 0 R /Last 13 0 R >>",
+        b"<< /Title (First) /Parent 10 0 R /Dest [3 0 R /XYZ 0 0 0] /First 12 0 R /Next 13 0 R >>",
+        b"<< /Title <FEFF00E9> /Parent 11 0 R /A << /S /GoTo /D (two) >> >>",
+        b"<< /Title (Last) /Parent 10 0 R /Dest [2 /Fit] /Next 14 0 R >>",
+        b"<< /Title (Away) /Parent 10 0 R /A << /S /URI /URI (http://x) >> >>",
+        b"<< /Type /Font /Subtype /Type1 /BaseFont /Odd /ToUnicode 16 0 R >>",
+        zipped(cmap),
+        b"<< /Title (Whole) /Author (\\351t\\351) /Creator (me) >>",
+    ]
+    out, places = bytearray(b"%PDF-1.5\n"), {}
+    boxed = [i for i, b in enumerate(bodies, 1) if b"stream" not in b] if streams else []
+    for i, b in enumerate(bodies, 1):
+        if i not in boxed:
+            places[i] = len(out)
+            out += b"%d 0 obj\n" % i + b + b"\nendobj\n"
+    n = len(bodies) + 1
+    if not streams:
+        start = len(out)
+        out += b"xref\n0 %d\n0000000000 65535 f \n" % n + b"".join(b"%010d 00000 n \n" % places[i] for i in range(1, n))
+        return bytes(out + b"trailer << /Size %d /Root 1 0 R /Info 17 0 R >>\nstartxref\n%d\n%%%%EOF" % (n, start))
+    heads, body = "", b""
+    for i in boxed:
+        heads += f"{i} {len(body)} "
+        body += bodies[i - 1] + b" "
+    places[n] = len(out)
+    out += b"%d 0 obj\n" % n + zipped(heads.encode() + body, b"/Type /ObjStm /N %d /First %d " % (len(boxed), len(heads))) + b"\nendobj\n"
+    start = places[n + 1] = len(out)
+    rows = [bytes([0, 0, 0, 0])] + [bytes([2, *n.to_bytes(2, "big"), boxed.index(i)]) if i in boxed else bytes([1, *places[i].to_bytes(2, "big"), 0]) for i in range(1, n + 2)]
+    above, filtered = bytes(4), b""
+    for r in rows:  # each row less the one above
+        filtered += b"\x02" + bytes((a - b) & 255 for a, b in zip(r, above))
+        above = r
+    out += b"%d 0 obj\n" % (n + 1) + zipped(filtered, b"/Type /XRef /W [1 2 1] /Size %d /Root 1 0 R /Info 17 0 R /DecodeParms << /Predictor 12 /Columns 4 >> " % (n + 2)) + b"\nendobj\n"
+    return bytes(out + b"startxref\n%d\n%%%%EOF" % start)
+
+
+@pytest.mark.parametrize("kind", ["table", "streams", "broken"])
+def test_pdf_reader(kind):
+    data = pdf_with_outline(kind == "streams")
+    if kind == "broken":
+        data = data[: data.rindex(b"startxref")].replace(b"xref", b"xxxx") + b"startxref 7"
+    got = pdf_files.parse_pdf(None, data)
+    assert got["total_pages"] == 3
+    assert [(o["level"], o["title"], o["page"]) for o in got["outline"]] == [(1, "First", 1), (2, "é", 2), (1, "Last", 3), (1, "Away", -1)]
+    assert got["metadata"] == {"title": "Whole", "author": "été", "creator": "me"}
+    spans = [(s["page"], s["block"], s["line"], s["span"], s["text"], s["size"]) for s in got["spans"]]
+    assert spans == [(1, 0, 0, 0, "Chapter 1: (One)", 24.0), (1, 1, 0, 0, "plain text", 12.0), (2, 0, 0, 0, "Chapter 2", 20.0), (2, 0, 1, 0, "text2", 20.0), (2, 0, 2, 0, "third", 20.0), (3, 0, 0, 0, "Éa", 9.0)]
+    chapters = [{"title": "Ä", "start_page": 2, "end_page": 3, "preserve_metadata": True}, {"title": "x", "start_page": 1, "end_page": 1, "preserve_metadata": False}]
+    two, one = (pdf_files.parse_pdf(None, part) for _, part in pdf_files.cut(None, data, chapters))
+    assert [(s["page"], s["text"], s["size"]) for s in two["spans"]] == [(1, "Chapter 2", 20.0), (1, "text2", 20.0), (1, "third", 20.0), (2, "Éa", 9.0)]
+    assert two["total_pages"] == 2 and two["metadata"] == {"title": "Ä", "author": "été", "creator": "me"}
+    assert [s["text"] for s in one["spans"]] == ["Chapter 1: (One)", "plain text"] and one["metadata"] == {} and one["outline"] == []
+
+
+def test_pdf_reader_reads_what_the_writer_writes():
+    text = "\n".join(["(a) line \\ of text"] * 40)
+    got = pdf_files.parse_pdf(None, pdf_files.text_pdf(text, "t(1)", "me"))
+    assert got["total_pages"] == 2 and got["metadata"] == {"title": "t(1)", "creator": "me"}
+    assert [(s["text"], s["size"]) for s in got["spans"]] == [("(a) line \\ of text", 11.0)] * 40
+    for bad in (b"", b"%PDF-1.4 nothing", b"no pdf at all"):
+        with pytest.raises(ValueError):
+            pdf_files.parse_pdf(None, bad)
+
+
+def test_pdf_files_to_chapters_to_files(spark, tmp_path, capsys):
+    """The commands on real files, bad ones among them."""
+    (tmp_path / "a.PDF").write_bytes(pdf_with_outline())
+    (tmp_path / "s.pdf").write_bytes(pdf_with_outline(True))
+    (tmp_path / "bad.pdf").write_bytes(b"%PDF-1.4")
+    parsed = pdf_files.parse_pdfs(pdf_files.pdf_contents(spark, str(tmp_path)))
+    assert {r["path"].rsplit("/")[-1]: r["error"] is None for r in parsed.select("path", "error").collect()} == {"a.PDF": True, "s.pdf": True, "bad.pdf": False}
+    assert cli.main(["outline", str(tmp_path / "a.PDF")]) == 0 and "First" in capsys.readouterr().out
+    # a bookmark to no page counts as page -1: the one before it ends before it starts, and goes
+    for strategy, names in (("bookmarks", ["01_First.pdf", "02_Away.pdf"]), ("heuristic", ["01_Chapter_1_(One).pdf", "02_Chapter_2.pdf"])):
+        assert cli.main(["split", str(tmp_path / "s.pdf"), "--strategy", strategy, "-o", str(tmp_path / strategy)]) == 0
+        made = sorted(files(tmp_path / strategy))
+        assert [f.name for f in made] == names
+    first, second = (pdf_files.parse_pdf(None, f.read_bytes()) for f in made)
+    assert (first["total_pages"], second["total_pages"]) == (1, 2) and second["metadata"]["title"] == "Chapter 2" and second["metadata"]["author"] == "été"
+
+
+def test_folders_are_injective():
+    ids = ["a/b", "a:b", "a_b", "..", ".", "", "a%2Fb", "file:/x/y.epub"]
+    folders = [writers.folder_of(i) for i in ids]
+    assert len(set(folders)) == len(ids) and not {"..", ".", ""} & set(folders) and not any("/" in f for f in folders)
+
+
+def test_bad_chapters_have_errors(spark, tmp_path):
+    rows = [("d", 1, "a.pdf", "t", "s", 1, 1, False, False), ("bad", 1, "a.pdf", "t", "s", 1, 1, False, False)]
+    plan = spark.createDataFrame(rows, "doc_id string, chapter_index int, output_name string, title string, x string, start_page long, end_page long, is_inverted boolean, preserve_metadata boolean")
+    contents = spark.createDataFrame([("d", pdf_with_outline()), ("bad", b"x")], "doc_id string, content binary")
+    got = {r["doc_id"]: r for r in writers.write_pdf(plan, contents, str(tmp_path)).collect()}
+    assert got["d"]["error"] is None and got["bad"]["path"] is None and "not a PDF" in got["bad"]["error"]
+
+
+def test_broken_contents_are_none():
+    book_file = epub_files.book_bytes("B", [("c.xhtml", "<h1>x</h1>")])
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(book_file)) as old, zipfile.ZipFile(out, "w") as new:
+        for name in old.namelist():
+            new.writestr(name, b"\x00 <broken" if name in ("nav.xhtml", "toc.ncx") else old.read(name))
+    got = epub_files.read_epub(out.getvalue())
+    assert got["toc"] == [] and len(got["spine"]) == 2
+
+
 class Paper:
     """What the PDF library offers, as far as it is used: pages are the words of the content, bookmarks those that begin with a capital."""
 
