@@ -15,7 +15,7 @@ from leafwork.llm.token_files import encoder, tokenizer_path
 SIZES = (1024, 4096, 16384)
 OVERHEAD = 64  # what a sequence costs beside its length
 SHARD = 2048  # pieces packed together
-CHUNK = 2 << 20  # bytes of text encoded at once
+CHUNK = 1 << 20  # bytes of text encoded at once
 
 
 def fits(sizes: Sequence[int], length: int) -> int:
