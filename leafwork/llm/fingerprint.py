@@ -15,6 +15,7 @@ from leafwork.llm.common import CHUNK_TEXT, RK, keyed, map_arrow, raw, row_chunk
 
 _U = np.uint64
 BINS, WORDS = 256, 5  # 8 low-order bits a bin
+ROWS = 512  # texts whose bins are filled at once
 EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 _donors: list[np.ndarray] = []
 
@@ -44,9 +45,11 @@ def shingle_hashes(buf: np.ndarray, offs: np.ndarray, n: int = WORDS) -> tuple[n
 
 
 def fingerprints(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """A row of BINS bytes for each text; and for a text without words zeros."""
-    hashes, first = shingle_hashes(buf, offs)
+    """A row of BINS bytes for each text; and for a text without words zeros. ROWS texts at a time: short ones have many empty bins."""
     n = len(offs) - 1
+    if n > ROWS:
+        return np.concatenate([fingerprints(buf[offs[a] : offs[min(a + ROWS, n)]], offs[a : min(a + ROWS, n) + 1] - offs[a]) for a in range(0, n, ROWS)])
+    hashes, first = shingle_hashes(buf, offs)
     least = np.full(n * BINS, EMPTY, _U)
     row = np.repeat(np.arange(n), np.diff(first))
     np.minimum.at(least, row * BINS + (hashes >> _U(56)).astype(np.int64), hashes & _U((1 << 56) - 1))
