@@ -6,7 +6,8 @@ bucket; equal windows share their minimiser and so meet there. One shuffle moves
 the bucket alone decides which windows repeat, and returns spans of units.
 
 Hot strings: a packed string that a map task sees again among 12 MB of text is settled there (all its windows repeat), and
-only its first copy travels, marked. A bucket that gets more than it may hold first reduces equal strings to one marked
+only its first copy travels, marked. The task remembers those it met most often, 4 MB of them: such a string travels once a
+task, not once for each 12 MB. A bucket that gets more than it may hold first reduces equal strings to one marked
 copy; so however many documents hold a string, it takes the room of one. If the strings that are left differ, as those of a
 very common minimiser in ever new surroundings do, they are cut again by a longer minimiser under another hash and dealt to
 64 buckets of the next level, by one more shuffle of that part alone. At the last level the minimiser is the window itself.
@@ -15,6 +16,7 @@ Equal windows take the same way through all levels, so every level is exact.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -32,6 +34,7 @@ _U = np.uint64
 CHUNK = 1 << 20  # bytes of text worked on at once
 FLUSH = 12 << 20  # bytes of text whose strings are packed together
 BUCKET_BYTES = 2 << 20  # of input, for each bucket
+KNOWN = 4 << 20  # bytes of hot strings that a map task remembers
 HELD = 32 << 20  # bytes of strings that a bucket holds before it reduces or cuts them
 COMPARED = 4 << 20  # bytes of strings compared at once; strings with one minimiser stay together
 FAN = 64  # buckets of the next level for one that is cut
@@ -156,6 +159,17 @@ def spans_batch(found: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rk & 0x7FFFFFFF), pa.array(rk), pa.array(data, pa.binary()), pa.array([True] * len(rk))], schema=PACKED)
 
 
+def hottest(met: dict[bytes, int], most: int) -> dict[bytes, int]:
+    """The strings met most often, of at most so many bytes in all."""
+    out, size = {}, 0
+    for x, n in sorted(met.items(), key=lambda e: -e[1]):
+        size += len(x)
+        if size > most:
+            break
+        out[x] = n
+    return out
+
+
 def pack(kind: Kind, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Map side: (key, text) to packed strings by bucket, and spans that this task alone can settle (bucket from the row's key)."""
 
@@ -163,15 +177,18 @@ def pack(kind: Kind, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
         cols: dict[str, list] = {name: [] for name, _ in _COLUMNS}
         seen: dict[bytes, int] = {}
         marked: list[int] = []
+        known: dict[bytes, int] = {}  # strings that were sent marked, and how often they were met; to forget one costs a copy
         local: list[np.ndarray] = []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held
+            nonlocal held, known
             if seen:
                 table = {n: np.concatenate(cols[n]).astype(t) for n, t in _COLUMNS}
                 table["flag"][marked] |= 2
-                yield from by_bucket(kind, table, list(seen), (H.mix(table["val"].astype(_U)) % _U(buckets)).astype(np.int64))
+                sent = list(seen)
+                known = hottest(known | {sent[j]: n + 1 for j, n in Counter(marked).items()}, KNOWN)
+                yield from by_bucket(kind, table, sent, (H.mix(table["val"].astype(_U)) % _U(buckets)).astype(np.int64))
             if local:
                 yield spans_batch(np.concatenate(local))
             for x in cols.values():
@@ -190,6 +207,10 @@ def pack(kind: Kind, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
                     val, begin, wins, row, moves, strings = got
                     at, new, n = [], [], len(seen)
                     for i, x in enumerate(strings):
+                        if x in known:
+                            known[x] += 1
+                            at.append(i)
+                            continue
                         j = seen.setdefault(x, n)
                         if j == n:
                             n += 1

@@ -156,6 +156,24 @@ def test_hot_string_takes_the_room_of_one(monkeypatch):
     assert used == 1 and all(cover(400, got[k]).all() for k in range(300))
 
 
+def test_hot_string_travels_once_a_task(monkeypatch):
+    """Over many flushes; and again where the task's memory is full, with the same result."""
+    monkeypatch.setattr(superwindow, "FLUSH", 2000)
+    monkeypatch.setattr(superwindow, "CHUNK", 500)
+    rng = random.Random(2)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(400)).encode()
+    kind, repeats = superwindow.Kind(200, 24, False), partial(prefix_free.repeated_windows, size=200)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array([passage] * 100, pa.binary())], names=["rk", "text"])
+    copies = []
+    for known in (1 << 20, 0):
+        monkeypatch.setattr(superwindow, "KNOWN", known)
+        sent = [r["data"] for out in superwindow.pack(kind, 1)(iter([batch])) for r in out.to_pylist() if not r["settled"]]
+        copies.append(Counter(x for data in sent for x in superwindow.unpacked([data])[1]))
+        got, _ = drive(kind, repeats, [passage] * 100, 1, 1)
+        assert all(cover(400, got[k]).all() for k in range(100))
+    assert set(copies[0]) == set(copies[1]) and set(copies[0].values()) == {1} and min(copies[1].values()) >= 10
+
+
 @pytest.mark.parametrize("held", [20_000, 2000])
 def test_dedup_with_small_buckets(spark, monkeypatch, held):
     """The operators over the smallest table, buckets cut: levels are separate jobs."""
