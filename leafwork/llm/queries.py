@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwork.llm import decontaminate, fingerprint, jaccard, langid, lines, packing, substring, token_files, warc
+from leafwork.llm import align, decontaminate, fingerprint, jaccard, langid, lines, neighbours, packing, runs, substring, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(_table(spark, sf_dir, "pages")).drop("url")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_tokenizers(_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(_table(spark, sf_dir, "documents"), planted=True).drop("n_words", "runs", "collapsed")
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,7 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup, op2_line_dedup, op3_substring_dedup, op4_ngram_jaccard_join, op5_best_fit_packing, op6_language_id,
-        op7_document_fingerprints, op8_benchmark_decontamination, op9_token_files, op10_warc, pipeline,
+        op7_document_fingerprints, op8_benchmark_decontamination, op9_token_files, op10_warc,
+        op11_cross_tokenizer_alignment, op12_periodic_runs, op13_nearest_neighbours, pipeline,
     )
 }
 
