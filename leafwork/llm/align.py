@@ -16,12 +16,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.llm.common import free_name, map_arrow, materialize, raw, row_chunks
-from leafwork.llm.token_files import slices, tokenizer_path
+from leafwork.llm.token_files import Encoder, slices, tokenizer_path
 
 CHUNK = 2 << 20  # bytes of text aligned at once
 ASKED = 4096  # pieces encoded at once: encodings are large
@@ -93,24 +94,22 @@ class Aligner:
     """
 
     def __init__(self, a_path: str, b_path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
+        self.a = Encoder(a_path)
+        self.a.tool.encode_special_tokens = True
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level vocabularies show these bytes as themselves, others from 256 on
         letters = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
-        self.a_bytes = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab().items():
-            self.a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        a_bytes = [b""] * self.a.tool.get_vocab_size()
+        for token, i in self.a.tool.get_vocab().items():
+            a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.many = self.b.get_piece_size()
         names = [self.b.id_to_piece(i) for i in range(self.many)]
-        self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
+        b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
         self.lone = [self.b.piece_to_id("▁")]
         self.may_cut = not any("▁" in x.lstrip("▁") for x in names)
-        self.a_len, self.b_len = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
+        self.tables = tuple((x, np.frombuffer(b"".join(x), np.uint8), np.array([len(y) for y in x], np.int64)) for x in (a_bytes, b_bytes))
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
         """Where a piece may start: at spaces behind a character that is surely no white space."""
@@ -121,33 +120,36 @@ class Aligner:
         sure = (one > 32) & (one < 127) | tail & ((two >= 0xC3) & (two <= 0xDF) | (two < 0xC0) & ((three == 0xE0) | (three >= 0xE4) & (three < 0xF0) | (three >= 128) & (three < 0xC0) & (four >= 0xF0)))
         return at[sure]
 
-    def encode(self, pieces: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def encode(self, pieces: pa.Array, data: np.ndarray, offs: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
         """Ids and their number for each piece, of both tokenizers. Each piece begins with a space; the second puts its own in front, but of an empty text."""
-        out = ([], []), ([], [])
+        ids, n = self.a(data, offs, 0)
+        stays = np.ones(len(ids), bool)
+        stays[np.cumsum(n) - 1] = False
+        texts = pc.utf8_slice_codeunits(pieces.cast(pa.large_string()), 1)
+        b, n_b = [], []
         for k in range(0, len(pieces), ASKED):
-            texts = [x.decode() for x in pieces[k : k + ASKED]]
-            for (ids, n), got in zip(out, ([x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)], [x or self.lone for x in self.b.encode([x[1:] for x in texts], num_threads=1)]), strict=True):
-                ids.append(np.fromiter(chain.from_iterable(got), np.int64))
-                n.append(np.fromiter(map(len, got), np.int64, len(got)))
-        return tuple((np.concatenate(ids), np.concatenate(n)) for ids, n in out)
+            got = [x or self.lone for x in self.b.encode(texts[k : k + ASKED].to_pylist(), num_threads=1)]
+            n_b.append(np.fromiter(map(len, got), np.int64, len(got)))
+            b.append(np.fromiter(chain.from_iterable(got), np.int64, int(n_b[-1].sum())))
+        return (ids[stays].astype(np.int64), n - 1), (np.concatenate(b), np.concatenate(n_b))
 
-    def align(self, pieces: list[bytes]) -> dict:
+    def align(self, pieces: pa.Array) -> dict:
         """For each piece: whether both tokenizers give back its bytes, numbers of tokens, groups and links, the groups as text, and its linked pairs with how often."""
-        (a, n_a), (b, n_b) = self.encode(pieces)
-        size = np.array([len(x) for x in pieces], np.int64)
+        data, offs = raw(pieces)
+        (a, n_a), (b, n_b) = self.encode(pieces, data, offs)
+        size = np.diff(offs)
         whole = np.ones(len(pieces), bool)
-        for ids, n, table, length in ((a, n_a, self.a_bytes, self.a_len), (b, n_b, self.b_bytes, self.b_len)):
-            owner = np.repeat(np.arange(len(pieces)), n)
-            whole &= np.bincount(owner, length[ids], len(pieces)).astype(np.int64) == size
+        for ids, n, (_, flat, length) in zip((a, b), (n_a, n_b), self.tables, strict=True):
+            whole &= np.bincount(np.repeat(np.arange(len(pieces)), n), length[ids], len(pieces)).astype(np.int64) == size
             right = np.flatnonzero(whole)
-            got = b"".join([table[t] for t in ids[np.repeat(whole, n)].tolist()])
-            differ = np.frombuffer(got, np.uint8) != np.frombuffer(b"".join([pieces[i] for i in right.tolist()]), np.uint8)
+            ids = ids[np.repeat(whole, n)]
+            differ = flat[slices((np.cumsum(length) - length)[ids], length[ids])] != data[slices(offs[right], size[right])]
             if differ.any():
                 whole[right[np.logical_or.reduceat(differ, np.cumsum(size[right]) - size[right])]] = False
         keep_a, keep_b = np.repeat(whole, n_a), np.repeat(whole, n_b)
         a, b = a[keep_a], b[keep_b]
         n_a, n_b = np.where(whole, n_a, 0), np.where(whole, n_b, 0)
-        ends_a, ends_b = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
+        ends_a, ends_b = np.cumsum(self.tables[0][2][a]), np.cumsum(self.tables[1][2][b])
         cut = np.union1d(ends_a, ends_b)  # between two of these lies one token of each side: an edge
         root = union_find(len(a) + len(b), np.searchsorted(ends_a, cut), len(a) + np.searchsorted(ends_b, cut))
         names, group = np.unique(root, return_inverse=True)  # the least node is the first token of the first side: groups are in order
@@ -157,25 +159,26 @@ class Aligner:
         owner = np.repeat(np.arange(len(pieces)), n_a)[first_a] if len(names) else np.zeros(0, np.int64)
         links = size_a * size_b
         n_groups = np.bincount(owner, minlength=len(pieces))
-        text = self._written(a, b, size_a, size_b, n_groups)
+        text, written = self._written(a, b, of_a, of_b, first_a, first_b, size_a, size_b)
+        chars = np.bincount(np.repeat(np.arange(len(pieces)), n_groups), np.add.reduceat(written, first_a + first_b) if len(names) else written, len(pieces)).astype(np.int64)
         pair, times, whose = self._pairs(a, b, first_a, size_a, first_b, size_b, owner)
-        return {"whole": whole, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": np.bincount(owner, links, len(pieces)).astype(np.int64), "text": text, "pair": pair, "times": times, "pairs": np.bincount(whose, minlength=len(pieces))}
+        return {"whole": whole, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": np.bincount(owner, links, len(pieces)).astype(np.int64), "text": text, "chars": chars, "pair": pair, "times": times, "pairs": np.bincount(whose, minlength=len(pieces))}
 
     @staticmethod
-    def _written(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, n_groups: np.ndarray) -> list[str]:
-        """a1,a2|b1 of each group, those of a piece joined by semicolons."""
-        sa, sb = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        ends_a, ends_b = np.cumsum(size_a).tolist(), np.cumsum(size_b).tolist()
-        i = j = 0
-        groups = []
-        for p, q in zip(ends_a, ends_b, strict=True):
-            groups.append(f"{','.join(sa[i:p])}|{','.join(sb[j:q])}")
-            i, j = p, q
-        out, at = [], 0
-        for n in n_groups.tolist():
-            out.append(";".join(groups[at : at + n]))
-            at += n
-        return out
+    def _written(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """a1,a2|b1; of each group, as characters, and how many of these each token has: its id in decimal and what stands behind it."""
+        ids, mark = np.zeros(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        place_a, place_b = np.arange(len(a)) + first_b[of_a], np.arange(len(b)) + (first_a + size_a)[of_b]
+        ids[place_a], ids[place_b] = a, b
+        mark[first_a + first_b + size_a - 1], mark[first_a + first_b + size_a + size_b - 1] = ord("|"), ord(";")
+        digits = 1 + sum((ids >= 10**k).astype(np.int64) for k in range(1, 7))
+        at = np.cumsum(digits + 1) - digits - 1
+        out = np.zeros(int((digits + 1).sum()), np.uint8)
+        out[at + digits] = mark
+        for k in range(7):
+            some = digits > k
+            out[(at + digits - 1 - k)[some]] = ids[some] // 10**k % 10 + ord("0")
+        return out, digits + 1
 
     def _pairs(self, a: np.ndarray, b: np.ndarray, first_a: np.ndarray, size_a: np.ndarray, first_b: np.ndarray, size_b: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Linked pairs (a * pieces of the second side + b), how often each, and the piece that holds it, by piece."""
@@ -208,11 +211,11 @@ class Aligner:
         cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(text)])
         coded = cut.dictionary_encode()
         which = coded.indices.to_numpy()
-        made = self.align(coded.dictionary.to_pylist())
+        made = self.align(coded.dictionary)
         begin = np.searchsorted(places, offs)  # of each row's pieces
         whole = (np.logical_and.reduceat(made["whole"][which], begin[:-1]) if rows else np.zeros(0, bool)) & (np.diff(offs) > 1)
         numbers = {k: np.where(whole, np.add.reduceat(made[k][which], begin[:-1]), 0) for k in ("n_a", "n_b", "n_groups", "n_links")}
-        at = np.cumsum(made["pairs"]) - made["pairs"]
+        at, text_at = np.cumsum(made["pairs"]) - made["pairs"], np.cumsum(made["chars"]) - made["chars"]
         digests, pairs = [], []
         for row in range(rows):
             if not whole[row]:
@@ -220,7 +223,12 @@ class Aligner:
                 pairs.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
                 continue
             own = which[begin[row] : begin[row + 1]]
-            digests.append(hashlib.sha256(";".join([made["text"][i] for i in own.tolist()]).encode()).hexdigest())
+            digest = hashlib.sha256()
+            for k in range(0, len(own), ASKED):
+                some = own[k : k + ASKED]
+                written = made["text"][slices(text_at[some], made["chars"][some])]
+                digest.update(written[: len(written) - (k + ASKED >= len(own))].tobytes())  # nothing stands behind the last group
+            digests.append(digest.hexdigest())
             one, often = np.unique(own, return_counts=True)
             n = made["pairs"][one]
             from_ = slices(at[one], n)

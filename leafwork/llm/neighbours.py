@@ -25,6 +25,7 @@ from leafwork.llm.common import map_arrow, materialize
 CHUNK = 1024  # rows searched at once
 BLOCK = 256  # queries scored at once
 LEAST = 4  # lists that a query goes to at least: the ratio says little where a query lies on a centroid
+SAMPLE_NUMBERS = 1 << 23  # components that the driver takes at most, whatever the length of vectors
 SPARE = 12  # candidates beyond those asked for that are scored once more, in a fixed order of summation
 PART_ROWS, PART_QUERIES = 8192, 16384  # about as many vectors, and queries, of a list go to one place; longer lists are dealt out
 
@@ -329,9 +330,10 @@ def nearest_neighbours(
     dim, total, square = max(((r["dim"], r["n"], r["square"]) for r in sizes), key=lambda r: (r[1], r[0]))
     keyed = rows.where(F.size("v") == dim).withColumn("h", F.xxhash64("v"))
     # a sample by hash holds each of equal vectors or none
-    share = min(1.0, 0.9 * sample_rows / total)
-    drawn = keyed.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("h", "v").dropDuplicates(["h", "v"]).orderBy("h").limit(sample_rows).select("v")
-    sample = np.array([r[0] for r in drawn.toLocalIterator()], np.float64).reshape(-1, dim)
+    most = max(1, min(sample_rows, SAMPLE_NUMBERS // dim))
+    share = min(1.0, 0.9 * most / total)
+    drawn = keyed.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("h", "v").dropDuplicates(["h", "v"]).orderBy("h").limit(most).select("v")
+    sample = _matrix(drawn.toArrow().column("v").combine_chunks(), dim)
     index = fit(sample, float(square) ** 0.5, int(min(most_lists, max(1, total // list_rows))), k, recall, copies, margin)
     _deal(index, total, total / every, sample)
     held = spark.sparkContext.broadcast(index)  # at most most_lists centroids

@@ -37,7 +37,7 @@ def aligned_by_hand(texts):
     found, held = [], Counter()
     for t in texts:
         a, b = (plain.encode(" " + t, add_special_tokens=False).ids, work.b.encode(t)) if t else ([], [])
-        parts = [[work.a_bytes[i] for i in a], [work.b_bytes[i] for i in b]]
+        parts = [[table[i] for i in ids] for ids, (table, _, _) in zip((a, b), work.tables)]
         if not t or any(b"".join(x) != (" " + t).encode() for x in parts):
             found.append((0, 0, 0, 0, "", Counter()))
             continue
