@@ -23,32 +23,50 @@ def _chapters(rows: DataFrame, order: list[str], method: str) -> DataFrame:
     return rows.withColumns({"chapter_index": index, "detection_method": F.lit(method), "content_length": F.lit(0)}).select(*CHAPTER)
 
 
-def flatten_toc(nodes: DataFrame, deepest: int = 64) -> DataFrame:
-    """A tree (doc_id, node_id, parent_id, ordinal, title, href) in pre-order: parents first, then children by ordinal, levels from 1.
+REPEATS, CIRCLE = "a node id repeats", "nodes that no root leads to go round in a circle"
 
-    One equi-join a level, each done once: a level is kept while the next is made of it. The path of ordinals is the sort
-    key. A node without title or href hands its children on and has no row itself. A tree deeper than `deepest`, as
-    node ids that repeat make one, is an error.
+
+def flatten_toc(nodes: DataFrame) -> DataFrame:
+    """A tree (doc_id, node_id, parent_id, ordinal, title, href) in pre-order: (doc_id, seq, level, title, href, error).
+
+    Parents come first, then their children by ordinal; levels are from 1, and the path of ordinals is the sort key. One recursive
+    query walks down from the roots, a level a step. A node without title or href hands its children on and
+    has no row itself, and nodes under a parent that isn't there have none. A book in which an id that has children repeats,
+    or in which nodes go round in a circle, has one row with an error; other books are not touched by it.
+
+    The session's limit on the rows of recursive queries is lifted.
     """
-    path = F.array(F.col("ordinal").cast("long"))
-    front = nodes.where("parent_id IS NULL").select("doc_id", "node_id", path.alias("path"), F.lit(1).alias("level"), "title", "href")
-    found = front
-    kids = nodes.where("parent_id IS NOT NULL").select("doc_id", F.col("parent_id").alias("up"), F.col("node_id").alias("kid"), F.col("ordinal").cast("long").alias("o"), F.col("title").alias("t"), F.col("href").alias("h"))
-    for _ in range(deepest):
-        below = front.select("doc_id", F.col("node_id").alias("up"), "path", "level").join(kids, ["doc_id", "up"])
-        front = below.select("doc_id", F.col("kid").alias("node_id"), F.concat("path", F.array("o")).alias("path"), (F.col("level") + 1).alias("level"), F.col("t").alias("title"), F.col("h").alias("href")).persist()
-        if front.isEmpty():
-            front.unpersist()
-            break
-        found = found.unionByName(front)
-    else:
-        raise ValueError(f"a table of contents is deeper than {deepest} levels; does a node id repeat?")
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("path", "node_id"))
-    return found.where("title IS NOT NULL AND href IS NOT NULL").select("doc_id", seq.alias("seq"), "level", "title", "href")
+    spark = nodes.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    base = nodes.select("doc_id", "node_id", "parent_id", F.col("ordinal").cast("long").alias("ordinal"), "title", "href")
+    parents = base.where("parent_id IS NOT NULL").select("doc_id", F.col("parent_id").alias("node_id"))
+    twice = base.groupBy("doc_id", "node_id").agg(F.count("*").alias("n")).where("n > 1").join(parents, ["doc_id", "node_id"], "left_semi").select("doc_id").distinct()
+    kids = base.where("parent_id IS NOT NULL").select("doc_id", F.col("parent_id").alias("up"), F.col("node_id").alias("kid"), F.array("ordinal").alias("o"), F.col("title").alias("t"), F.col("href").alias("h"))
+    lost = kids.join(base.select("doc_id", F.col("node_id").alias("up")), ["doc_id", "up"], "left_anti")
+    roots = base.where("parent_id IS NULL").select("doc_id", "node_id", F.array("ordinal").alias("path"), "title", "href", F.lit(True).alias("rooted"))
+    tops = roots.unionByName(lost.select("doc_id", F.col("kid").alias("node_id"), F.col("o").alias("path"), F.col("t").alias("title"), F.col("h").alias("href"), F.lit(False).alias("rooted"))).join(twice, "doc_id", "left_anti")
+    reached = spark.sql(
+        """WITH RECURSIVE reached(doc_id, node_id, path, level, title, href, rooted) MAX RECURSION LEVEL 1000000 AS (
+          SELECT doc_id, node_id, path, 1, title, href, rooted FROM {tops}
+          UNION ALL
+          SELECT k.doc_id, k.kid, concat(r.path, k.o), r.level + 1, k.t, k.h, r.rooted FROM reached r JOIN {kids} k ON r.doc_id = k.doc_id AND r.node_id = k.up)
+        SELECT * FROM reached""",
+        tops=tops, kids=kids,
+    )
+    books = base.groupBy("doc_id").agg(F.count("*").alias("nodes")).join(twice.withColumn("twice", F.lit(True)), "doc_id", "left")
+    own = Window.partitionBy("doc_id")
+    found = books.join(reached, "doc_id", "left").withColumn("found", F.count("level").over(own))
+    error = F.when(F.col("twice"), REPEATS).when(F.col("found") < F.col("nodes"), CIRCLE)
+    shown = F.col("rooted") & F.col("title").isNotNull() & F.col("href").isNotNull()
+    ranked = found.withColumns({"error": error, "shown": F.when(error.isNull(), F.coalesce(shown, F.lit(False)))})
+    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("shown").desc(), "path", "node_id"))
+    blank = lambda c: F.when(F.col("error").isNull(), F.col(c)).alias(c)
+    return ranked.withColumn("seq", seq).where(F.when(F.col("error").isNull(), F.col("shown")).otherwise(F.col("seq") == 1)).select("doc_id", *map(blank, ("seq", "level", "title", "href")), "error")
 
 
 def toc_chapters(toc: DataFrame, level: int = 1) -> DataFrame:
-    """Entries of one level in pre-order; of all levels for level <= 0."""
+    """Entries of one level in pre-order; of all levels for level <= 0. A row with an error is no entry."""
+    toc = toc.where("error IS NULL") if "error" in toc.columns else toc
     rows = toc if level <= 0 else toc.where(F.col("level") == level)
     parts = rows.select("doc_id", "seq", "title", S.href_file(F.col("href")).alias("file_path"), S.href_anchor(F.col("href")).alias("html_id"), "level", F.lit(1.0).alias("confidence"))
     return _chapters(parts, ["seq"], "native")

@@ -122,7 +122,44 @@ def test_own_patterns(make):
     assert rows(got, "title", "start_page", "end_page", "confidence") == [("KAPITEL 2", 2, 3, 0.9)]
 
 
-def test_repeated_nodes_are_an_error(make):
-    nodes = [("b", "x", None, 0, "X", "a"), ("b", "y", "x", 0, "Y", "b"), ("b", "x", "y", 0, "X", "c")]
-    with pytest.raises(ValueError, match="repeat"):
-        book.flatten_toc(make(nodes, "doc_id string, node_id string, parent_id string, ordinal int, title string, href string"), 5)
+TREE = "doc_id string, node_id string, parent_id string, ordinal int, title string, href string"
+
+
+def test_a_bad_tree_has_an_error_of_its_own(make):
+    """A node that is its own parent below a root, a circle that no root leads to, a parent that isn't there, and a good book."""
+    good = [("good", "r", None, 1, "R", "r"), ("good", "k", "r", 2, "K", "k"), ("good", "j", "r", 1, "J", "j"), ("good", "r2", None, 0, "Q", "q")]
+    again = [("again", "x", None, 0, "X", "a"), ("again", "y", "x", 0, "Y", "b"), ("again", "x", "y", 0, "X", "c")]
+    circle = [("circle", "a", "c", 0, "A", "a"), ("circle", "b", "a", 0, "B", "b"), ("circle", "c", "b", 0, "C", "c"), ("circle", "r", None, 0, "R", "r")]
+    alone = [("alone", "s", "s", 0, "S", "s")]
+    lost = [("lost", "r", None, 0, "R", "r"), ("lost", "o", "gone", 0, "O", "o"), ("lost", "p", "o", 0, "P", "p"), ("lost", "l", "r", 0, "L", "l"), ("lost", "l", "r", 1, "L", "l")]
+    found = book.flatten_toc(make(good + again + circle + alone + lost, TREE))
+    got = sorted((tuple(r) for r in found.collect()), key=repr)
+    want = [("good", 1, 1, "Q", "q", None), ("good", 2, 1, "R", "r", None), ("good", 3, 2, "J", "j", None), ("good", 4, 2, "K", "k", None), ("again", None, None, None, None, book.REPEATS)]
+    want += [("circle", None, None, None, None, book.CIRCLE), ("alone", None, None, None, None, book.CIRCLE), ("lost", 1, 1, "R", "r", None), ("lost", 2, 2, "L", "l", None), ("lost", 3, 2, "L", "l", None)]
+    assert got == sorted(want, key=repr)
+    assert {r["doc_id"] for r in book.toc_chapters(found, 0).collect()} == {"good", "lost"}
+    assert book.flatten_toc(make([], TREE)).count() == 0
+
+
+def test_a_deep_tree(make):
+    """A chain of 200 nodes, each with a leaf beside its child, against a walk by hand."""
+    nodes = [("b", f"n{k}", f"n{k - 1}" if k else None, 1, f"N{k}", "n") for k in range(200)] + [("b", f"l{k}", f"n{k}", 0 if k % 2 else 2, f"L{k}", "l") for k in range(200)]
+    kids = {}
+    for _, name, up, at, title, _ in nodes:
+        kids.setdefault(up, []).append((at, name, title))
+    want, todo = [], [(None, 0)]
+    while todo:
+        name, level = todo.pop()
+        todo += [(n, level + 1) for _, n, _ in sorted(kids.get(name, []), reverse=True)]
+        want += [(name.upper(), level)] if name else []
+    got = [(r["title"], r["level"]) for r in book.flatten_toc(make(nodes, TREE)).orderBy("seq").collect()]
+    assert got == want
+
+
+def test_trees_need_no_loop_of_jobs(make):
+    """The plan is one recursive query: it is made without running anything."""
+    nodes = make([("b", "r", None, 0, "R", "r")], TREE)
+    tracker = nodes.sparkSession.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    found = book.flatten_toc(nodes)
+    assert "UnionLoop" in found._jdf.queryExecution().optimizedPlan().toString() and len(tracker.getJobIdsForGroup()) == before
