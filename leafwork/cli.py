@@ -54,8 +54,7 @@ def parse(args: list[str] | None = None) -> argparse.Namespace:
 
 def report(made: DataFrame) -> int:
     """Names of up to ten files, else how many; chapters that failed. 1 if any did."""
-    made = made.persist()
-    bad = made.where("error IS NOT NULL").persist()
+    bad = made.where("error IS NOT NULL")
     n, failed = made.where("error IS NULL").count(), bad.count()
     print(f"{n} files")
     if n <= 10:

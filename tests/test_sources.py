@@ -8,7 +8,7 @@ import zlib
 import pytest
 from leafwork import cli
 from leafwork.operators import book, split
-from leafwork.sources import epub_files, pdf_files, writers
+from leafwork.sources import epub_files, pdf_files, sinks, writers
 from leafwork.streaming import ingest
 
 
@@ -275,3 +275,63 @@ def test_pdf_commands(spark, tmp_path, monkeypatch, capsys):
     assert cli.main(["split", str(tmp_path / "plain.pdf"), "--yes"]) == 0
     assert [f.name for f in files(tmp_path / "plain_chapters")] == ["01_Complete_Document.pdf"]
     sys.modules.pop("fitz", None)
+
+
+ROW = "doc_id string, chapter_index int, output_name string, data binary, error string"
+
+
+def tree(folder):
+    return sorted(str(f.relative_to(folder)) for f in folder.rglob("*") if f.is_file() and sinks.LISTS not in f.parts)
+
+
+def test_actions_on_what_was_written_write_nothing(spark, tmp_path):
+    rows = [("a/b", 1, "01_x.epub", b"one", None), ("a/b", 2, "02_y.epub", b"", None), ("c", 1, "01_z.epub", None, "ValueError: bad"), ("_manifest", 1, "m.epub", b"m", None)]
+    made = sinks.write_files(spark.createDataFrame(rows, ROW).repartition(3), str(tmp_path))
+    assert tree(tmp_path) == ["%5Fmanifest/m.epub", "a%2Fb/01_x.epub", "a%2Fb/02_y.epub"]
+    (tmp_path / "a%2Fb/01_x.epub").write_bytes(b"own")
+    for _ in range(2):
+        assert made.count() == 4
+        got = {(r["doc_id"], r["chapter_index"]): r for r in made.collect()}
+    assert (tmp_path / "a%2Fb/01_x.epub").read_bytes() == b"own"
+    assert got["a/b", 1]["path"] == str(tmp_path / "a%2Fb/01_x.epub") and [got["a/b", k]["bytes"] for k in (1, 2)] == [3, 0]
+    assert got["c", 1]["path"] is None and got["c", 1]["error"] == "ValueError: bad"
+    more = sinks.write_files(spark.createDataFrame([("c", 2, "n.epub", b"n", None)], ROW), str(tmp_path))
+    assert more.count() == 1 and sinks.manifest(spark, str(tmp_path)).count() == 5 and made.count() == 4
+    assert sinks.write_files(spark.createDataFrame([], ROW), str(tmp_path)).count() == 0
+
+
+def test_a_failed_job_leaves_nothing(spark, tmp_path):
+    def broken(parts):
+        for part in parts:
+            yield part
+        if (part["doc_id"] == "z").any():
+            raise RuntimeError("lost")
+
+    rows = spark.createDataFrame([(d, 1, "x", b"x", None) for d in "abcz"], ROW).repartitionByRange(4, "doc_id")
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_files(rows.mapInPandas(broken, ROW), str(tmp_path))
+    assert {f.name for f in tmp_path.iterdir()} <= {sinks.ATTEMPTS}  # of a task that outlived the job
+
+
+def test_killed_and_repeated_attempts_leave_nothing(tmp_path):
+    """Attempts as executors run them: one dies half-way, one is run twice and only the second counts."""
+    import pyarrow as pa
+
+    batch = lambda *rows: pa.RecordBatch.from_pylist([dict(zip(("doc_id", "chapter_index", "output_name", "data", "error"), r)) for r in rows], pa.schema([("doc_id", pa.string()), ("chapter_index", pa.int32()), ("output_name", pa.string()), ("data", pa.binary()), ("error", pa.string())]))
+    writer = sinks.FilesWriter(str(tmp_path), "job")
+
+    def dies():
+        yield batch(("a", 1, "x", b"half", None))
+        raise MemoryError
+
+    with pytest.raises(MemoryError):
+        writer.write(dies())
+    first = writer.write(iter([batch(("a", 1, "x", b"old", None), ("a", 2, "y", b"y", None))]))
+    again = writer.write(iter([batch(("a", 1, "x", b"new", None), ("a", 2, "y", b"y", None))]))
+    assert tree(tmp_path) and not any(n.startswith("a/") for n in tree(tmp_path)) and first != again
+    other = sinks.FilesWriter(str(tmp_path), "other")
+    kept = other.write(iter([batch(("b", 1, "z", b"z", None))]))
+    writer.commit([again, None, writer.write(iter([]))])
+    assert [n for n in tree(tmp_path) if not n.startswith(sinks.ATTEMPTS)] == ["a/x", "a/y"] and (tmp_path / "a/x").read_bytes() == b"new"
+    other.commit([kept])
+    assert tree(tmp_path) == ["a/x", "a/y", "b/z"] and not (tmp_path / sinks.ATTEMPTS).exists()
