@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leafwork import options
 from leafwork.functions import strings as S
 from leafwork.operators import book, layout, split
-from leafwork.sources import epub_files, pdf_files, writers
+from leafwork.sources import epub_files, epub_scan, pdf_files, writers
 
 VERSION = "0.1.0"
 KINDS = {"epub": options.EPUB_STRATEGIES, "pdf": options.PDF_STRATEGIES}
@@ -80,7 +80,10 @@ def place_of(spark: SparkSession, a: argparse.Namespace) -> str:
 
 
 def epub(spark: SparkSession, a: argparse.Namespace) -> int:
-    books = epub_files.read_epubs(spark, a.path).persist()
+    if a.command == "preview" and a.strategy == "native":  # needs no chapter's content
+        books = epub_scan.scan_epubs(spark, a.path, ["items", "spine", "toc", "metadata"]).persist()
+    else:
+        books = epub_files.read_epubs(spark, a.path).persist()
     books.where("error IS NOT NULL").select("path", "error").show(100, truncate=False)
     items, spine, toc, metadata = (epub_files.table(books, n) for n in ("items", "spine", "toc", "metadata"))
     chapters = book.detect_epub(items, spine, toc, a.strategy, a.sensitivity, a.toc_level)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from html import escape
 from urllib.parse import quote, unquote
 from xml.etree import ElementTree
@@ -58,27 +58,48 @@ def _nav(node: ElementTree.Element, level: int, out: list[dict]) -> None:
             _nav(below, level + 1, out)
 
 
-def read_epub(content: bytes) -> dict:
-    """items, spine, toc (pre-order) and metadata of one book. A contents file that can't be read gives an empty toc."""
-    book = zipfile.ZipFile(io.BytesIO(content))
+PARTS = ("items", "contents", "spine", "toc", "metadata")
+
+
+def read_book(book: zipfile.ZipFile, wanted: Collection[str] = PARTS) -> dict:
+    """Of one book what is wanted, reading no file that isn't needed for it: items (with content only if contents are wanted),
+    spine, toc (pre-order) and metadata. A contents file that can't be read gives an empty toc."""
     names = set(book.namelist())
     box = ElementTree.fromstring(book.read("META-INF/container.xml"))
     package = _find(box, "rootfile")[0].get("full-path")
     base = posixpath.dirname(package)
     opf = ElementTree.fromstring(book.read(package))
     items, toc_files = [], []
-    manifest = {}
     for n, x in enumerate(_find(opf, "item")):
         kind, href = x.get("media-type", ""), unquote(x.get("href", ""))
-        manifest[x.get("id")] = href
         full = posixpath.join(base, href)
         special = "nav" in (x.get("properties") or "").split() or kind == "application/x-dtbncx+xml"
         if special:
             toc_files.append((kind != "application/x-dtbncx+xml", full))
-        items.append({"item_id": x.get("id"), "ordinal": n, "href": href, "item_type": "navigation" if special else "document" if kind in DOCUMENT_TYPES else kind, "content": book.read(full) if full in names else None})
-    spine = [{"pos": n, "item_id": x.get("idref")} for n, x in enumerate(_find(opf, "itemref"))]
-    toc: list[dict] = []
-    for is_nav, full in sorted(toc_files):  # the older contents file first, if both are there
+        item = {"item_id": x.get("id"), "ordinal": n, "href": href, "item_type": "navigation" if special else "document" if kind in DOCUMENT_TYPES else kind}
+        if "contents" in wanted:
+            item["content"] = book.read(full) if full in names else None
+        items.append(item)
+    out: dict = {"items": items} if {"items", "contents"} & set(wanted) else {}
+    if "spine" in wanted:
+        out["spine"] = [{"pos": n, "item_id": x.get("idref")} for n, x in enumerate(_find(opf, "itemref"))]
+    if "toc" in wanted:
+        out["toc"] = [{"seq": i + 1, **t} for i, t in enumerate(_contents(book, toc_files))]
+    if "metadata" in wanted:
+        meta, seen = [], {}
+        for holder in _find(opf, "metadata"):
+            for x in holder:
+                space, key = _name(x.tag)
+                seen[key] = seen.get(key, -1) + 1
+                meta.append({"namespace": space, "key": key, "ordinal": seen[key], "value": (x.text or "").strip(), "attrs": dict(x.attrib)})
+        out["metadata"] = meta
+    return out
+
+
+def _contents(book: zipfile.ZipFile, toc_files: list[tuple[bool, str]]) -> list[dict]:
+    """Entries of the first contents file that has any, the older kind first."""
+    for is_nav, full in sorted(toc_files):
+        toc: list[dict] = []
         try:
             tree = ElementTree.fromstring(book.read(full))
             if is_nav:
@@ -88,17 +109,16 @@ def read_epub(content: bytes) -> dict:
             else:
                 for top in _find(tree, "navMap"):
                     _ncx(top, 1, toc)
-        except Exception:  # noqa: BLE001  whatever is wrong with it, the book has no contents then
-            toc = []
+        except Exception:  # noqa: BLE001  whatever is wrong with it, it has no entries then
+            continue
         if toc:
-            break
-    meta, seen = [], {}
-    for holder in _find(opf, "metadata"):
-        for x in holder:
-            space, key = _name(x.tag)
-            seen[key] = seen.get(key, -1) + 1
-            meta.append({"namespace": space, "key": key, "ordinal": seen[key], "value": (x.text or "").strip(), "attrs": dict(x.attrib)})
-    return {"items": items, "spine": spine, "toc": [{"seq": i + 1, **t} for i, t in enumerate(toc)], "metadata": meta}
+            return toc
+    return []
+
+
+def read_epub(content: bytes) -> dict:
+    """items, spine, toc and metadata of a whole book."""
+    return read_book(zipfile.ZipFile(io.BytesIO(content)))
 
 
 def read_epubs(spark: SparkSession, path: str) -> DataFrame:

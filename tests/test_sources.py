@@ -1,5 +1,6 @@
 import inspect
 import io
+import random
 import sys
 import types
 import zipfile
@@ -8,7 +9,7 @@ import zlib
 import pytest
 from leafwork import cli
 from leafwork.operators import book, split
-from leafwork.sources import epub_files, pdf_files, sinks, writers
+from leafwork.sources import epub_files, epub_scan, pdf_files, sinks, writers
 from leafwork.streaming import ingest
 
 
@@ -69,6 +70,7 @@ def test_command_line_splits_with_resources_and_metadata(spark, tmp_path, capsys
     resources = [("text/a b.png", "image/png", b"png"), ("text/../s.css", "text/css", b"p{}"), ("unused.css", "text/css", b"")]
     (tmp_path / "b.epub").write_bytes(epub_files.book_bytes("Whole", [("text/c.xhtml", page)], resources, source))
     assert cli.main(["preview", str(tmp_path / "b.epub"), "--strategy", "Structural"]) == 0
+    assert cli.main(["preview", str(tmp_path / "b.epub"), "--strategy", "native"]) == 0
     assert cli.main(["split", str(tmp_path / "b.epub"), "--strategy", "structural"]) == 0
     assert "1 files" in capsys.readouterr().out
     (made,) = files(tmp_path / "b_chapters")
@@ -335,3 +337,46 @@ def test_killed_and_repeated_attempts_leave_nothing(tmp_path):
     assert [n for n in tree(tmp_path) if not n.startswith(sinks.ATTEMPTS)] == ["a/x", "a/y"] and (tmp_path / "a/x").read_bytes() == b"new"
     other.commit([kept])
     assert tree(tmp_path) == ["a/x", "a/y", "b/z"] and not (tmp_path / sinks.ATTEMPTS).exists()
+
+
+def test_scan_reads_what_the_columns_need(spark, tmp_path):
+    """Native chapters read the directory, the package and the contents of a book, and none of its chapters or images."""
+    noise = random.Random(1).randbytes(400_000)
+    (tmp_path / "deep").mkdir()
+    for n in ("a", "deep/b"):
+        pages = [(f"c{k}.xhtml", f"<h1>{n} {k}</h1>" + "x" * 50_000) for k in range(5)]
+        (tmp_path / f"{n}.epub").write_bytes(epub_files.book_bytes(n, pages, [("i.png", "image/png", noise)], [entry("creator", "me")]))
+    (tmp_path / "bad.epub").write_bytes(b"no zip at all")
+    (tmp_path / "c.txt").write_text("x")
+    whole = {r["path"]: r for r in epub_files.read_epubs(spark, str(tmp_path)).collect()}
+    full = {r["path"]: r for r in epub_scan.scan_epubs(spark, str(tmp_path)).drop("bytes_read").collect()}
+    assert {p: r for p, r in full.items() if not r["error"]} == {p: r for p, r in whole.items() if not r["error"]} and set(full) == set(whole) and len(full) == 3
+    assert [r["items"] for r in full.values() if r["error"]] == [[]]
+    light = epub_scan.scan_epubs(spark, str(tmp_path), ["toc", "items", "spine", "metadata"])
+    for r in light.where("error IS NULL").collect():
+        assert 0 < r["bytes_read"] < 8_000 and "content" not in r["items"][0].asDict()
+        assert [t["title"] for t in r["toc"]] == [r["path"].rpartition("/")[2][0] if "/deep/" not in r["path"] else "deep/b"]
+    got = book.toc_chapters(epub_files.table(light, "toc")).collect()
+    assert sorted(r["file_path"] for r in got) == ["c0.xhtml"] * 2
+    heavy = epub_scan.scan_epubs(spark, str(tmp_path), ["contents"])
+    assert all(r["bytes_read"] > 400_000 for r in heavy.where("error IS NULL").collect())
+
+
+def test_scan_takes_filters_on_the_path(spark, tmp_path):
+    for n in ("a", "b", "ab"):
+        (tmp_path / f"{n}.epub").write_bytes(epub_files.book_bytes(n, [("c.xhtml", "<h1>x</h1>")]))
+    books = epub_scan.scan_epubs(spark, str(tmp_path), ["toc"])
+    path = lambda n: f"file:{tmp_path}/{n}.epub"
+    names = lambda df: sorted(r["path"].rpartition("/")[2] for r in df.collect())
+    assert names(books.where(books["path"] == path("b"))) == ["b.epub"]
+    assert names(books.where(books["path"].isin(path("a"), path("b"), "x"))) == ["a.epub", "b.epub"]
+    assert names(books.where(books["path"].startswith(f"file:{tmp_path}/a"))) == ["a.epub", "ab.epub"]
+    assert names(books.where(books["path"].endswith("b.epub"))) == ["ab.epub", "b.epub"]
+    one = books.where(books["path"] == path("b"))
+    assert "Filter (path" not in one._jdf.queryExecution().executedPlan().toString()  # nothing is left of it above the scan
+    reader = epub_scan.BookReader(str(tmp_path), epub_scan.book_schema(["toc"]))
+    assert [f for f in reader.pushFilters([epub_scan.EqualTo(("path",), path("b")), epub_scan.EqualTo(("error",), "x")])] == [epub_scan.EqualTo(("error",), "x")]
+    assert [p.paths for p in reader.partitions()] == [[path("b")]]
+    assert epub_scan.scan_epubs(spark, str(tmp_path / "a.epub"), ["spine"]).count() == 1
+    with pytest.raises(ValueError, match="no chapters"):
+        epub_scan.scan_epubs(spark, str(tmp_path), ["chapters"])
