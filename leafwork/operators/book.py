@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork import options
-from leafwork.functions import html
+from leafwork.functions import html, opf
 from leafwork.functions import strings as S
 
 CHAPTER = ("doc_id", "chapter_index", "title", "file_path", "html_id", "level", "detection_method", "confidence", "content_length")
@@ -64,6 +64,27 @@ def flatten_toc(nodes: DataFrame) -> DataFrame:
     return ranked.withColumn("seq", seq).where(F.when(F.col("error").isNull(), F.col("shown")).otherwise(F.col("seq") == 1)).select("doc_id", *map(blank, ("seq", "level", "title", "href")), "error")
 
 
+def package_tables(files: DataFrame) -> dict[str, DataFrame]:
+    """items (without content), spine and metadata of books from the XML text of their package files (doc_id, xml), in the JVM.
+
+    Metadata is a map of name spaces to maps of keys to lists of values with attributes, exploded three times; a file that is
+    no XML gives no rows.
+    """
+    c = F.col
+    items = files.select("doc_id", F.posexplode(opf.package_items(c("xml"))).alias("ordinal", "i")).select("doc_id", "i.item_id", "ordinal", "i.href", "i.item_type")
+    spine = files.select("doc_id", F.posexplode(opf.package_spine(c("xml"))).alias("pos", "item_id"))
+    spaces = files.select("doc_id", F.explode(F.map_entries(opf.package_metadata(c("xml")))).alias("s"))
+    keys = spaces.select("doc_id", c("s.key").alias("namespace"), F.explode(F.map_entries("s.value")).alias("k"))
+    values = keys.select("doc_id", "namespace", c("k.key").alias("key"), F.posexplode("k.value").alias("ordinal", "v"))
+    return {"items": items, "spine": spine, "metadata": values.select("doc_id", "namespace", "key", "ordinal", "v.value", "v.attrs")}
+
+
+def ncx_toc(files: DataFrame, deepest: int = 8) -> DataFrame:
+    """toc (doc_id, seq, level, title, href) from the XML text of contents files (doc_id, xml), in the JVM; no rows of a file that is no XML."""
+    rows = files.select("doc_id", F.posexplode(opf.ncx_entries(F.col("xml"), deepest)).alias("at", "e"))
+    return rows.select("doc_id", (F.col("at") + 1).alias("seq"), "e.level", "e.title", "e.href")
+
+
 def toc_chapters(toc: DataFrame, level: int = 1) -> DataFrame:
     """Entries of one level in pre-order; of all levels for level <= 0. A row with an error is no entry."""
     toc = toc.where("error IS NULL") if "error" in toc.columns else toc

@@ -190,6 +190,26 @@ for _level in (1, 2, 3):
     query(f"toc_tree_level_{_level}", f"WITH {TREE} {_NATIVE.format('tt', f'level = {_level}')}")(lambda t, n=_level: book.toc_chapters(book.flatten_toc(t.toc_tree()), n))
 query("toc_all_levels", f"WITH {TREE} {_NATIVE.format('tt', 'TRUE')}")(lambda t: book.toc_chapters(book.flatten_toc(t.toc_tree()), 0))
 
+query(
+    "package_metadata",
+    """WITH p AS (SELECT * FROM pages WHERE page_id % 10 <> 9), m AS (
+      SELECT page_id, 'dc' AS namespace, 'title' AS key, 0 AS ordinal, url AS value, 'id=t' || page_id AS attrs FROM p
+      UNION ALL SELECT page_id, 'dc', 'creator', 0, 'Author ' || page_id, 'role=aut' FROM p UNION ALL SELECT page_id, 'dc', 'creator', 1, 'Other', '' FROM p
+      UNION ALL SELECT page_id, 'dc', 'language', 0, 'en', '' FROM p WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'opf', 'meta', 0, '', 'content=i' || page_id || ' name=cover' FROM p)
+    SELECT page_id AS doc_id, namespace, key, ordinal, value, attrs FROM m""",
+)(lambda t: book.package_tables(t.packages())["metadata"].withColumn("attrs", F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " ")))
+query(
+    "package_items",
+    """SELECT page_id AS doc_id, i.item_id, i.ordinal, i.href, i.item_type, i.pos FROM pages, (SELECT unnest([{'item_id': 'a', 'ordinal': 0, 'item_type': 'document', 'pos': 0}, {'item_id': 'n', 'ordinal': 1, 'item_type': 'navigation', 'pos': NULL}], recursive := true)) k,
+      LATERAL (SELECT k.item_id, k.ordinal, k.item_type, k.pos, CASE WHEN k.ordinal = 0 THEN 'text/c ' || page_id || '.xhtml' ELSE 'toc.ncx' END AS href) i WHERE page_id % 10 <> 9""",
+)(lambda t: (lambda x: x["items"].join(x["spine"], ["doc_id", "item_id"], "left"))(book.package_tables(t.packages())))
+query(
+    "ncx_toc",
+    rf"""WITH {BOOK}, e AS (SELECT page_id, 1 AS seq, 1 AS level, 'Page ' || page_id AS title, url AS href FROM pages
+      UNION ALL SELECT page_id, 2 * nth, 2, {_strip.format('t')}, h FROM tl UNION ALL SELECT page_id, 2 * nth + 1, 4, 'below ' || (nth - 1), 'y' FROM tl)
+    SELECT page_id AS doc_id, CAST(seq AS INTEGER) AS seq, level, title, href FROM e""",
+)(lambda t: book.ncx_toc(t.contents_files()))
+
 
 def _partial_toc(t: Tables) -> DataFrame:
     return t.toc().where(F.length("doc_id") % 2 == 0)

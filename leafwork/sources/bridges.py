@@ -122,3 +122,23 @@ class Tables:
     def labelled_items(self) -> DataFrame:
         d = self("documents").where("doc_id % 3 <> 0")
         return d.select(F.col("source").alias("doc_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("href"), F.col("doc_id").cast("string").alias("item_id"), F.col("text").alias("content"))
+
+    # books of a page each, as the XML texts of their package and contents files
+    def packages(self) -> DataFrame:
+        k, text = F.col("page_id").cast("string"), lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+        head = '<?xml version="1.0"?><package xmlns="http://www.idpf.org/2007/opf"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:opf="http://www.idpf.org/2007/opf"><dc:title id="t'
+        xml = F.concat(
+            F.lit(head), k, F.lit('">'), text(F.col("url")), F.lit('</dc:title><dc:creator opf:role="aut">Author '), k, F.lit("</dc:creator><dc:creator> Other </dc:creator>"),
+            F.when(F.col("page_id") % 3 == 0, F.lit("<dc:language>en</dc:language>")).otherwise(""), F.lit('<meta name="cover" content="i'), k, F.lit('"/></metadata><manifest><item id="a" href="text/c%20'), k,
+            F.lit('.xhtml" media-type="application/xhtml+xml"/><item id="n" href="toc.ncx" media-type="application/x-dtbncx+xml"/></manifest><spine><itemref idref="a"/></spine></package>'),
+        )
+        return self("pages").select(F.col("page_id").alias("doc_id"), F.when(F.col("page_id") % 10 == 9, F.substring(xml, 1, 200)).otherwise(xml).alias("xml"))  # one in ten is cut off
+
+    def contents_files(self) -> DataFrame:
+        """A point for the page, below it one for each navigation link, below each of these one without a label that has one with a label below it."""
+        link, text = '<li><a href="([^"]*)">([^<]*)</a>', lambda c: F.replace(c, F.lit("&"), F.lit("&amp;"))
+        both = F.arrays_zip(F.regexp_extract_all("html", F.lit(link), F.lit(1)).alias("h"), F.regexp_extract_all("html", F.lit(link), F.lit(2)).alias("t"))
+        point = lambda title, href: F.concat(F.lit("<navPoint><navLabel><text>"), title, F.lit('</text></navLabel><content src="'), href, F.lit('"/>'))
+        inner = F.transform(both, lambda z, i: F.concat(point(text(z["t"]), text(z["h"])), F.lit('<navPoint><content src="x"/>'), point(F.concat(F.lit("below "), i.cast("string")), F.lit("y")), F.lit("</navPoint></navPoint></navPoint>")))
+        top = point(F.concat(F.lit("Page "), F.col("page_id").cast("string")), text(F.col("url")))
+        return self("pages").select(F.col("page_id").alias("doc_id"), F.concat(F.lit('<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap>'), top, F.array_join(inner, ""), F.lit("</navPoint></navMap></ncx>")).alias("xml"))

@@ -112,3 +112,28 @@ def test_layout_keeps_all_words(text):
     assert all(len(t) <= 80 or " " not in t for _, _, t in lines)
     assert all(50 <= y <= 792 for _, y, _ in lines)
     assert lines == sorted(lines, key=lambda x: x[:2])
+
+
+def test_package_files_in_the_jvm_equal_the_file_reader(spark):
+    """Against the reader of EPUB files, on a book of its own writer, and without a Python worker."""
+    import io
+    import zipfile
+
+    from leafwork.operators import book
+    from leafwork.sources import epub_files
+
+    meta = [{"namespace": epub_files.DC, "key": k, "value": v, "attrs": a} for k, v, a in (("creator", "A & B", {"id": "x"}), ("creator", "you", {}), ("subject", "s", {}))]
+    data = epub_files.book_bytes("T <1>", [("text/a b+c.xhtml", "<h1>x</h1>")], [("i.png", "image/png", b"p")], meta)
+    want, names = epub_files.read_epub(data), zipfile.ZipFile(io.BytesIO(data))
+    files = spark.createDataFrame([("good", names.read("book.opf").decode(), names.read("toc.ncx").decode()), ("bad", "<package><metadata>", "no xml"), ("none", None, None), ("empty", "<package/>", "<ncx/>")], "doc_id string, xml string, ncx string")
+    made = book.package_tables(files)
+    got = {k: [r.asDict() for r in v.orderBy("doc_id", *(["ordinal"] if k == "items" else ["pos"] if k == "spine" else ["namespace", "key", "ordinal"])).collect()] for k, v in made.items()}
+    assert [(i["item_id"], i["ordinal"], i["href"], i["item_type"]) for i in got["items"]] == [(i["item_id"], i["ordinal"], i["href"], i["item_type"]) for i in want["items"]]
+    assert [(s["pos"], s["item_id"]) for s in got["spine"]] == [(s["pos"], s["item_id"]) for s in want["spine"]]
+    short = {epub_files.DC: "dc", epub_files.OPF: "opf"}
+    assert [(m["namespace"], m["key"], m["ordinal"], m["value"], m["attrs"]) for m in got["metadata"]] == sorted(((short[m["namespace"]], m["key"], m["ordinal"], m["value"], m["attrs"]) for m in want["metadata"]), key=lambda m: m[:3])
+    toc = book.ncx_toc(files.select("doc_id", files["ncx"].alias("xml")))
+    assert [(r["seq"], r["level"], r["title"], r["href"]) for r in toc.collect()] == [(1, 1, "T <1>", "text/a%20b%2Bc.xhtml")]
+    assert [t["title"] for t in want["toc"]] == ["T <1>"]
+    for df in (*made.values(), toc):
+        assert not any(x in df._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Arrow", "Pandas"))
