@@ -18,6 +18,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 _HEADING = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("id", T.StringType())])
 _REF = T.StructType([T.StructField("kind", T.StringType()), T.StructField("ref", T.StringType())])
 PARSED = T.StructType([T.StructField("title", T.StringType()), T.StructField("name", T.StringType()), T.StructField("headings", T.ArrayType(_HEADING)), T.StructField("refs", T.ArrayType(_REF)), T.StructField("text", T.StringType())])
+ELEMENT = T.StructType([T.StructField(n, t) for n, t in (("first", T.IntegerType()), ("last", T.IntegerType()), ("tag", T.StringType()), ("id", T.StringType()), ("start", T.IntegerType()), ("past", T.IntegerType()), ("level", T.IntegerType()), ("text", T.StringType()), ("refs", T.ArrayType(_REF)))])
 URL = re.compile(strings.URL)
 
 
@@ -121,6 +122,47 @@ class Reader(HTMLParser):
         return ""
 
 
+class ElementReader(Reader):
+    """Also keeps every element with its place in the order of start tags, that of the last one inside it, and its bounds in the text."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.elements: list[dict] = []
+        self.inside: list[int] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        refs, heads, n = len(self.refs), len(self.heads), len(self.elements)
+        super().handle_starttag(tag, attrs)
+        start = self.place()
+        self.elements.append({"tag": tag, "id": dict(attrs).get("id"), "first": n, "last": n, "start": start, "past": start + len(self.get_starttag_text()), "head": self.heads[-1] if len(self.heads) > heads else None, "refs": self.refs[refs:]})
+        if tag not in VOID:
+            self.inside.append(n)
+
+    def handle_endtag(self, tag: str) -> None:
+        refs = len(self.refs)
+        super().handle_endtag(tag)
+        if len(self.refs) > refs:  # those of a style sheet, which are known at its end
+            self.elements[self.inside[-1]]["refs"] += self.refs[refs:]
+        self.end(len(self.open), self.raw.find(">", self.place()) + 1)
+
+    def end(self, depth: int, past: int) -> None:
+        for n in self.inside[depth:]:
+            self.elements[n] |= {"last": len(self.elements) - 1, "past": past or len(self.raw)}
+        del self.inside[depth:]
+
+    def read(self, raw: str) -> ElementReader:
+        super().read(raw)
+        self.end(0, len(raw))
+        return self
+
+    def rows(self) -> list[dict]:
+        return [
+            {k: e[k] for k in ("first", "last", "tag", "id", "start", "past")}
+            | {"level": int(e["tag"][1]) if e["head"] else None, "text": "".join(e["head"]["text"]).strip() if e["head"] else None, "refs": [{"kind": k, "ref": r} for k, r in e["refs"]]}
+            for e in self.elements
+        ]
+
+
 def decode(content: bytes | str | None) -> str:
     if content is None:
         return ""
@@ -184,3 +226,25 @@ def section_of(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
 def parse_html(content: Column, path: Column | None = None) -> Column:
     """title, name (the title, else one made of the file's name), headings, refs and text, from one parse."""
     return parsed(content, F.lit("") if path is None else path)
+
+
+def element_rows(content: bytes | str | None) -> list[dict]:
+    """Elements of a page; of one that breaks the parser those that it had found."""
+    reader = ElementReader()
+    try:
+        reader.read(decode(content))
+    except Exception:  # noqa: BLE001
+        reader.end(0, len(reader.raw))
+    return reader.rows()
+
+
+@F.pandas_udf(T.ArrayType(ELEMENT))
+def elements_of(content: pd.Series) -> pd.Series:
+    """first and last are places in the order of start tags: what lies in an element has its `first` between the element's two."""
+    return pd.Series([element_rows(x) for x in content])
+
+
+@F.pandas_udf(T.StringType())
+def text_of(content: pd.Series) -> pd.Series:
+    """Bytes as the parser takes them: UTF-8, else Latin-1. Null stays null."""
+    return pd.Series([None if x is None else decode(x) for x in content])

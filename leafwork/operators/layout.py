@@ -58,10 +58,38 @@ def heading_candidates(spans: DataFrame, sensitivity: str = "medium", patterns:
     return like.withColumn("rank", first).where("rank = 1").drop("rank").withColumn("confidence", S.heading_score(F.col("text"), F.col("size"), patterns))
 
 
+def nested_headings(pages: DataFrame, sensitivity: str = "medium", patterns: Sequence[str] = S.HEADINGS) -> DataFrame:
+    """heading_candidates of pages that are a row each: (doc_id, page, blocks), blocks an array of (type, lines: array of (spans: array of (text, size))).
+
+    Mean size, the scoring and the choice within a line are made inside the row; what is left is exploded with its places, and
+    nothing is shuffled. Nulls in place of arrays are empty.
+    """
+    t = options.thresholds(sensitivity)
+    none = F.array().cast("array<struct<text:string,size:double>>")
+    inside = lambda block: F.flatten(F.transform(F.when(block["type"] == 0, block["lines"]), lambda line: F.coalesce(line["spans"], none)))
+    sized = F.filter(F.flatten(F.transform("blocks", lambda b: F.coalesce(inside(b), none))), lambda s: s["size"] > 0)
+    mean = F.when(F.size(sized) > 0, F.aggregate(sized, F.lit(0.0), lambda total, s: total + s["size"]) / F.size(sized)).otherwise(F.lit(0.0))
+    avg = F.col("avg_size")
+
+    def heading(line: Column) -> Column:
+        """The line's first span that looks like a heading, with its place."""
+        own = F.transform(line["spans"], lambda s, k: F.struct(k.alias("span"), S.strip(s["text"]).alias("text"), s["size"].alias("size")))
+        large = lambda s: (avg > 0) & (s["size"] >= avg * t.ratio) & (S.word_count(s["text"]) <= 10)
+        return F.get(F.filter(own, lambda s: (s["text"] != "") & (S.is_heading(s["text"], patterns) | large(s))), F.lit(0))
+
+    lines = lambda b: F.filter(F.transform(b["lines"], lambda line, j: F.struct(j.alias("line"), heading(line).alias("head"))), lambda x: x["head"].isNotNull())
+    left = F.filter(F.transform("blocks", lambda b, i: F.struct(i.alias("block"), F.when(b["type"] == 0, lines(b)).alias("lines"))), lambda x: F.size(x["lines"]) > 0)
+    found = pages.withColumn("avg_size", mean).withColumn("left", left).where(F.size("left") > 0)
+    blocks = found.select("doc_id", "page", "avg_size", F.explode("left").alias("b")).select("doc_id", "page", "avg_size", "b.block", F.explode("b.lines").alias("l"))
+    rows = blocks.select("doc_id", "page", "block", F.lit(0).alias("block_type"), "l.line", "l.head.span", "l.head.text", "l.head.size", "avg_size")
+    return rows.withColumn("confidence", S.heading_score(F.col("text"), F.col("size"), patterns))
+
+
 def heuristic_chapters(documents: DataFrame, spans: DataFrame, sensitivity: str = "medium", patterns: Sequence[str] = S.HEADINGS) -> DataFrame:
-    """Confident headings as chapters. Two on a page leave the first with no pages: it is kept (see is_inverted in split plans)."""
+    """Confident headings as chapters, of spans, or of pages with nested blocks. Two on a page leave the first with no pages: it is kept (see is_inverted in split plans)."""
     order = ["start_page", "block", "line", "span"]
-    kept = heading_candidates(spans, sensitivity, patterns).where(F.col("confidence") >= options.thresholds(sensitivity).least)
+    candidates = nested_headings if "blocks" in spans.columns else heading_candidates
+    kept = candidates(spans, sensitivity, patterns).where(F.col("confidence") >= options.thresholds(sensitivity).least)
     at = kept.join(documents.select("doc_id", "total_pages"), "doc_id")
     rows = at.select("doc_id", "block", "line", "span", F.col("text").alias("title"), F.col("page").alias("start_page"), "confidence", _ends(["page", "block", "line", "span"]).alias("end_page"))
     return _chapters(rows, order, F.lit(1), "heuristic", F.col("confidence"))

@@ -32,10 +32,22 @@ def collisions(plan: DataFrame) -> DataFrame:
     return plan.groupBy("doc_id", "output_name").agg(F.count("*").alias("chapters")).where("chapters > 1")
 
 
+BIN = 64  # pages
+
+
 def chapter_pages(plan: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages (doc_id, page, ...) of each chapter: ranges are spelt out and joined by equality, no range join."""
-    spelt = plan.where("start_page <= end_page").select("doc_id", "chapter_index", F.explode(F.sequence("start_page", "end_page")).alias("page"))
-    return spelt.join(pages, ["doc_id", "page"])
+    """Pages (doc_id, page, ...) of each chapter: an interval join by bins.
+
+    A range is cut to the pages that its document has, so that one to any number costs no more, then at bins of BIN pages; ranges
+    and pages meet by document and bin, and a comparison settles the first and last bin.
+    """
+    bin_of = lambda c: F.floor(c / BIN)
+    extent = pages.groupBy("doc_id").agg(F.min("page").alias("least"), F.max("page").alias("most"))
+    low, high = F.greatest("start_page", "least"), F.least("end_page", "most")
+    cut = plan.join(extent, "doc_id").select("doc_id", "chapter_index", low.alias("low"), high.alias("high")).where("low <= high")
+    ranges = cut.select("doc_id", "chapter_index", "low", "high", F.explode(F.sequence(bin_of(F.col("low")), bin_of(F.col("high")))).alias("bin"))
+    own = pages.withColumn("bin", bin_of(F.col("page")))
+    return ranges.join(own, ["doc_id", "bin"]).where("page BETWEEN low AND high").select("doc_id", "page", "chapter_index", *[c for c in pages.columns if c not in ("doc_id", "page")])
 
 
 def chapter_contents(plan: DataFrame, items: DataFrame, keep_missing: bool = True) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leafwork.functions import html, paginate
 from leafwork.functions import strings as S
-from leafwork.operators import book, layout, split
+from leafwork.operators import book, layout, markup, split
 from leafwork.sources.bridges import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,6 +128,8 @@ ma AS (SELECT doc_id, page, block, line, span, text, size, avg_size, greatest(0:
 query("span_headings", f"WITH {LAYOUT}, {_MIXED.replace('{ratio}', '1.2')} SELECT doc_id, page, CAST(block AS INTEGER) AS block, CAST(line AS INTEGER) AS line, span, text, size, confidence FROM ma")(
     lambda t: layout.heading_candidates(t.mixed_spans(), "high").select("doc_id", "page", "block", "line", "span", "text", "size", "confidence")
 )
+_NESTED = lambda df: df.withColumn("line", F.col("block") * 3 + F.col("line"))  # noqa: E731  lines of spans count through the page
+query("nested_headings", SQL["span_headings"])(lambda t: _NESTED(layout.nested_headings(t.nested_pages(), "high")).select("doc_id", "page", "block", "line", "span", "text", "size", "confidence"))
 query(
     "span_chapters",
     f"""WITH {LAYOUT}, {_MIXED.replace('{ratio}', '1.3')} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, block, line, span) AS INTEGER) AS chapter_index, text AS title, page AS start_page, end_page,
@@ -135,6 +137,8 @@ query(
     FROM (SELECT ma.*, coalesce(lead(page) OVER (PARTITION BY ma.doc_id ORDER BY page, block, line, span) - 1, total_pages) AS end_page FROM ma JOIN ldocs d ON ma.doc_id = d.doc_id WHERE confidence >= 0.6::DOUBLE)""",
 )(lambda t: layout.heuristic_chapters(t.layout_documents(), t.mixed_spans()))
 
+query("nested_chapters", SQL["span_chapters"])(lambda t: layout.heuristic_chapters(t.layout_documents(), t.nested_pages()))
+
 
 def _detect(t: Tables, strategy: str) -> DataFrame:
     return layout.detect_pdf(t.layout_documents(), t.layout_outline(), t.spans(), strategy)
@@ -294,6 +298,7 @@ query(
     g(k, r, page, y) AS (SELECT k, 1, 1, 50 FROM n WHERE r = 1 UNION ALL SELECT n.k, n.r::INTEGER, CASE WHEN y + step > 792 THEN page + 1 ELSE page END, CASE WHEN y + step > 792 THEN 50 ELSE y + step END FROM g JOIN n ON n.k = g.k AND n.r = g.r + 1)
     SELECT doc_id, turn_page, page, y, n.text FROM g JOIN n ON g.k = n.k AND g.r = n.r JOIN c ON c.k = g.k""",
 )(lambda t: t("conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("turn_page"), F.inline(paginate.page_lines(F.col("text")))))
+query("wrapped_pages_folded", SQL["wrapped_pages"])(lambda t: t("conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("turn_page"), F.inline(paginate.folded_lines(F.col("text")))))
 _FRONT = """'<img src=""><img><link rel="stylesheet" href=""><img src="/i' || page_id || '.png"><h3>Deep ' || page_id || '</h3>'"""
 query(
     "chapter_sections",
@@ -324,3 +329,31 @@ query(
     "pdf_patterns",
     rf"WITH {LAYOUT}, x AS (SELECT *, regexp_matches(text, '(?i)^chapter \d') AS own FROM f) SELECT doc_id, page, CAST(line AS INTEGER) AS line, text FROM x WHERE own OR (avg_size > 0 AND size >= avg_size * 1.5::DOUBLE AND words <= 10)",
 )(lambda t: layout.heading_candidates(t.spans(), "low", [r"^Chapter \d.*$"]).select("doc_id", "page", "line", "text"))
+
+# ---- elements
+_SECTIONS = """sc AS (SELECT doc_id, page_id, href || '/' || page_id AS file_path, unnest(['a', 'b', 'p', 'x']) || page_id AS html_id FROM fl)"""
+
+
+def _bounds(t: Tables) -> tuple[DataFrame, DataFrame]:
+    found = markup.elements(t.sectioned_items())
+    return markup.sections(t.sections(), found), found
+
+
+query(
+    "section_refs",
+    f"""WITH {BOOK}, r AS (SELECT page_id, 'a' AS k, 'img' AS kind, '/i' || page_id || '.png' AS ref FROM fl UNION ALL SELECT page_id, unnest(['a', 'p']), 'img', '/j.png' FROM fl
+      UNION ALL SELECT page_id, 'b', 'css', 's.css' FROM fl UNION ALL SELECT page_id, 'b', 'style_url', 'bg.png' FROM fl)
+    SELECT doc_id, href || '/' || fl.page_id AS file_path, k || r.page_id AS html_id, kind, ref FROM r JOIN fl ON r.page_id = fl.page_id""",
+)(lambda t: markup.section_refs(*_bounds(t)))
+query(
+    "section_headings",
+    f"""WITH {BOOK}, h AS (SELECT page_id, unnest(['a', 'p']) AS k, 3 AS level, 'Deep ' || page_id AS text, unnest([4, 2]) AS place FROM fl UNION ALL SELECT page_id, 'b', 2, 'Sub ' || page_id, 3 FROM fl)
+    SELECT doc_id, href || '/' || fl.page_id AS file_path, k || h.page_id AS html_id, level, text, CAST(place AS INTEGER) AS place FROM h JOIN fl ON h.page_id = fl.page_id""",
+)(lambda t: markup.section_headings(*_bounds(t)))
+query(
+    "element_sections",
+    f"""WITH {BOOK}, {_SECTIONS}, c AS (SELECT page_id, '<p id="p' || page_id || '"><img src="/j.png"><h3>Deep ' || page_id || '</h3></p>' AS p, html FROM fl),
+    d AS (SELECT page_id, p, '<div id="a' || page_id || '"><img src="/i' || page_id || '.png">' || p || '</div>' AS a, '<div id="b' || page_id || '"><link rel="stylesheet" href="s.css"><style>b{{background:url(bg.png)}}</style><h2>Sub ' || page_id || '</h2><h1> </h1></div>' AS b, html FROM c)
+    SELECT doc_id, CAST(sc.page_id AS VARCHAR) AS item_id, file_path, html_id, CASE left(html_id, 1) WHEN 'x' THEN a || b || html ELSE '<html><head></head><body>' || CASE left(html_id, 1) WHEN 'a' THEN a WHEN 'b' THEN b ELSE p END || '</body></html>' END AS content
+    FROM sc JOIN d ON sc.page_id = d.page_id""",
+)(lambda t: markup.section_contents(markup.sections(t.sections(), markup.elements(t.sectioned_items())), t.sectioned_items()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -52,6 +52,22 @@ class Tables:
         two = F.array(F.struct(F.lit(0).alias("span"), F.substring("text", 1, cut).alias("text"), c("size")), F.struct(F.lit(1).alias("span"), F.expr(f"substring(text, {cut + 1})").alias("text"), (c("size") + c("page") % 2 * 3.0).alias("size")))
         return self.spans().select("doc_id", "page", block.alias("block"), F.when(block % 4 == 3, 1).otherwise(0).alias("block_type"), "line", F.inline(two))
 
+    def nested_pages(self) -> DataFrame:
+        """The pages of mixed_spans as a row each: blocks of three lines, lines of two spans."""
+        c, cut = F.col, 12
+        raw, page, n = F.split("text", "\n"), c("page").cast("string"), c("n")
+        sizes = F.element_at(F.array(*[F.lit(float(x)) for x in (18, 16, 14, 12)]), (c("doc_id") % 4).cast("int") + 1)
+
+        def line(x: Column, i: Column) -> Column:
+            text = F.when((n < 16) & (i == 0) & (c("doc_id") % 3 == 0), F.concat(F.lit("Chapter "), page, F.lit(": "), x)).when((n < 16) & (i == 1) & (c("doc_id") % 5 == 0), F.concat(F.lit("Part "), page, F.lit(" "), x)).otherwise(x)
+            size = F.when((n < 16) & (i == 0), sizes).otherwise(F.lit(11.0))
+            two = F.array(F.struct(F.substring(text, 1, cut).alias("text"), size.alias("size")), F.struct(F.substring(text, F.lit(cut + 1), F.length(text)).alias("text"), (size + c("page") % 2 * 3.0).alias("size")))
+            return F.struct(two.alias("spans"))
+
+        lines = F.transform(raw, line)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(raw) - 1) / 3).cast("int")), lambda b: F.struct(F.when(b % 4 == 3, 1).otherwise(0).alias("type"), F.slice(lines, b * 3 + 1, F.lit(3)).alias("lines")))
+        return self._pages().where("text IS NOT NULL").withColumn("blocks", blocks).select(c("source").alias("doc_id"), "page", "blocks")
+
     def layout_outline(self) -> DataFrame:
         p = self._pages().where("n % 3 < 2")
         level = F.when(F.col("n") % 3 == 0, (F.col("doc_id") % 2 + 1).cast("int")).otherwise(F.lit(2))
@@ -142,3 +158,17 @@ class Tables:
         inner = F.transform(both, lambda z, i: F.concat(point(text(z["t"]), text(z["h"])), F.lit('<navPoint><content src="x"/>'), point(F.concat(F.lit("below "), i.cast("string")), F.lit("y")), F.lit("</navPoint></navPoint></navPoint>")))
         top = point(F.concat(F.lit("Page "), F.col("page_id").cast("string")), text(F.col("url")))
         return self("pages").select(F.col("page_id").alias("doc_id"), F.concat(F.lit('<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap>'), top, F.array_join(inner, ""), F.lit("</navPoint></navMap></ncx>")).alias("xml"))
+
+    # pages with two parts put in front, of which the first holds a paragraph with an id of its own
+    def sectioned_items(self) -> DataFrame:
+        k = F.col("item_id")
+        front = F.concat(
+            F.lit('<div id="a'), k, F.lit('"><img src="/i'), k, F.lit('.png"><p id="p'), k, F.lit('"><img src="/j.png"><h3>Deep '), k, F.lit('</h3></p></div><div id="b'), k,
+            F.lit('"><link rel="stylesheet" href="s.css"><style>b{background:url(bg.png)}</style><h2>Sub '), k, F.lit('</h2><h1> </h1></div>'),
+        )
+        return self.items().withColumns({"content": F.concat(front, "content"), "href": F.concat_ws("/", "href", k)})  # no two pages of a book share a name
+
+    def sections(self) -> DataFrame:
+        """Chapters by anchor: the parts of each page, and one that isn't there."""
+        kinds = F.explode(F.array(*map(F.lit, "abpx"))).alias("kind")
+        return self.sectioned_items().select("doc_id", "item_id", F.col("href").alias("file_path"), kinds).select("doc_id", "item_id", "file_path", F.concat("kind", "item_id").alias("html_id"))

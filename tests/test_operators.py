@@ -1,6 +1,7 @@
 import pytest
 
-from leafwork.operators import book, layout, split
+from leafwork.functions import html, paginate
+from leafwork.operators import book, layout, markup, split
 
 DOC, OUT = "doc_id string, total_pages long", "doc_id string, seq int, level int, title string, page long"
 SPAN = "doc_id string, page long, block int, block_type int, line int, span int, text string, size double"
@@ -95,7 +96,7 @@ def test_resources(make):
 def test_inverted_ranges_hold_no_page(make):
     plan = make([("d", 1, 3, 2), ("d", 2, 3, 4)], "doc_id string, chapter_index int, start_page long, end_page long")
     pages = make([("d", i) for i in range(1, 5)], "doc_id string, page long")
-    assert rows(split.chapter_pages(plan, pages), "chapter_index", "page") == [(2, 3), (2, 4)]
+    assert sorted(rows(split.chapter_pages(plan, pages), "chapter_index", "page")) == [(2, 3), (2, 4)]  # pages of a chapter come in no order
 
 
 def test_metadata_merge(make):
@@ -163,3 +164,75 @@ def test_trees_need_no_loop_of_jobs(make):
     before = len(tracker.getJobIdsForGroup())
     found = book.flatten_toc(nodes)
     assert "UnionLoop" in found._jdf.queryExecution().optimizedPlan().toString() and len(tracker.getJobIdsForGroup()) == before
+
+
+NESTED = "doc_id string, page long, blocks array<struct<type:int,lines:array<struct<spans:array<struct<text:string,size:double>>>>>>"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nested_pages_equal_their_spans(make):
+    """Images, blank spans, sizes of zero, nulls in place of arrays, a page without text; and nothing is shuffled."""
+    line = lambda *spans: {"spans": [{"text": t, "size": s} for t, s in spans]}
+    blocks = [
+        {"type": 0, "lines": [line((" ", 40.0), ("Chapter 1", 11.0), ("BIG", 30.0)), line(("plain", 11.0), ("0 size", 0.0))]}, {"type": 1, "lines": [line(("Chapter 9", 50.0))]},
+        {"type": 0, "lines": [line(("small", 9.0), ("LARGE", 30.0)), line(), {"spans": None}]}, {"type": 0, "lines": None},
+    ]
+    pages = [("d", 1, blocks), ("d", 2, [{"type": 1, "lines": []}]), ("d", 3, None), ("e", 1, [{"type": 0, "lines": [line(("1. One", 11.0))]}])]
+    flat = [(d, p, i, b["type"], j, k, s["text"], s["size"]) for d, p, bs in pages for i, b in enumerate(bs or []) for j, x in enumerate(b["lines"] or []) for k, s in enumerate(x["spans"] or [])]
+    cols = ["doc_id", "page", "block", "line", "span", "text", "size", "avg_size", "confidence"]
+    found = layout.nested_headings(make(pages, NESTED), "high")
+    key = lambda df: sorted(tuple(r) for r in df.select(*cols).collect())
+    assert key(found) == key(layout.heading_candidates(make(flat, SPAN), "high")) and len(key(found)) == 3
+    assert "Exchange" not in plan_of(found)
+    docs = make([("d", 3), ("e", 1)], DOC)
+    both = [layout.detect_pdf(docs, make([], OUT), source, "heuristic") for source in (make(pages, NESTED), make(flat, SPAN))]
+    assert rows(both[0], "doc_id", "title", "start_page", "end_page") == rows(both[1], "doc_id", "title", "start_page", "end_page")
+
+
+def test_ranges_of_any_length(make):
+    """A range to three thousand million pages, ranges at borders of bins, overlapping and inverted ones, a document without pages."""
+    ranges = [("d", 1, 1, 3_000_000_000), ("d", 2, 60, 70), ("d", 3, 64, 64), ("d", 4, 128, 127), ("d", 5, -5, 2), ("d", 6, 200, 3_000_000_000), ("e", 1, 1, 9)]
+    plan = make(ranges, "doc_id string, chapter_index int, start_page long, end_page long")
+    pages = make([("d", p, p * 2) for p in range(1, 151)], "doc_id string, page long, size long")
+    got = sorted((r["chapter_index"], r["page"]) for r in split.chapter_pages(plan, pages).collect())
+    assert got == sorted((c, p) for d, c, a, b in ranges for p in range(1, 151) if d == "d" and a <= p <= b)
+    assert split.chapter_pages(plan, pages).columns == ["doc_id", "page", "chapter_index", "size"]
+    bins = split.chapter_pages(plan, pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CartesianProduct" not in plan_of(split.chapter_pages(plan, pages)) and "explode" in bins
+
+
+def test_folded_lines_equal_the_worker(make):
+    texts = ["", None, " \n ", "x" * 200, "a " + "y" * 90 + " b", "one\n\ntwo\u2003three", "\n".join(["w" * 79 + " z"] * 60), " ".join(["word"] * 3000), "é" * 81 + "\x1cq"]
+    df = make([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r["i"]: [tuple(x) for x in r["l"]] for r in df.select("i", paginate.folded_lines(df["text"]).alias("l")).collect()}
+    assert got == {i: paginate.lay_out(t or "") for i, t in enumerate(texts)}
+    assert not any(x in plan_of(df.select(paginate.folded_lines(df["text"]))) for x in ("Python", "Arrow"))
+
+
+def test_elements_are_intervals():
+    page = '<html><body><div id="a"><p>x<br><h2 id="h">T <b>u</b></h2><img src="i.png"></div><section id="s"><style>p{background:url(u.png)}</style><h3>Open</section><div id="a">again</body>'
+    found = html.element_rows(page)
+    of = {e["id"]: e for e in reversed(found) if e["id"]}
+    assert [e["first"] for e in found] == list(range(len(found))) and [e["tag"] for e in found][:6] == ["html", "body", "div", "p", "br", "h2"]
+    assert [found[k]["tag"] for k in range(of["a"]["first"], of["a"]["last"] + 1)] == ["div", "p", "br", "h2", "b", "img"]
+    assert page[of["a"]["start"] : of["a"]["past"]] == page[page.index('<div id="a">') : page.index("<section")] and of["h"]["text"] == "T u"
+    assert [e["refs"] for e in found if e["refs"]] == [[{"kind": "img", "ref": "i.png"}], [{"kind": "style_url", "ref": "u.png"}]]
+    assert page[of["s"]["start"] : of["s"]["past"]].endswith("</section>") and found[-1]["past"] == len(page) - len("</body>") + len("</body>")
+    for anchor in ("a", "h", "s"):  # cut alike by the one element's parse
+        assert html.section(page, anchor) == f"<html><head></head><body>{page[of[anchor]['start'] : of[anchor]['past']]}</body></html>"
+    assert html.element_rows(None) == [] and html.element_rows(b"") == [] and html.element_rows("no markup") == []
+
+
+def test_sections_from_elements(make):
+    items = make([("b", "p", b'<h1>T</h1><div id="x"><h2>In</h2><img src="i"></div><h2>Out</h2>'), ("b", "q", b"\xe9<i id='x'>1</i>"), ("b", "n", None)], "doc_id string, href string, content binary")
+    chapters = make([("b", "p", "x"), ("b", "p", "gone"), ("b", "q", "x"), ("b", "p", ""), ("b", "n", "x"), ("b", "lost", "x")], "doc_id string, file_path string, html_id string")
+    found = markup.elements(items)
+    bounds = markup.sections(chapters, found)
+    got = {(r["file_path"], r["html_id"]): r["content"] for r in markup.section_contents(bounds, items).collect()}
+    old = split.chapter_sections(chapters.join(items.withColumnRenamed("href", "file_path"), ["doc_id", "file_path"]))
+    assert got == {(r["file_path"], r["html_id"]): r["content"] for r in old.collect()} and len(got) == 5
+    assert [(r["html_id"], r["text"], r["place"]) for r in markup.section_headings(bounds, found).collect()] == [("x", "In", 1)]
+    assert [(r["file_path"], r["kind"], r["ref"]) for r in markup.section_refs(bounds, found).collect()] == [("p", "img", "i")]
