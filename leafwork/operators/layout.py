@@ -79,7 +79,7 @@ def nested_headings(pages: DataFrame, sensitivity: str = "medium", patterns: Seq
 
     lines = lambda b: F.filter(F.transform(b["lines"], lambda line, j: F.struct(j.alias("line"), heading(line).alias("head"))), lambda x: x["head"].isNotNull())
     left = F.filter(F.transform("blocks", lambda b, i: F.struct(i.alias("block"), F.when(b["type"] == 0, lines(b)).alias("lines"))), lambda x: F.size(x["lines"]) > 0)
-    found = pages.withColumn("avg_size", mean).withColumn("left", left).where(F.size("left") > 0)
+    found = pages.select("doc_id", "page", "blocks", F.explode(F.array(mean)).alias("avg_size")).withColumn("left", left)  # explode: the mean is made once a page, not once a span
     blocks = found.select("doc_id", "page", "avg_size", F.explode("left").alias("b")).select("doc_id", "page", "avg_size", "b.block", F.explode("b.lines").alias("l"))
     rows = blocks.select("doc_id", "page", "block", F.lit(0).alias("block_type"), "l.line", "l.head.span", "l.head.text", "l.head.size", "avg_size")
     return rows.withColumn("confidence", S.heading_score(F.col("text"), F.col("size"), patterns))

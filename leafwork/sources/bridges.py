@@ -55,7 +55,7 @@ class Tables:
     def nested_pages(self) -> DataFrame:
         """The pages of mixed_spans as a row each: blocks of three lines, lines of two spans."""
         c, cut = F.col, 12
-        raw, page, n = F.split("text", "\n"), c("page").cast("string"), c("n")
+        page, n = c("page").cast("string"), c("n")
         sizes = F.element_at(F.array(*[F.lit(float(x)) for x in (18, 16, 14, 12)]), (c("doc_id") % 4).cast("int") + 1)
 
         def line(x: Column, i: Column) -> Column:
@@ -64,9 +64,11 @@ class Tables:
             two = F.array(F.struct(F.substring(text, 1, cut).alias("text"), size.alias("size")), F.struct(F.substring(text, F.lit(cut + 1), F.length(text)).alias("text"), (size + c("page") % 2 * 3.0).alias("size")))
             return F.struct(two.alias("spans"))
 
-        lines = F.transform(raw, line)
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(raw) - 1) / 3).cast("int")), lambda b: F.struct(F.when(b % 4 == 3, 1).otherwise(0).alias("type"), F.slice(lines, b * 3 + 1, F.lit(3)).alias("lines")))
-        return self._pages().where("text IS NOT NULL").withColumn("blocks", blocks).select(c("source").alias("doc_id"), "page", "blocks")
+        # explode keeps the optimizer from splitting the text once more for each block
+        cut_up = self._pages().select("doc_id", "source", "page", "n", F.explode(F.array(F.split("text", "\n"))).alias("raw")).where("raw IS NOT NULL")
+        block = lambda b: F.struct(F.when(b % 4 == 3, 1).otherwise(0).alias("type"), F.transform(F.slice("raw", b * 3 + 1, F.lit(3)), lambda x, k: line(x, b * 3 + k)).alias("lines"))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("raw") - 1) / 3).cast("int")), block)
+        return cut_up.withColumn("blocks", blocks).select(c("source").alias("doc_id"), "page", F.explode(F.array("blocks")).alias("blocks"))
 
     def layout_outline(self) -> DataFrame:
         p = self._pages().where("n % 3 < 2")
