@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafwork.llm import hashing as H
 from leafwork.llm.common import CHUNK_TEXT, RK, keyed, map_arrow, raw, row_chunks
@@ -92,27 +93,50 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _part(bounds: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """How many of the bounds, rows (id, row) in ascending order, stand before each (id, row)."""
+    part = np.searchsorted(bounds[:, 0], ids, "left")
+    again = np.unique(bounds[:, 0][1:][bounds[1:, 0] == bounds[:-1, 0]])
+    for i in again.tolist():  # ids with so many rows that they are cut by row
+        some = ids == i
+        part[some] += np.searchsorted(bounds[bounds[:, 0] == i, 1], rows[some], "left")
+    return part.astype(np.int32)
+
+
+def _bounds(keys: DataFrame, n: int) -> np.ndarray:
+    """About n - 1 cuts (id, row): at quantiles of the ids, and within an id that holds several of them at quantiles of its rows."""
+    top = int(np.iinfo(np.int64).max)
+    cuts = keys.agg(F.percentile_approx("at", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
+    ids, often = np.unique(np.array(cuts or [], np.int64), return_counts=True)
+    out = [(i, top) for i in ids.tolist()]
+    heavy = {i: m for i, m in zip(ids.tolist(), often.tolist(), strict=True) if m > 1}
+    if heavy:
+        inner = [k / (max(heavy.values()) + 1) for k in range(1, max(heavy.values()) + 1)]
+        found = keys.where(F.col("at").isin(list(heavy))).groupBy("at").agg(F.percentile_approx(RK, inner, 20 * n).alias("q")).collect()  # n ids at most
+        out += [(r["at"], q) for r in found for q in r["q"]]
+    return np.array(sorted(set(out)), np.int64).reshape(-1, 2)
+
+
 def _deal(bounds: np.ndarray, parts: dict[int, list[tuple[int, int]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Give each row its range; a row that opens a range goes as a tail to the range before it too. parts: range to (opening id, range before)."""
+    """Give each row (at, row, id, text) its range; a row that opens a range goes as a tail to the range before it too. parts: range to (opening row, range before)."""
     opens = {i: to for pairs in parts.values() for i, to in pairs}
     keys = np.array(sorted(opens), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            part = np.searchsorted(bounds, ids, "left")
-            at = np.flatnonzero(np.isin(ids, keys))
+            ids, rows = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            at = np.flatnonzero(np.isin(rows, keys))
             names = ["part", "tail", *batch.schema.names]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(np.zeros(len(ids), bool)), *batch.columns], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(_part(bounds, ids, rows)), pa.array(np.zeros(len(ids), bool)), *batch.columns], names=names)
             if len(at):
                 extra = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array([opens[int(ids[i])] for i in at], pa.int32()), pa.array(np.ones(len(at), bool)), *extra.columns], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([opens[int(rows[i])] for i in at], pa.int32()), pa.array(np.ones(len(at), bool)), *extra.columns], names=names)
 
     return run
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by (part, tail, id descending, text): each row's successor is the next row; a part ends with its tail."""
+    """Rows come by (part, tail, id and row descending), as (part, tail, id, text): each row's successor is the next row; a part ends with its tail."""
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     last = None  # (part, tail, id, text, fingerprint)
@@ -143,35 +167,37 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Fingerprint each text, and its text edited with the next document's; order is by descending id, after the last the first.
 
     The text moves once, dealt by id ranges; each range's first row is sent to the range before it too, so that every row
-    finds its successor in its own task. What the driver sees is one id for each range.
+    finds its successor in its own task. An id with the rows of several ranges is cut by row. What the driver sees is one id for each range.
 
     Returns id, n_chars, edited_sha256, fingerprint and edited_fingerprint (hex of 256 one-byte bins; empty for a text
     without words), near_edited and near_next (estimated Jaccard similarity of five-word shingles).
 
     Defined cases: a null text is empty; a text of one to four words is one shingle; two texts without words are alike
-    (1.0), and unlike any other (0.0); a single document is its own successor; where rows repeat an id, or ids are null or
-    no integers, the rows are numbered first and ordered by that number, so there are no ties; a very long text is held
+    (1.0), and unlike any other (0.0); a single document is its own successor; rows that repeat an id follow each other, in an
+    order that the operator chooses once, and those whose id is null come after all others, so other rows keep their
+    successors but where such a row stands in between; ids that are no integers are ordered by a number that rows are given; a very long text is held
     whole, with about 60 bytes for each of its bytes; an empty table gives no rows; other columns are ignored, whatever
     their names.
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = keyed(docs, id_col, text_col)
+    numbered = keyed(docs, id_col, text_col)
+    whole = isinstance(docs.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+    at = F.coalesce(F.col("id").cast("long"), F.lit(int(np.iinfo(np.int64).min))) if whole else F.col(RK)  # null ids come last
+    rows = numbered.select(at.alias("at"), RK, "id", "text")
     n = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = rows.select(RK)
-    cuts = keys.agg(F.percentile_approx(RK, [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    keys = rows.select("at", RK)
+    bounds = _bounds(keys, n)
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            part = np.searchsorted(bounds, ids.to_numpy(zero_copy_only=False), "left").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), ids], names=["part", "id"])
+            part = _part(bounds, *(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+            yield pa.RecordBatch.from_arrays([pa.array(part), *batch.columns], names=["part", "at", "row"])
 
-    top = dict(map_arrow(keys, tops, "part int, id long").groupBy("part").agg(F.max("id")).collect())  # a row a range
+    top = {r["part"]: r["m"]["row"] for r in map_arrow(keys, tops, "part int, at long, row long").groupBy("part").agg(F.max(F.struct("at", "row")).alias("m")).collect()}  # a row a range
     order = sorted(top, reverse=True)
     opens: dict[int, list[tuple[int, int]]] = {p: [(top[p], order[i - 1])] for i, p in enumerate(order)}  # the first range follows the last
-    dealt = map_arrow(rows, _deal(bounds, opens), f"part int, tail boolean, {RK} long, id {id_type}, text string")
+    dealt = map_arrow(rows, _deal(bounds, opens), f"part int, tail boolean, at long, {RK} long, id {id_type}, text string")
     parts = min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 4))
-    sorted_ = dealt.repartition(parts, "part").sortWithinPartitions("part", "tail", F.desc(RK)).select("part", "tail", "id", "text")
+    sorted_ = dealt.repartition(parts, "part").sortWithinPartitions("part", "tail", F.desc("at"), F.desc(RK)).select("part", "tail", "id", "text")
     return map_arrow(sorted_, _pairs, f"id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)

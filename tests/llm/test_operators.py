@@ -455,6 +455,39 @@ def test_fingerprints(cases):
     assert got[18][2] == got[21][2]
 
 
+def successors(spark, texts, **given):
+    """Of each row its edited text's digest, by (id, text)."""
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    return Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprint.fingerprint_documents(docs, **given).collect())
+
+
+def edited_by_hand(rows):
+    out = Counter()
+    for (i, t), (_, u) in zip(rows, rows[1:] + rows[:1], strict=True):
+        half = len(t) // 2
+        out[i, len(t), sha((t[: len(t) - half] + u[:half]).encode())] += 1
+    return out
+
+
+@pytest.mark.parametrize("ranges", [1, 6, 40])
+def test_fingerprint_order_with_repeated_and_null_ids(spark, ranges):
+    """The contract's order whatever else the table holds: an id that repeats, here with equal texts, or is null changes no other row's successor but its neighbour's."""
+    rows = [(i, f"{i} " + "word " * (i % 7 + 2)) for i in range(40, 0, -1)]
+    assert successors(spark, rows, ranges=ranges) == edited_by_hand(rows)
+    twice = [r for r in rows for _ in range(2 if r[0] == 17 else 1)]
+    assert successors(spark, twice, ranges=ranges) == edited_by_hand(twice)
+    null = [*rows, (None, "no id at all")]
+    assert successors(spark, null, ranges=ranges) == edited_by_hand(null)
+    many = [r for r in rows for _ in range(60 if r[0] == 17 else 1)] + [(None, "none here")] * 50
+    assert successors(spark, many, ranges=ranges) == edited_by_hand(many)
+
+
+def test_rows_of_an_id_are_cut():
+    bounds = np.array([(3, 10), (3, 20), (3, 1 << 62), (5, 1 << 62)], np.int64)
+    got = fingerprint._part(bounds, np.array([1, 3, 3, 3, 3, 4, 5, 9]), np.array([99, 5, 10, 11, 21, 0, 0, 0]))
+    assert got.tolist() == [0, 0, 0, 1, 2, 3, 3, 4]
+
+
 M = (1 << 64) - 1
 
 
