@@ -9,7 +9,7 @@ Hot strings: a packed string that a map task sees again among 12 MB of text is s
 only its first copy travels, marked. The task remembers those it met most often, 4 MB of them: such a string travels once a
 task, not once for each 12 MB. A bucket that gets more than it may hold first reduces equal strings to one marked
 copy; so however many documents hold a string, it takes the room of one. If the strings that are left differ, as those of a
-very common minimiser in ever new surroundings do, they are cut again by a longer minimiser under another hash and dealt to
+very common minimiser in ever new surroundings do, or those of one minimiser are more than are compared at once, they are cut again by a longer minimiser under another hash and dealt to
 64 buckets of the next level, by one more shuffle of that part alone. At the last level the minimiser is the window itself.
 Equal windows take the same way through all levels, so every level is exact.
 """
@@ -37,6 +37,7 @@ BUCKET_BYTES = 2 << 20  # of input, for each bucket
 KNOWN = 4 << 20  # bytes of hot strings that a map task remembers
 HELD = 32 << 20  # bytes of strings that a bucket holds before it reduces or cuts them
 COMPARED = 4 << 20  # bytes of strings compared at once; strings with one minimiser stay together
+GROUP = 4 << 20  # bytes of strings with one minimiser that are compared; more are cut as a bucket is
 FAN = 64  # buckets of the next level for one that is cut
 MOST_PARTS = 1 << 15  # shuffle partitions, if the session doesn't ask for more; each streams its buckets one by one
 UNKNOWN = 1 << 47  # an estimate beyond this is none
@@ -276,7 +277,7 @@ def settle(kind: Kind, repeats: Callable[[list[bytes]], list[np.ndarray]], most:
     """
     most = most or HELD
 
-    def finish(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def finish(bucket: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         table, strings = unpacked(blobs)
         _, group, count = np.unique(table["val"], return_inverse=True, return_counts=True)
         cand = np.flatnonzero((count[group] > 1) | (table["flag"] > 0))
@@ -289,7 +290,14 @@ def settle(kind: Kind, repeats: Callable[[list[bytes]], list[np.ndarray]], most:
         mixed = mixed[np.argsort(kin[mixed], kind="stable")]
         found = [got.whole()]
         t, lone = got.table, got.first_of
-        sizes = np.cumsum(t["len"][lone[mixed]])
+        length = t["len"][lone[mixed]]
+        large = np.bincount(kin[mixed], length)[kin[mixed]] > GROUP if len(mixed) and kind.next() is not None else np.zeros(len(mixed), bool)
+        if large.any():
+            marked, every = got.reduced()
+            part = mixed[large]
+            yield from deeper(bucket, {n: x[part] for n, x in marked.items()}, [every[i] for i in part.tolist()])
+            mixed, length = mixed[~large], length[~large]
+        sizes = np.cumsum(length)
         stops = np.append(np.flatnonzero(np.diff(kin[mixed])) + 1, len(mixed))  # where the strings of a minimiser end
         lo = 0
         while lo < len(mixed):  # as many whole groups as fit, one at least
@@ -338,7 +346,7 @@ def settle(kind: Kind, repeats: Callable[[list[bytes]], list[np.ndarray]], most:
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal blobs, held, limit, over
             if blobs:
-                yield from shrink() if over else finish(blobs)
+                yield from shrink() if over else finish(now, blobs)
             blobs, held, limit, over = [], 0, most, False
 
         for batch in batches:

@@ -147,6 +147,60 @@ def test_buckets_reduce_and_are_cut_exactly(monkeypatch, words, held, levels):
         assert (cover(len(u), got.get(k, np.zeros((0, 2), np.int64))) == want).all()
 
 
+@pytest.mark.parametrize("words", [False, True])
+@pytest.mark.parametrize("group", [40, 400])
+def test_groups_of_a_minimiser_are_cut_exactly(monkeypatch, words, group):
+    """Buckets that hold what they may, of which some minimisers' strings are too many to be compared together."""
+    for name, value in (("FLUSH", 500), ("CHUNK", 300), ("GROUP", group), ("FAN", 4)):
+        monkeypatch.setattr(superwindow, name, value)
+    rng = random.Random(group)
+    kind = superwindow.Kind(6, 2, True) if words else superwindow.Kind(12, 3, False)
+    some = (lambda n: "".join(rng.choice(["a ", "b ", "cc ", "d "]) for _ in range(n))) if words else (lambda n: "".join(rng.choice("abcd") for _ in range(n)))
+    common = "a a b cc d a b b cc a " if words else "abcabcabcdddaabbccdd"
+    texts = [(some(rng.randint(0, 80)) + common + some(rng.randint(0, 60))).encode() for _ in range(60)] + [b"", None, b"a" * 80, b"a " * 12]
+    repeats = partial(substring.repeated_word_windows, size=6) if words else partial(prefix_free.repeated_windows, size=12)
+    got, used = drive(kind, repeats, texts, 5, 7)
+    assert used > 1
+    units = [(t or b"").split() if words else list(t or b"") for t in texts]
+    seen = Counter(tuple(u[i : i + kind.size]) for u in units for i in range(len(u) - kind.size + 1))
+    for k, u in enumerate(units):
+        want = np.zeros(len(u), bool)
+        for i in range(len(u) - kind.size + 1):
+            if seen[tuple(u[i : i + kind.size])] > 1:
+                want[i : i + kind.size] = True
+        assert (cover(len(u), got.get(k, np.zeros((0, 2), np.int64))) == want).all()
+
+
+def grown_by_a_minimiser(megabytes):
+    """MB by which a process grows that settles so many of strings around one passage, half of them repeating in part; in a process of its own."""
+    import resource
+
+    rng = np.random.default_rng(1)
+    n = megabytes * 2500
+    passage = bytes(range(65, 89))
+    kind = superwindow.Kind(200, 24, False)
+    sides = rng.integers(97, 123, (n, 2, 190), np.uint8)
+    sides[1::2] = sides[::2]
+    sides[1::2, 1, 180:] = 48
+    strings = [a.tobytes() + passage + b.tobytes() for a, b in sides]
+    size = np.full(n, len(strings[0]))
+    table = {"val": np.zeros(n, np.uint32), "first": np.zeros(n, np.int64), "wins": size - 199, "rk": np.arange(n), "flag": np.zeros(n, np.uint8), "len": size}
+    data = [superwindow.blob(zstandard.ZstdCompressor(level=1), {k: v[a : a + 1000] for k, v in table.items()}, strings[a : a + 1000]) for a in range(0, n, 1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(data), pa.int64()), pa.array([0] * len(data), pa.int64()), pa.array(data, pa.binary()), pa.array([False] * len(data))], schema=superwindow.PACKED)
+    del strings, sides, data
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    deeper = sum(not r for out in superwindow.settle(kind, partial(prefix_free.repeated_windows, size=200))(iter([batch])) for r in out.column(3).to_pylist())
+    return (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024, deeper
+
+
+def test_memory_of_one_minimiser_is_bounded():
+    import multiprocessing
+
+    with multiprocessing.get_context("spawn").Pool(1) as pool:
+        grown, deeper = pool.apply(grown_by_a_minimiser, (24,))
+    assert deeper > 0 and grown < 700
+
+
 def test_hot_string_takes_the_room_of_one(monkeypatch):
     """However many tasks send it, a bucket keeps one copy and never goes deeper for it."""
     monkeypatch.setattr(superwindow, "HELD", 4000)
