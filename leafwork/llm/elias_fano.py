@@ -10,22 +10,31 @@ SAMPLE = 256  # one bit position is kept for so many values
 HEAD = struct.Struct("<QQBQQQ")  # values, universe, low bits, bytes of low part, high part, samples
 
 
+BLOCK = 1 << 16  # values worked on at once: a multiple of SAMPLE, and so of the eight bits of a byte
+
+
 def encode(values: np.ndarray) -> bytes:
-    """values: non-decreasing, not negative. Each costs about 2 + log2(universe / values) bits."""
-    values = np.asarray(values, np.uint64)
+    """values: non-decreasing, not negative. Each costs about 2 + log2(universe / values) bits; beside them a block at a time is held."""
     n, top = len(values), int(values[-1]) + 1 if len(values) else 1
     low = max(0, (top // max(n, 1)).bit_length() - 1)
-    lows = b""
-    if low and n:
-        bits = ((values[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-        lows = np.packbits(bits.ravel(), bitorder="little").tobytes()
-    ones = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
-    field = np.zeros((int(ones[-1]) + 1 if n else 0) + 7 & ~7, np.uint8)
-    field[ones] = 1
-    high = np.packbits(field, bitorder="little").tobytes()
-    wide = len(field) >= 1 << 32
-    samples = ones[::SAMPLE].astype(np.uint64 if wide else np.uint32).tobytes()
-    return HEAD.pack(n, top, low, len(lows), len(high), len(samples)) + lows + high + samples
+    size = (((top - 1) >> low) + n + 7 if n else 7) >> 3
+    high, lows, samples = np.zeros(size, np.uint8), [], []
+    for at in range(0, n, BLOCK):
+        some = np.asarray(values[at : at + BLOCK]).astype(np.uint64)
+        if low:
+            bits = ((some[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+            lows.append(np.packbits(bits.ravel(), bitorder="little").tobytes())
+        ones = (some >> np.uint64(low)).astype(np.int64) + np.arange(at, at + len(some))
+        for part in np.split(ones, np.flatnonzero(np.diff(ones) > 8 * BLOCK) + 1):  # far apart: on their own
+            first, last = int(part[0]) >> 3, int(part[-1]) >> 3
+            field = np.zeros(8 * (last - first + 1), np.uint8)
+            field[part - 8 * first] = 1
+            high[first : last + 1] |= np.packbits(field, bitorder="little")
+        samples.append(ones[::SAMPLE])
+    wide = 8 * size >= 1 << 32
+    marks = b"".join(x.astype(np.uint64 if wide else np.uint32).tobytes() for x in samples)
+    packed = b"".join(lows)
+    return HEAD.pack(n, top, low, len(packed), size, len(marks)) + packed + high.tobytes() + marks
 
 
 class EliasFano:

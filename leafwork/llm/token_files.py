@@ -12,6 +12,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import chain
@@ -31,6 +32,7 @@ from leafwork.llm.common import map_arrow, materialize, new_path, raw, row_chunk
 MAGIC = b"EFTK"
 TAIL = "<QQqQQ4s"  # where the bounds and the document ids start, least document id, documents, how many of them have no id, magic
 CHUNK = 4 << 20
+FILE_TEXT = 256 << 20  # bytes of text that a file is made of
 KNOWN, ASKED = 1_000_000, 4096  # pieces that a worker remembers, and that it encodes at once
 #: Bits of a byte. 1: ASCII graphic; 2: ASCII letter; 4: white space, cut off behind 1; 8: digit or sign, cut off behind 2.
 KIND = np.array([4 if b in (9, 10, 13, 32) else 0 if not 33 <= b < 127 else 3 if chr(b).isalpha() else 9 for b in range(256)], np.uint8)
@@ -160,7 +162,7 @@ def slices(at: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _write(place: str, tokenizer: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, counts, docs, path = None, [], [], ""
+        out, ends, ids, nameless, path = None, array("q", [0]), array("q"), 0, ""  # eight bytes each, and an eighth to grow
         encode = None
         for batch in batches:
             if not len(batch):
@@ -174,19 +176,27 @@ def _write(place: str, tokenizer: str, end: int) -> Callable[[Iterator[pa.Record
                 out = fs.open_output_stream(f"{base}/{name}")
                 out.write(MAGIC + struct.pack("<BBH", encode.dtype.itemsize, 0, 0))
             data, offs = raw(batch.column(1))
-            docs.append(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64))  # null ids are the first
+            nameless += batch.column(0).null_count  # null ids are the first
+            ids.frombytes(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).tobytes())
             for lo, hi in row_chunks(offs, CHUNK):
-                ids, n = encode(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], end)
-                out.write(ids.tobytes())
-                counts.append(n)
+                tokens, n = encode(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], end)
+                out.write(tokens.tobytes())
+                ends.frombytes((ends[-1] + np.cumsum(n)).astype(np.int64).tobytes())
         if out is None:
             return
-        ids, ends = np.concatenate(docs), np.concatenate([[0], *counts]).cumsum()
-        bounds = 8 + int(ends[-1]) * encode.dtype.itemsize
-        coded, n, least = elias_fano.encode(ends), len(ends) - 1, int(ids[0]) if len(ids) else 0
-        out.write(coded + elias_fano.encode(ids - least) + struct.pack(TAIL, bounds, bounds + len(coded), least, n, n - len(ids), MAGIC))
+        n, total, least = len(ends) - 1, ends[-1], ids[0] if len(ids) else 0
+        bounds = 8 + total * encode.dtype.itemsize
+        coded = elias_fano.encode(np.frombuffer(ends, np.int64))
+        del ends
+        own = np.frombuffer(ids, np.int64).copy() if least else np.frombuffer(ids, np.int64)
+        del ids
+        if least:
+            own -= least
+        out.write(coded)
+        out.write(elias_fano.encode(own))
+        out.write(struct.pack(TAIL, bounds, bounds + len(coded), least, n, nameless, MAGIC))
         out.close()
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([path]), pa.array([n], pa.int64()), pa.array([int(ends[-1])], pa.int64())], names=["part", "path", "docs", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([path]), pa.array([n], pa.int64()), pa.array([total], pa.int64())], names=["part", "path", "docs", "tokens"])
 
     return run
 
@@ -230,7 +240,8 @@ def write_token_files(docs: DataFrame, place: str, tokenizer: str, id_col: str =
     """Encode each text, append `end_id`, and write the ids in ascending document id under `place`; returns (part, path, docs, tokens), already written.
 
     The table is dealt by ranges of the id, so the order of parts is the order of ids and each task streams one file:
-    its memory holds a batch of text and eight bytes a document.
+    its memory holds a batch of text and, until the file ends, some twenty bytes a document. There are `files` of them, or as
+    many as make about FILE_TEXT bytes of text each, and at least the session's number of shuffle partitions.
 
     Defined cases: a null text is empty and has the end id alone; rows that repeat an id come one after another, by text
     (tied rows are equal); documents whose id is null come before all others, by text; a very long text is encoded whole,
@@ -240,7 +251,10 @@ def write_token_files(docs: DataFrame, place: str, tokenizer: str, id_col: str =
     if not isinstance(docs.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         raise TypeError(f"{id_col} must be an integer")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not files:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_TEXT))
+    n = files
     dealt = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
     return materialize(map_arrow(dealt, _write(place, tokenizer, end_id), "part long, path string, docs long, tokens long"), "token-manifest")
 

@@ -657,6 +657,36 @@ def test_matcher_is_small():
     assert spans.tolist() == [[1, 21]] and held == {"7"}
 
 
+def test_elias_fano_is_made_in_blocks(monkeypatch):
+    """Bytes and memory of a long sequence: those of one block at a time, whatever its length."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    cases = [np.cumsum(rng.integers(0, 900, 5000)), np.sort(rng.integers(0, 1 << 40, 3000)), np.zeros(777, np.int64), np.array([5]), np.array([], np.int64), np.concatenate([np.zeros(999, np.int64), [1 << 35]])]
+    whole = [elias_fano.encode(x) for x in cases]
+    monkeypatch.setattr(elias_fano, "BLOCK", 256)
+    for x, data in zip(cases, whole, strict=True):
+        assert elias_fano.encode(x) == data and elias_fano.EliasFano(data).select(0, len(x)).tolist() == x.tolist()
+    monkeypatch.undo()
+    long = np.cumsum(rng.integers(0, 1000, 2_000_000))
+    tracemalloc.start()
+    data = elias_fano.encode(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * len(long) and elias_fano.EliasFano(data).select(1_999_990, 10).tolist() == long[-10:].tolist()
+
+
+def test_token_files_follow_the_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * 20) for i in range(100)], "doc_id long, text string")
+    monkeypatch.setattr(token_files, "FILE_TEXT", 1000)
+    assert token_files.token_round_trip(docs, token_files.tokenizer_path()).count() == 100
+    monkeypatch.setattr(token_files, "new_path", lambda *_: pytest.fail("not here"))
+    from leafwork.llm.common import new_path
+
+    made = token_files.write_token_files(docs, new_path(spark, "tokens"), token_files.tokenizer_path())
+    assert 8 <= made.count() <= 10
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for values in ([], [0], [5], [0, 0, 0], np.sort(rng.integers(0, 10**9, 3000)), np.arange(2000), np.repeat(7, 900), np.cumsum(rng.integers(0, 50, 5000))):
