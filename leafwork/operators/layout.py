@@ -38,6 +38,30 @@ def outline_chapters(documents: DataFrame, outline: DataFrame, level: int = 1) -
     return _chapters(rows.where("start_page <= end_page"), ["seq"], F.lit(level), "bookmark", F.lit(1.0))
 
 
+def ranged_chapters(documents: DataFrame, outline: DataFrame, level: int = 1, size: int = 65536) -> DataFrame:
+    """outline_chapters where a document's outline may be too long for one task.
+
+    An outline is cut into ranges of `size` ordinals, and windows go by range. What a range's last entry needs of the next
+    range is that one's first page; the index of a chapter is its place in its range and the sum of what the ranges before kept.
+    Both come from a row a range, the only rows that a window by document sees.
+    """
+    c = F.col
+    at = outline.where(c("level") == level).select("doc_id", "seq", S.strip(c("title")).alias("title"), c("page").alias("start_page"), F.floor(c("seq") / size).alias("range"))
+    by_range, own = Window.partitionBy("doc_id").orderBy("range"), Window.partitionBy("doc_id", "range").orderBy("seq")
+    page = F.struct("start_page")  # null where there is no entry, whatever its page
+    heads = at.groupBy("doc_id", "range").agg(F.min_by(page, c("seq")).alias("head"))
+    after = heads.select("doc_id", "range", F.lead("head").over(by_range).alias("after"))
+    kept = at.join(after, ["doc_id", "range"]).withColumn("next", F.coalesce(F.lead(page).over(own), c("after"))).join(documents.select("doc_id", "total_pages"), "doc_id")
+    kept = kept.withColumn("end_page", F.coalesce(c("next")["start_page"] - 1, c("total_pages"))).where("start_page <= end_page")
+    counts = kept.groupBy("doc_id", "range").agg(F.count("*").alias("n"))
+    before = counts.select("doc_id", "range", F.coalesce(F.sum("n").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rows = kept.join(before, ["doc_id", "range"]).withColumn("place", F.row_number().over(own))
+    return rows.select(
+        "doc_id", (c("before") + c("place")).cast("int").alias("chapter_index"), "title", "start_page", "end_page", (c("end_page") - c("start_page") + 1).alias("page_count"),
+        F.lit(level).alias("level"), F.lit("bookmark").alias("detection_method"), F.lit(1.0).alias("confidence"),
+    )
+
+
 def page_fonts(spans: DataFrame) -> DataFrame:
     """Mean size of each page's text spans of positive size, blank ones too; 0 if there is none."""
     sized = F.when((F.col("block_type") == 0) & (F.col("size") > 0), F.col("size"))

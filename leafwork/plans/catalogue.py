@@ -100,6 +100,8 @@ def query(name: str, sql: str | None = None):
 for _level in (1, 2, 3):
     query(f"outline_chapters_l{_level}", f"WITH {OUTLINE} {_outline_chapters(_level)}")(lambda t, n=_level: layout.outline_chapters(t.outline_documents(), t.outline(), n))
 
+query("outline_chapters_ranged", SQL["outline_chapters_l1"])(lambda t: layout.ranged_chapters(t.outline_documents(), t.outline(), 1, 4))
+
 query("outline_level_histogram", f"WITH {OUTLINE} SELECT level, count(*) AS entries FROM outline GROUP BY level")(lambda t: layout.level_histogram(t.outline()))
 for _most in (3, 50):  # of each document's outline
     query(f"outline_first_{_most}", f"WITH {OUTLINE} SELECT doc_id, CAST(seq AS INTEGER) AS seq, repeat('  ', level - 1) || title AS entry, page FROM outline WHERE seq <= {_most}")(lambda t, n=_most: layout.first_entries(t.outline(), n))

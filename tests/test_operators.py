@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from leafwork.functions import html, paginate
 from leafwork.operators import book, layout, markup, split
@@ -236,3 +239,29 @@ def test_sections_from_elements(make):
     assert got == {(r["file_path"], r["html_id"]): r["content"] for r in old.collect()} and len(got) == 5
     assert [(r["html_id"], r["text"], r["place"]) for r in markup.section_headings(bounds, found).collect()] == [("x", "In", 1)]
     assert [(r["file_path"], r["kind"], r["ref"]) for r in markup.section_refs(bounds, found).collect()] == [("p", "img", "i")]
+
+
+def test_ranges_of_an_outline(make):
+    """Against the window by document: one that holds most entries, gaps in the ordinals, pages that are null, go back or repeat, ranges that keep nothing."""
+    rng = random.Random(7)
+    entries = [("big", 7 * k + rng.randrange(7), rng.choice([1, 1, 2]), f" T{k} ", rng.choice([None, k // 3, k // 3, 0])) for k in range(400)]
+    entries += [("d", k, 1, f"D{k}", p) for k, p in enumerate([3, 3, 9, 2, 50, 7])] + [("none", 1, 2, "x", 1)]
+    docs, outline = make([("big", 120), ("d", 60), ("none", 1), ("bare", 1)], DOC), make(entries, OUT)
+    want = layout.outline_chapters(docs, outline)
+    for size in (1, 7, 64, 65536):
+        got = layout.ranged_chapters(docs, outline, 1, size)
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_no_window_sees_a_whole_outline(make):
+    """Rows that reach a task are those of its ranges: with one document, several tasks have some."""
+    outline = make([("big", k, 1, "t", k) for k in range(4000)], OUT)
+    made = layout.ranged_chapters(make([("big", 4000)], DOC), outline, 1, 50)
+    spark = outline.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = made.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 2000
