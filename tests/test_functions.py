@@ -69,6 +69,14 @@ def test_hrefs_and_paths(spark):
     assert one(spark, F.struct(S.colour(F.lit(0.55)), S.colour(F.lit(0.55), 0.5), S.percent(F.lit(0.85))), h="") == ("red", "yellow", "85%")
 
 
+def test_named_references_end_with_a_semicolon():
+    got = html.parse('<title>a&amp;&amp</title><h1>b&am</h1><h1>&lt;&ampé; &ampx; & &#38;&#x26</h1><img src="i?a=1&copy=2&amp;b"><style>x{a:url(u?&lt)}</style>&quot\ufdd0')
+    assert got["title"] == "a&&amp" and [h["text"] for h in got["headings"]] == ["b&am", "<&ampé; &ampx; & &&"]
+    assert [r["ref"] for r in got["refs"]] == ["i?a=1&copy=2&b", "u?&lt"] and got["text"].endswith("&quot\ufdd0")
+    assert [(e["id"], e["tag"], e["start"], e["past"]) for e in html.element_rows('&amp<p id="a&lt">x&gt</p>')] == [("a&lt", "p", 4, 25)]
+    assert html.section('&amp<p id="a&lt">x&gt</p>', "a&lt") == '<html><head></head><body><p id="a&lt">x&gt</p></body></html>'
+
+
 def test_html():
     got = html.parse("<h2>a</h2><h1 id='s1'>b <i>c</i></h1><h2> </h2><img src=''><img src='i.png'><link rel=stylesheet href=s.css><style>x{a:url('u.woff')}</style>&amp;<!-- no -->")
     assert [(h["level"], h["text"], h["id"]) for h in got["headings"]] == [(2, "a", None), (1, "b c", "s1"), (2, "", None)]
