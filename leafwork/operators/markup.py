@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.functions import html
+from leafwork.functions.batches import small_batches
 
 
 def elements(items: DataFrame) -> DataFrame:
@@ -17,7 +18,7 @@ def elements(items: DataFrame) -> DataFrame:
 
     start and past are places in the page's text; level and text are those of h1 to h3; refs are the element's own references.
     """
-    return items.select("doc_id", "href", F.inline(html.elements_of(F.col("content"))))
+    return small_batches(items).select("doc_id", "href", F.inline(html.elements_of(F.col("content"))))
 
 
 def sections(chapters: DataFrame, found: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def section_refs(bounds: DataFrame, found: DataFrame) -> DataFrame:
 
 def section_contents(bounds: DataFrame, items: DataFrame) -> DataFrame:
     """Each section's content, cut from its page by the element's place, in a page of its own; the whole page where there is none."""
-    pages = items.select("doc_id", F.col("href").alias("file_path"), html.text_of(F.col("content")).alias("page"))
+    pages = small_batches(items).select("doc_id", F.col("href").alias("file_path"), html.text_of(F.col("content")).alias("page"))
     body = F.substring("page", F.col("start") + 1, F.col("past") - F.col("start"))
     own = F.when(F.col("first").isNull(), F.col("page")).otherwise(F.concat(F.lit("<html><head></head><body>"), body, F.lit("</body></html>")))
     return bounds.join(pages, ["doc_id", "file_path"]).withColumn("content", own).drop("page", "first", "last", "start", "past")

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,6 +242,37 @@ def test_sections_from_elements(make):
     assert [(r["file_path"], r["kind"], r["ref"]) for r in markup.section_refs(bounds, found).collect()] == [("p", "img", "i")]
 
 
+PAGES = [f"<h1>T{i}</h1>" + "<p>some text</p>" * 250 for i in range(600)] + [None, "", "<i>" + "x" * 600_000]  # 2.4 MB in short pages, a long one
+
+
+def test_elements_leave_a_worker_in_small_parts():
+    """What a worker holds follows from the bytes of a part, not from the rows of a batch."""
+    found = list(html.elements_of.func(iter([pd.Series(PAGES, dtype=object)])))
+    assert len(found) > 4 and max(map(len, found)) < 200
+    assert [e for part in found for e in part] == [html.element_rows(x) for x in PAGES]
+    texts = list(html.text_of.func(iter([pd.Series(PAGES, dtype=object)])))
+    assert len(texts) > 4 and [x for part in texts for x in part] == PAGES
+
+
+def _batch_bytes(spark, make_plan):
+    """The bound that a session with a large one has after the plan is made."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, str(64 << 20))
+        make_plan()
+        return int(spark.conf.get(name))
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_elements_come_in_small_batches(spark, make):
+    items = make([("b", "p", b"<h1>T</h1>")], "doc_id string, href string, content binary")
+    assert _batch_bytes(spark, lambda: markup.elements(items)) <= 4 << 20
+    bounds = markup.sections(make([("b", "p", "x")], "doc_id string, file_path string, html_id string"), markup.elements(items))
+    assert _batch_bytes(spark, lambda: markup.section_contents(bounds, items)) <= 4 << 20
+
+
 def test_ranges_of_an_outline(make):
     """Against the window by document: one that holds most entries, gaps in the ordinals, pages that are null, go back or repeat, ranges that keep nothing."""
     rng = random.Random(7)
