@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from leafwork import options
 from leafwork.functions import html, opf
 from leafwork.functions import strings as S
+from leafwork.functions.batches import small_batches
 
 CHAPTER = ("doc_id", "chapter_index", "title", "file_path", "html_id", "level", "detection_method", "confidence", "content_length")
 
@@ -118,7 +119,7 @@ def _spine_rows(parsed: Column, places: Column) -> Column:
 
 def _page_chapters(pages: DataFrame, rows: Callable[[Column], Column]) -> DataFrame:
     """Chapters of content documents, each parsed once: of a book's rows those of the least rank, in order."""
-    parsed = pages.withColumn("parsed", html.parse_html(F.col("content"), F.col("href")))
+    parsed = small_batches(pages).withColumn("parsed", html.parse_html(F.col("content"), F.col("href")))
     made = parsed.select("doc_id", "href", F.explode(rows(F.col("parsed"))).alias("r")).select("doc_id", F.col("href").alias("file_path"), "r.*")
     best = F.min("rank").over(Window.partitionBy("doc_id"))
     kept = made.withColumn("best", best).where("rank = best")

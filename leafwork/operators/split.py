@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafwork.functions import html
 from leafwork.functions import strings as S
+from leafwork.functions.batches import small_batches
 
 PDF_PATTERN, EPUB_PATTERN = "{index:02d}_{title}.pdf", "{index:02d}_{title}"
 
@@ -58,12 +59,12 @@ def chapter_contents(plan: DataFrame, items: DataFrame, keep_missing: bool = Tru
 
 def chapter_sections(contents: DataFrame) -> DataFrame:
     """Content, as text, cut to the element that the chapter's anchor names, whole where there is none; missing content stays so."""
-    return contents.withColumn("content", html.section_of(F.col("content"), F.coalesce("html_id", F.lit(""))))
+    return small_batches(contents).withColumn("content", html.section_of(F.col("content"), F.coalesce("html_id", F.lit(""))))
 
 
 def resource_refs(contents: DataFrame) -> DataFrame:
     """Style sheets, images and url() targets of inline styles that each chapter's content names."""
-    found = contents.select("doc_id", "chapter_index", "file_path", F.explode(html.parse_html(F.col("content")).getField("refs")).alias("r"))
+    found = small_batches(contents).select("doc_id", "chapter_index", "file_path", F.explode(html.parse_html(F.col("content")).getField("refs")).alias("r"))
     return found.select("doc_id", "chapter_index", "file_path", F.col("r.kind").alias("kind"), F.col("r.ref").alias("ref"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafwork.functions import html, paginate
 from leafwork.functions import strings as S
+from leafwork.functions.batches import small_batches
 from leafwork.operators import book, layout, markup, split
 from leafwork.sources.bridges import Tables
 
@@ -287,7 +288,7 @@ query(
     tx AS (SELECT doc_id, page_id, string_split({_unescape.format(_strip_tags.format('x.a'))} || x.b || {_unescape.format(_strip_tags.format('x.c'))}, chr(10)) AS t FROM sp)
     SELECT doc_id, CAST(page_id AS VARCHAR) AS item_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS paragraph, text
     FROM (SELECT doc_id, page_id, generate_subscripts(t, 1) AS i, {_strip.format('unnest(t)')} AS text FROM tx) WHERE text <> ''""",
-)(lambda t: t.items().select("doc_id", "item_id", F.posexplode(F.filter(F.transform(F.split(html.parse_html(F.col("content")).getField("text"), "\n"), S.strip), lambda x: x != "")).alias("paragraph", "text")))
+)(lambda t: small_batches(t.items()).select("doc_id", "item_id", F.posexplode(F.filter(F.transform(F.split(html.parse_html(F.col("content")).getField("text"), "\n"), S.strip), lambda x: x != "")).alias("paragraph", "text")))
 query(
     "wrapped_pages",
     r"""WITH RECURSIVE c AS (SELECT conv_id AS doc_id, turn + 1 AS turn_page, text, row_number() OVER () AS k FROM conversations),

@@ -273,6 +273,19 @@ def test_elements_come_in_small_batches(spark, make):
     assert _batch_bytes(spark, lambda: markup.section_contents(bounds, items)) <= 4 << 20
 
 
+def test_parsed_pages_leave_a_worker_in_small_parts(spark, make):
+    found = list(html.parsed.func(iter([(pd.Series(PAGES, dtype=object), pd.Series(["a_b.x"] * len(PAGES)))])))
+    assert len(found) > 4 and max(map(len, found)) < 200
+    whole = pd.concat(found)
+    assert list(whole["text"]) == [html.parse(x)["text"] for x in PAGES] and list(whole["refs"]) == [html.parse(x)["refs"] for x in PAGES] and list(whole["name"])[-3:] == ["A B"] * 3
+    cut = list(html.section_of.func(iter([(pd.Series(PAGES, dtype=object), pd.Series([""] * len(PAGES)))])))
+    assert len(cut) > 4 and [x for part in cut for x in part] == PAGES
+    items = make([("b", 1, "p", "<img src='i'>", "x")], "doc_id string, chapter_index int, file_path string, content string, html_id string")
+    assert _batch_bytes(spark, lambda: split.resource_refs(items)) <= 4 << 20 and _batch_bytes(spark, lambda: split.chapter_sections(items)) <= 4 << 20
+    pages = make([("b", "i", 1, "p", "document", "<h1>T</h1>")], ITEM)
+    assert _batch_bytes(spark, lambda: book.heading_chapters(pages)) <= 4 << 20
+
+
 def test_ranges_of_an_outline(make):
     """Against the window by document: one that holds most entries, gaps in the ordinals, pages that are null, go back or repeat, ranges that keep nothing."""
     rng = random.Random(7)
